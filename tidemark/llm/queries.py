@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import packing, simhash, token_planes
+from . import decontamination, packing, quality_rules, simhash, token_planes
 from .common import fresh_dir
 
 
@@ -15,6 +15,14 @@ def _read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
+def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.apply_quality_rules(_read(spark, sf_dir, "documents"))
+
+
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
+
+
 def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_planes.write_planes(_read(spark, sf_dir, "documents"), fresh_dir(spark, "token-planes"), public_tokenizers.path("word_bpe_49k.json"))
     return token_planes.read_planes(manifest)
@@ -29,9 +37,13 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_quality_rules": op1_quality_rules,
+    "op6_decontamination": op6_decontamination,
     "op8_token_planes": op8_token_planes,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op6_decontamination": decontamination.BRUTE_SQL,
+}
