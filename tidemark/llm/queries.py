@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, packing, pii, quality_rules, simhash, token_planes
+from . import context_mixing, decontamination, language_id, packing, pii, quality_rules, simhash, token_planes, zip_warc
 from .common import fresh_dir
 
 
@@ -23,6 +23,11 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_held_out(_read(spark, sf_dir, "documents"))
 
 
+def op4_zip_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = zip_warc.archive_pages(_read(spark, sf_dir, "pages"), fresh_dir(spark, "packages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 def op5_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.span_report(_read(spark, sf_dir, "documents"))
 
@@ -31,6 +36,10 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.find_contaminated(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "benchmark"))
 
 
+def op7_context_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return context_mixing.score_documents(_read(spark, sf_dir, "documents"))
+
+
 def op8_token_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
     manifest = token_planes.write_planes(_read(spark, sf_dir, "documents"), fresh_dir(spark, "token-planes"), public_tokenizers.path("word_bpe_49k.json"))
     return token_planes.read_planes(manifest)
@@ -47,13 +56,16 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op3_language_id": op3_language_id,
+    "op4_zip_warc": op4_zip_warc,
     "op5_personal_data": op5_personal_data,
     "op6_decontamination": op6_decontamination,
+    "op7_context_mixing": op7_context_mixing,
     "op8_token_planes": op8_token_planes,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op4_zip_warc": zip_warc.SQL,
     "op6_decontamination": decontamination.BRUTE_SQL,
 }
