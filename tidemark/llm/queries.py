@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import context_mixing, decontamination, language_id, packing, pii, quality_rules, simhash, token_planes, zip_warc
+from . import context_mixing, decontamination, language_id, packing, pii, quality_classifier, quality_rules, simhash, token_planes, zip_warc
 from .common import fresh_dir
 
 
@@ -19,6 +20,11 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_quality_rules(_read(spark, sf_dir, "documents"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The tables have no URL of a document: its source is the host, its language the path under it."""
+    return quality_classifier.classify(_read(spark, sf_dir, "documents"), _read(spark, sf_dir, "labels"), F.col("source"), F.col("lang"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.identify_held_out(_read(spark, sf_dir, "documents"))
 
@@ -55,6 +61,7 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
+    "op2_quality_classifier": op2_quality_classifier,
     "op3_language_id": op3_language_id,
     "op4_zip_warc": op4_zip_warc,
     "op5_personal_data": op5_personal_data,
