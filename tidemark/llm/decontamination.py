@@ -67,7 +67,7 @@ def find_contaminated(docs: DataFrame, benchmark: DataFrame, threshold: float =
     held = stage(pairs.select("doc_id").distinct(), "candidate-docs")
     same = lambda a, b: F.col(a).eqNullSafe(F.col(b))
     texts = join_checked(base, held.withColumnRenamed("doc_id", "_held"), same("doc_id", "_held"), "left_semi", max_broadcast)
-    texts = texts.select("doc_id", F.array_distinct(shingles(words(texts), size)).alias("_d"))
+    texts = texts.select("doc_id", words(texts).alias("_w")).select("doc_id", F.array_distinct(shingles(F.col("_w"), size)).alias("_d"))
     texts = join_checked(texts, pairs.withColumnRenamed("doc_id", "_held"), same("doc_id", "_held"), "inner", max_broadcast).drop("_held")
     item_shingles = items.select("item_key", "item_id", F.array_distinct(shingles(F.col("_w"), size)).alias("_i"))
     found = texts.join(item_shingles, "item_key").select("doc_id", "item_id", F.size(F.array_intersect("_d", "_i")).cast("long").alias("n_shared"), F.size("_i").cast("long").alias("n_item"))
