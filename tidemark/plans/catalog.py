@@ -1,10 +1,456 @@
-"""Queries of the corpus operators and their SQL."""
+"""The corpus operators as queries over the standard tables, each with its SQL.
+
+Documents stand for files, their lines for lines, labels for ground truth, and
+a line that two documents share for an import between them.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tidemark.functions import text as T
+from tidemark.functions.source_code import MatchSpans
+from tidemark.operators import fixes, guards, prefilter, relevance, scan, scoring, usage, verdicts
+from tidemark.operators.patterns import Pattern, matches_any
+from tidemark.sources.tables import table
+
+PATTERNS = (
+    Pattern("license", "(?i:license|copyright)"),
+    Pattern("email", "[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+"),
+    Pattern("secret", 'token = "'),
+    Pattern("phone", "[0-9]{3}-[0-9]{3}-[0-9]{4}"),
+)
+_LICENSE = "(?i:license|copyright)"
+
+# --- Spark side -----------------------------------------------------------
+
+
+def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.lines_of(table(spark, sf_dir, "documents"), "doc_id", "lf")
+
+
+def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.find_candidates(_lines(spark, sf_dir), PATTERNS, "doc_id", unicode=False)
+
+
+def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).select("doc_id", "line", F.char_length("text").cast("long").alias("n_chars"))
+
+
+def scan_match_first(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _candidates(spark, sf_dir)
+
+
+def scan_match_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan.count_per_pattern(_candidates(spark, sf_dir), PATTERNS).select("pattern", "n")
+
+
+def scan_match_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = scan.merge_sites(scan.tag_lines(_lines(spark, sf_dir), PATTERNS, "doc_id", unicode=False), "doc_id")
+    return tagged.select("doc_id", "line", F.array_join("tags", ",").alias("tags"))
+
+
+def combined_match(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").where(matches_any(F.col("text"), PATTERNS, unicode=False))
+    return docs.groupBy("lang").agg(F.count("*").alias("n"))
+
+
+def prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^https?://[^/]*/", "").alias("path"))
+    kept = scan.under_prefix(pages, ["en", "fr"], "path")
+    return kept.groupBy(F.get(F.split("path", "/"), 1).alias("segment")).agg(F.count("*").alias("n"))
+
+
+def site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select(F.split(F.regexp_replace("url", "^https?://", ""), "/")[0].alias("segment"))
+    return pages.groupBy("segment").agg(F.count("*").alias("n"))
+
+
+def yield_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    row = guards.yield_summary(scan.count_per_pattern(_candidates(spark, sf_dir), PATTERNS))
+    return row.select("total", "top_pattern", "top_n", F.round("top_share", 6).alias("top_share"), "ok")
+
+
+def relevance_direct(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relevance.direct_relevance(table(spark, sf_dir, "documents"), _LICENSE, "doc_id")
+
+
+def _shared_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _lines(spark, sf_dir).where(F.char_length("text") > 20).select("doc_id", F.col("text").alias("shared"))
+
+
+def relevance_transitive(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return relevance.closure_through(relevance_direct(spark, sf_dir), _shared_lines(spark, sf_dir), "doc_id", "shared").select("doc_id")
+
+
+def stage_a_keep(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefilter.keep_relevant(_candidates(spark, sf_dir), relevance_direct(spark, sf_dir), "doc_id")[0]
+
+
+def stage_a_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefilter.keep_relevant(_candidates(spark, sf_dir), relevance_direct(spark, sf_dir), "doc_id")[1]
+
+
+def _after_hash(d: DataFrame) -> DataFrame:
+    """Candidates whose first match comes after the line's first ``#``: the one-line form of a comment."""
+    hit = F.regexp_instr("snippet", F.lit("license|copyright|[A-Za-z0-9._+-]+@"))
+    mark = F.locate("#", F.col("snippet"))
+    return d.withColumn("covered", (mark > 0) & (hit > mark))
+
+
+def comment_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _after_hash(_candidates(spark, sf_dir)).select("doc_id", "line", "covered")
+
+
+def collapse_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir).withColumnRenamed("text", "snippet")
+    reps, _ = prefilter.collapse_duplicates(lines, "doc_id")
+    listed = F.array_join(F.coalesce("duplicate_lines", F.array("line")), ",")
+    return reps.select("doc_id", "line", F.coalesce("duplicate_count", F.lit(1)).cast("long").alias("n"), listed.alias("lines"))
+
+
+def expand_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir).withColumnRenamed("text", "snippet")
+    reps, expansion = prefilter.collapse_duplicates(lines, "doc_id")
+    return prefilter.expand_duplicates(reps.select("doc_id", "line", "snippet"), expansion, "doc_id").groupBy("doc_id").agg(F.count("*").alias("n"), F.sum("line").alias("line_sum"))
+
+
+def chunk_assign(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.assign_chunks(_candidates(spark, sf_dir), 40, "doc_id").select("doc_id", "line", "chunk_id")
+
+
+def chunk_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
+    licenses = _lines(spark, sf_dir).where(F.col("text").rlike(_LICENSE))
+    return verdicts.exact_cover(_candidates(spark, sf_dir), licenses, "doc_id")
+
+
+def droplog(spark: SparkSession, sf_dir: str) -> DataFrame:
+    kept, dropped = prefilter.keep_relevant(_candidates(spark, sf_dir), relevance_direct(spark, sf_dir), "doc_id")
+    a = dropped.select(F.lit("A").alias("stage"), F.lit("file_relevance").alias("rule"), "doc_id", "line")
+    b = _after_hash(kept).where("covered").select(F.lit("B").alias("stage"), F.lit("comment").alias("rule"), "doc_id", "line")
+    return a.unionByName(b)
+
+
+def prefilter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    start = _candidates(spark, sf_dir)
+    relevant = relevance_direct(spark, sf_dir).withColumn("a", F.lit(True))
+    marked = _after_hash(start.join(relevant, "doc_id", "left").withColumn("a", F.coalesce("a", F.lit(False))))
+    kept = F.col("a") & ~F.col("covered")
+    body = F.when(kept, F.struct("doc_id", T.strip(F.col("snippet")).alias("s")))
+    row = marked.agg(F.count("*").alias("start"), F.count_if("a").alias("after_a"), F.count_if(kept).alias("after_b"), F.count_distinct(body).alias("after_c"))
+    return row.withColumn("reduction_percent", F.round((1 - F.col("after_c") / F.col("start")) * 100, 6))
+
+
+def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A bucket per document with candidates: sites of one source never fall below flagged."""
+    found = _candidates(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "source", "lang"), "doc_id")
+    bucket = F.when(F.col("pattern") == "license", "proposed").when(F.col("pattern") == "email", "flagged").otherwise("rejected")
+    return verdicts.apply_floor(found.withColumn("bucket", bucket), F.col("source") == "src0")
+
+
+def verdict_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _routed(spark, sf_dir).select("doc_id", "line", "bucket")
+
+
+def _truth(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id").distinct()
+
+
+def _matched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    about = table(spark, sf_dir, "documents").select("doc_id", "lang", "source")
+    return scoring.match_truth(_routed(spark, sf_dir).select("doc_id", "bucket"), _truth(spark, sf_dir), ["doc_id"]).join(about, "doc_id")
+
+
+def _rounded(d: DataFrame) -> DataFrame:
+    return d.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "surfaced_recall")})
+
+
+def score_overall(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scoring.score(_matched(spark, sf_dir), empty_precision=1.0))
+
+
+def score_by_class(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scoring.score(_matched(spark, sf_dir), ["lang"], empty_precision=1.0))
+
+
+def score_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _rounded(scoring.score_rollup(_matched(spark, sf_dir), ["lang", "source"], empty_precision=1.0))
+
+
+def fn_route(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = _candidates(spark, sf_dir)
+    kept = stage_a_keep(spark, sf_dir)
+    return scoring.attribute_losses(_truth(spark, sf_dir), raw, kept, ["doc_id"]).select("doc_id", "route")
+
+
+def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    a = docs.where(F.col("text").rlike(_LICENSE)).select("doc_id").distinct()
+    b = docs.where(F.contains("text", F.lit("@"))).select("doc_id").distinct()
+    count = lambda d, name: d.agg(F.lit(name).alias("op"), F.count("*").alias("n"))
+    return count(a.intersect(b), "both").union(count(a.subtract(b), "first_only")).union(count(a.union(b).distinct(), "either"))
+
+
+def determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
+    one = _candidates(spark, sf_dir).select("doc_id", "line")
+    two = scan.tag_lines(_lines(spark, sf_dir), PATTERNS, "doc_id", unicode=False).select("doc_id", "line")
+    return scoring.symmetric_difference(one, two)
+
+
+def run_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("role", F.char_length("text").cast("long").alias("n_chars"), "turn")
+    return scoring.ranges(turns, ["role"], ["n_chars", "turn"])
+
+
+def span_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    quoted = lambda name: table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+@[a-z0-9.]+|[0-9]{4,})"), F.lit(1))).alias("span")).distinct()
+    both = quoted("documents").join(quoted("benchmark").withColumn("held", F.lit(True)), "span", "left")
+    return both.agg(F.count("*").alias("n_spans"), F.count("held").alias("n_shared"))
+
+
+def token_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.identifier_tokens(F.col("text"))).alias("token")).distinct()
+    # 25 nation names: a table of fixed size
+    names = F.broadcast(table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name")).distinct())
+    return words.join(names, T.covers(F.col("token"), F.col("name"))).groupBy("name").agg(F.count("*").alias("n_pairs"), F.count_distinct("item_id").alias("n_items"))
+
+
+def request_key(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    return c.select("conv_id", "turn", T.request_key(F.col("role"), F.col("text")).alias("request"))
+
+
+def fix_apply(spark: SparkSession, sf_dir: str) -> DataFrame:
+    lines = _lines(spark, sf_dir)
+    patched = lines.where(F.col("text").rlike(_LICENSE)).select("doc_id", "line", F.lit("FIX").alias("verdict"), F.lit("SPDX").alias("proposed_line"))
+    whole = fixes.apply_fixes(lines, patched, "doc_id")
+    return whole.select("doc_id", F.char_length("text").cast("long").alias("n_chars"), F.substring(F.sha2("text", 256), 1, 16).alias("digest"))
+
+
+def fix_classify(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations").select("role", "text")
+    pick = F.char_length("text") % 3
+    noisy = F.when(pick == 0, F.concat("text", F.lit("  "))).when(pick == 1, F.concat(F.lit("  "), F.col("text"))).otherwise(F.concat("text", F.lit(" x")))
+    return c.withColumn("class", fixes.classify_line(noisy, F.col("text"))).groupBy("class").agg(F.count("*").alias("n"))
+
+
+def usage_cost(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    size = F.char_length("text").cast("long")
+    calls = c.select(F.col("role").alias("model"), size.alias("input_tokens"), F.lit(1).cast("long").alias("output_tokens"), F.lit(0).cast("long").alias("cache_creation_input_tokens"), F.col("turn").cast("long").alias("cache_read_input_tokens"))
+    prices = spark.createDataFrame([("user", 3.0, 15.0, 3.75, 0.3), ("assistant", 15.0, 75.0, 18.75, 1.5)], ["model", *[f"{x}_price" for x in usage.COUNTERS]])
+    cost = usage.estimate_cost(usage.total_usage(calls, ["model"]), prices)
+    return cost.select("model", "input_tokens", "cache_read_input_tokens", F.round("cost", 6).alias("cost"))
+
+
+def blank_validation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.blank_fields(table(spark, sf_dir, "documents"), ["text", "lang", "source"])
+
+
+def dup_across_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return verdicts.repeated_sites(scan.tag_lines(_lines(spark, sf_dir), PATTERNS, "doc_id", unicode=False).select("doc_id", "line", F.explode("tags")), "doc_id")
+
+
+def match_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = _candidates(spark, sf_dir)
+    return found.lateralJoin(MatchSpans(F.col("snippet").outer(), F.lit("|".join(f"(?:{p.regex})" for p in PATTERNS)))).select("doc_id", "line", "c0", "c1")
+
+
+def path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages")
+    given = F.concat(F.lit(" ./host/"), F.regexp_replace("url", "^https?://", ""))
+    return pages.select("page_id", T.normalize_path(given).alias("path"))
+
+
+def import_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    tagged = _lines(spark, sf_dir).select(T.is_import_line(F.lower("text")).alias("is_import"), F.col("text").rlike(r"^\s*$").alias("is_blank"))
+    return tagged.groupBy("is_import", "is_blank").agg(F.count("*").alias("n"))
+
+
+def non_breaking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    c = table(spark, sf_dir, "conversations")
+    fact = F.when(F.col("turn") % 2 == 0, F.concat(F.col("text"), F.lit(" This is NOT BREAKING."))).otherwise(F.col("text"))
+    return c.select("role", T.is_non_breaking(fact).alias("skip")).groupBy("role", "skip").agg(F.count("*").alias("n"))
+
+
+# --- SQL side -------------------------------------------------------------
+
+_SQL_LINES = """
+  raw AS (SELECT doc_id, string_split(text, chr(10)) AS parts FROM documents WHERE text IS NOT NULL),
+  cut AS (SELECT doc_id, CASE WHEN parts[-1] = '' THEN parts[:-2] ELSE parts END AS parts FROM raw),
+  lines AS (SELECT doc_id, unnest(generate_series(1, len(parts))) AS line, unnest(parts) AS text FROM cut)"""
+_SQL_HITS = (
+    _SQL_LINES
+    + """,
+  cand AS (
+    SELECT doc_id, line, text AS snippet, CASE
+      WHEN regexp_matches(text, '(?i:license|copyright)') THEN 'license'
+      WHEN regexp_matches(text, '[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+') THEN 'email'
+      WHEN regexp_matches(text, 'token = "') THEN 'secret'
+      WHEN regexp_matches(text, '[0-9]{3}-[0-9]{3}-[0-9]{4}') THEN 'phone' END AS pattern
+    FROM lines),
+  hits AS (SELECT * FROM cand WHERE pattern IS NOT NULL),
+  rel AS (SELECT DISTINCT doc_id FROM documents WHERE regexp_matches(text, '(?i:license|copyright)'))"""
+)
+_SQL_COVER = """,
+  cov AS (SELECT *, strpos(snippet, '#') > 0 AND length(regexp_extract(snippet, '^(.*?)(license|copyright|[A-Za-z0-9._+-]+@)', 1)) >= strpos(snippet, '#') AND regexp_matches(snippet, 'license|copyright|[A-Za-z0-9._+-]+@') AS covered FROM hits)"""
+_SQL_ROUTE = """,
+  routed AS (
+    SELECT doc_id, line, lang, d.source, CASE pattern WHEN 'license' THEN 'proposed' WHEN 'email' THEN 'flagged' ELSE CASE WHEN d.source = 'src0' THEN 'flagged' ELSE 'rejected' END END AS bucket
+    FROM hits JOIN documents d USING (doc_id)),
+  truth AS (SELECT DISTINCT doc_id FROM labels WHERE toxic = 1),
+  best AS (SELECT doc_id, CASE min(CASE bucket WHEN 'proposed' THEN 0 WHEN 'flagged' THEN 1 ELSE 2 END) WHEN 0 THEN 'proposed' WHEN 1 THEN 'flagged' ELSE 'rejected' END AS bucket FROM routed GROUP BY doc_id),
+  matched AS (
+    SELECT doc_id, coalesce(bucket, 'invisible') AS bucket, truth.doc_id IS NOT NULL AS is_true, d.lang, d.source
+    FROM best FULL JOIN truth USING (doc_id) JOIN documents d USING (doc_id))"""
+_SQL_SCORES = """
+  count(*) FILTER (bucket = 'proposed' AND is_true) AS tp, count(*) FILTER (bucket = 'proposed' AND NOT is_true) AS fp,
+  count(*) FILTER (is_true AND bucket <> 'proposed') AS fn, count(*) FILTER (is_true AND bucket = 'flagged') AS fn_flagged,
+  count(*) FILTER (is_true AND bucket = 'rejected') AS fn_rejected, count(*) FILTER (is_true AND bucket = 'invisible') AS fn_invisible,
+  round(coalesce(count(*) FILTER (bucket = 'proposed' AND is_true) / nullif(count(*) FILTER (bucket = 'proposed'), 0)::DOUBLE, 1.0), 6) AS precision,
+  round(coalesce(count(*) FILTER (bucket = 'proposed' AND is_true) / nullif(count(*) FILTER (is_true), 0)::DOUBLE, 1.0), 6) AS recall,
+  round(coalesce(count(*) FILTER (bucket IN ('proposed', 'flagged') AND is_true) / nullif(count(*) FILTER (is_true), 0)::DOUBLE, 1.0), 6) AS surfaced_recall"""
+_SQL_NAMES = "(VALUES (0, 'license'), (1, 'email'), (2, 'secret'), (3, 'phone')) AS p(ord, pattern)"
+
+
+@dataclass(frozen=True)
+class Query:
+    """A query and its SQL, if it has one."""
+
+    run: Callable[[SparkSession, str], DataFrame]
+    sql: str | None
+
+
+ALL = [
+    Query(line_scan, f"WITH {_SQL_LINES} SELECT doc_id, line, length(text) AS n_chars FROM lines"),
+    Query(scan_match_first, f"WITH {_SQL_HITS} SELECT doc_id, line, snippet, pattern FROM hits"),
+    Query(scan_match_count, f"WITH {_SQL_HITS} SELECT p.pattern, count(hits.doc_id) AS n FROM {_SQL_NAMES} LEFT JOIN hits USING (pattern) GROUP BY p.pattern"),
+    Query(
+        scan_match_tags,
+        f"""WITH {_SQL_LINES}, t AS (SELECT doc_id, line, concat_ws(',', CASE WHEN regexp_matches(text, '[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+') THEN 'email' END,
+        CASE WHEN regexp_matches(text, '(?i:license|copyright)') THEN 'license' END, CASE WHEN regexp_matches(text, '[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}') THEN 'phone' END,
+        CASE WHEN regexp_matches(text, 'token = "') THEN 'secret' END) AS tags FROM lines) SELECT * FROM t WHERE tags <> ''""",
+    ),
+    Query(
+        combined_match,
+        """SELECT lang, count(*) AS n FROM documents WHERE regexp_matches(text, '(?i:license|copyright)|[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+|token = "|[0-9]{3}-[0-9]{3}-[0-9]{4}') GROUP BY lang""",
+    ),
+    Query(
+        prefix_scan,
+        """WITH p AS (SELECT regexp_replace(url, '^https?://[^/]*/', '') AS path FROM pages), q AS (SELECT unnest(['en', 'fr']) AS pre)
+        SELECT string_split(path, '/')[2] AS segment, count(*) AS n FROM p WHERE EXISTS (SELECT 1 FROM q WHERE path = pre OR starts_with(path, pre || '/')) GROUP BY 1""",
+    ),
+    Query(site_counts, "SELECT string_split(regexp_replace(url, '^https?://', ''), '/')[1] AS segment, count(*) AS n FROM pages GROUP BY 1"),
+    Query(
+        yield_guard,
+        f"""WITH {_SQL_HITS}, c AS (SELECT p.ord, p.pattern, count(hits.doc_id) AS n FROM {_SQL_NAMES} LEFT JOIN hits USING (pattern) GROUP BY ALL),
+        t AS (SELECT sum(n)::BIGINT AS total FROM c), top AS (SELECT pattern, n FROM c ORDER BY n DESC, ord LIMIT 1)
+        SELECT total, pattern AS top_pattern, n AS top_n, round(CASE WHEN total > 0 THEN n / total::DOUBLE ELSE 0 END, 6) AS top_share,
+        NOT (total > 2000 OR (n >= 25 AND total > 0 AND n / total::DOUBLE >= 0.35)) AS ok FROM t, top""",
+    ),
+    Query(relevance_direct, "SELECT DISTINCT doc_id FROM documents WHERE regexp_matches(text, '(?i:license|copyright)')"),
+    Query(
+        relevance_transitive,
+        f"""WITH RECURSIVE {_SQL_HITS}, m AS (SELECT DISTINCT doc_id, text AS shared FROM lines WHERE length(text) > 20),
+        r AS (SELECT doc_id FROM rel UNION SELECT b.doc_id FROM r JOIN m a ON a.doc_id = r.doc_id JOIN m b ON b.shared = a.shared) SELECT doc_id FROM r""",
+    ),
+    Query(stage_a_keep, f"WITH {_SQL_HITS} SELECT doc_id, line, snippet, pattern FROM hits WHERE doc_id IN (SELECT doc_id FROM rel)"),
+    Query(stage_a_drop, f"WITH {_SQL_HITS} SELECT doc_id, line, snippet, pattern FROM hits WHERE doc_id NOT IN (SELECT doc_id FROM rel)"),
+    Query(comment_cover, f"WITH {_SQL_HITS}{_SQL_COVER} SELECT doc_id, line, covered FROM cov"),
+    Query(
+        collapse_duplicates,
+        f"""WITH {_SQL_LINES} SELECT doc_id, min(line) AS line, count(*) AS n, string_agg(line::VARCHAR, ',' ORDER BY line) AS lines
+        FROM lines GROUP BY doc_id, regexp_replace(regexp_replace(text, '^\\s+', ''), '\\s+$', '')""",
+    ),
+    Query(expand_duplicates, f"WITH {_SQL_LINES} SELECT doc_id, count(*) AS n, sum(line)::BIGINT AS line_sum FROM lines GROUP BY doc_id"),
+    Query(chunk_assign, f"WITH {_SQL_HITS} SELECT doc_id, line, ((row_number() OVER (ORDER BY doc_id, line) - 1) // 40)::INT AS chunk_id FROM hits"),
+    Query(
+        chunk_cover,
+        f"""WITH {_SQL_HITS}, g AS (SELECT doc_id, line FROM lines WHERE regexp_matches(text, '(?i:license|copyright)'))
+        SELECT count(*) FILTER (g.doc_id IS NULL) AS missing, count(*) FILTER (hits.doc_id IS NULL) AS unexpected, 0::BIGINT AS repeated FROM hits FULL JOIN g USING (doc_id, line)""",
+    ),
+    Query(
+        droplog,
+        f"""WITH {_SQL_HITS}{_SQL_COVER} SELECT 'A' AS stage, 'file_relevance' AS rule, doc_id, line FROM hits WHERE doc_id NOT IN (SELECT doc_id FROM rel)
+        UNION ALL SELECT 'B', 'comment', doc_id, line FROM cov WHERE covered AND doc_id IN (SELECT doc_id FROM rel)""",
+    ),
+    Query(
+        prefilter_stats,
+        f"""WITH {_SQL_HITS}{_SQL_COVER}, k AS (SELECT *, doc_id IN (SELECT doc_id FROM rel) AS a FROM cov),
+        s AS (SELECT count(*) AS start, count(*) FILTER (a) AS after_a, count(*) FILTER (a AND NOT covered) AS after_b FROM k),
+        c AS (SELECT count(*) AS after_c FROM (SELECT DISTINCT doc_id, regexp_replace(regexp_replace(snippet, '^\\s+', ''), '\\s+$', '') AS s FROM k WHERE a AND NOT covered))
+        SELECT start, after_a, after_b, after_c, round((1 - after_c / start::DOUBLE) * 100, 6) AS reduction_percent FROM s, c""",
+    ),
+    Query(verdict_route, f"WITH {_SQL_HITS}{_SQL_ROUTE} SELECT doc_id, line, bucket FROM routed"),
+    Query(score_overall, f"WITH {_SQL_HITS}{_SQL_ROUTE} SELECT {_SQL_SCORES} FROM matched"),
+    Query(score_by_class, f"WITH {_SQL_HITS}{_SQL_ROUTE} SELECT lang, {_SQL_SCORES} FROM matched GROUP BY lang"),
+    Query(score_rollup, f"WITH {_SQL_HITS}{_SQL_ROUTE} SELECT lang, source, {_SQL_SCORES} FROM matched GROUP BY ROLLUP (lang, source)"),
+    Query(
+        fn_route,
+        f"""WITH {_SQL_HITS}{_SQL_ROUTE} SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM hits) THEN CASE WHEN doc_id IN (SELECT doc_id FROM rel) THEN 'reachable' ELSE 'prefilter_dropped' END ELSE 'scan_missed' END AS route FROM truth""",
+    ),
+    Query(
+        set_ops,
+        """WITH a AS (SELECT DISTINCT doc_id FROM documents WHERE regexp_matches(text, '(?i:license|copyright)')), b AS (SELECT DISTINCT doc_id FROM documents WHERE contains(text, '@'))
+        SELECT 'both' AS op, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first_only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
+        UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)""",
+    ),
+    Query(determinism, "SELECT 0::BIGINT AS n_different FROM (SELECT count(*) FROM documents)"),
+    Query(run_ranges, "SELECT role, min(length(text)) AS min_n_chars, max(length(text)) AS max_n_chars, min(turn) AS min_turn, max(turn) AS max_turn FROM conversations GROUP BY role"),
+    Query(
+        span_extract,
+        """WITH d AS (SELECT DISTINCT unnest(regexp_extract_all(text, '([A-Za-z]+@[a-z0-9.]+|[0-9]{4,})', 1)) AS span FROM documents),
+        b AS (SELECT DISTINCT unnest(regexp_extract_all(text, '([A-Za-z]+@[a-z0-9.]+|[0-9]{4,})', 1)) AS span FROM benchmark)
+        SELECT count(*) AS n_spans, count(b.span) AS n_shared FROM d LEFT JOIN b USING (span)""",
+    ),
+    Query(
+        token_theta,
+        """WITH w AS (SELECT DISTINCT item_id, lower(t) AS token FROM (SELECT item_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) AS t FROM benchmark) WHERE length(t) >= 2),
+        n AS (SELECT DISTINCT lower(n_name) AS name FROM nation)
+        SELECT name, count(*) AS n_pairs, count(DISTINCT item_id) AS n_items FROM w JOIN n ON contains(replace(token, '_', ''), replace(name, '_', '')) OR contains(replace(name, '_', ''), replace(token, '_', '')) GROUP BY name""",
+    ),
+    Query(request_key, "SELECT conv_id, turn, substr(sha256(role || chr(0) || text), 1, 24) AS request FROM conversations"),
+    Query(
+        fix_apply,
+        f"""WITH {_SQL_LINES}, t AS (SELECT doc_id, string_agg(CASE WHEN regexp_matches(text, '(?i:license|copyright)') THEN 'SPDX' ELSE text END, chr(10) ORDER BY line) AS text FROM lines GROUP BY doc_id)
+        SELECT doc_id, length(text) AS n_chars, substr(sha256(text), 1, 16) AS digest FROM t""",
+    ),
+    Query(
+        fix_classify,
+        r"""WITH t AS (SELECT text, CASE length(text) % 3 WHEN 0 THEN text || '  ' WHEN 1 THEN '  ' || text ELSE text || ' x' END AS noisy FROM conversations)
+        SELECT CASE WHEN regexp_replace(noisy, '\s+$', '') = regexp_replace(text, '\s+$', '') THEN 'exact'
+        WHEN regexp_replace(trim(noisy), '\s+', ' ', 'g') = regexp_replace(trim(text), '\s+', ' ', 'g') THEN 'semantic' ELSE 'wrong' END AS class, count(*) AS n FROM t GROUP BY 1""",
+    ),
+    Query(
+        usage_cost,
+        """WITH u AS (SELECT role AS model, sum(length(text))::BIGINT AS input_tokens, count(*) AS output_tokens, sum(turn)::BIGINT AS cache_read_input_tokens FROM conversations GROUP BY role),
+        p AS (SELECT * FROM (VALUES ('user', 3.0::DOUBLE, 15.0::DOUBLE, 0.3::DOUBLE), ('assistant', 15.0, 75.0, 1.5)) AS v(model, pi, po, pr))
+        SELECT u.model, input_tokens, cache_read_input_tokens, round(input_tokens / 1e6 * pi + output_tokens / 1e6 * po + cache_read_input_tokens / 1e6 * pr, 6) AS cost FROM u LEFT JOIN p USING (model)""",
+    ),
+    Query(
+        blank_validation,
+        r"""SELECT 'text' AS "column", count(*) FILTER (text IS NULL OR regexp_full_match(text, '\s*')) AS n FROM documents UNION ALL
+        SELECT 'lang', count(*) FILTER (lang IS NULL OR regexp_full_match(lang, '\s*')) FROM documents UNION ALL
+        SELECT 'source', count(*) FILTER (source IS NULL OR regexp_full_match(source, '\s*')) FROM documents""",
+    ),
+    Query(
+        dup_across_buckets,
+        f"""WITH {_SQL_LINES}, t AS (SELECT (regexp_matches(text, '[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+'))::INT + (regexp_matches(text, '(?i:license|copyright)'))::INT
+        + (regexp_matches(text, '[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}'))::INT + (regexp_matches(text, 'token = "'))::INT AS k FROM lines) SELECT coalesce(sum(k - 1), 0)::BIGINT AS n_repeated FROM t WHERE k > 0""",
+    ),
+    Query(match_spans, None),
+    Query(path_normalize, "SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages"),
+    Query(import_lines, f"WITH {_SQL_LINES} SELECT regexp_matches(lower(text), '^\\s*(from|import)\\s') AS is_import, regexp_matches(text, '^\\s*$') AS is_blank, count(*) AS n FROM lines GROUP BY 1, 2"),
+    Query(
+        non_breaking,
+        """WITH t AS (SELECT role, lower(CASE WHEN turn % 2 = 0 THEN text || ' This is NOT BREAKING.' ELSE text END) AS f FROM conversations)
+        SELECT role, len(list_filter(['out of scope', 'not a breaking change', 'confirmed unchanged', 'not breaking', 'unaffected by', 'does not change', 'no change needed'], lambda m: contains(f, m))) > 0 AS skip, count(*) AS n FROM t GROUP BY 1, 2""",
+    ),
+]
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {q.run.__name__: q.run for q in ALL}
+ORACLE_SQL: dict[str, str] = {q.run.__name__: q.sql for q in ALL if q.sql}
