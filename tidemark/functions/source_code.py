@@ -10,6 +10,7 @@ import tokenize
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
+from pyspark.sql.types import ArrayType, StringType
 
 
 @udtf(returnType="c0: int, c1: int")
@@ -78,13 +79,13 @@ def imported_names(source: str, package: list[str]) -> list[str] | None:
     return sorted(names)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(ArrayType(StringType()))
 def imports_of(source: pd.Series, package: pd.Series) -> pd.Series:
     """Per file: the names of :func:`imported_names`; null for files that are null or do not parse."""
     return pd.Series([None if s is None else imported_names(s, list(p)) for s, p in zip(source, package)])
 
 
-@F.pandas_udf("string")
+@F.pandas_udf(StringType())
 def parse_error(source: pd.Series) -> pd.Series:
     """Null if the text parses as Python, else the error."""
 

@@ -70,7 +70,8 @@ def read_verdicts(spark: SparkSession, paths: str | list[str], run_files: bool =
 
     With ``run_files`` every document also has target, repo and an integer run.
     """
-    files = spark.read.text(paths, wholetext=True).select(F.input_file_name().alias("path"), "value")
+    # the text source has no row for an empty file, which must not pass
+    files = spark.read.format("binaryFile").load(paths).select("path", F.decode("content", "UTF-8").alias("value"))
 
     def parse(batches):
         import pandas as pd

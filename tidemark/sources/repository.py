@@ -16,15 +16,15 @@ def list_sources(root: str, suffix: str = ".py", prefixes: tuple[str, ...] = ())
     """Relative paths with ``suffix``, sorted; links are followed, directories named ``.x`` are not entered.
 
     ``prefixes`` keeps only these files and what lies below these directories.
-    A directory that a link leads back to is entered once.
+    A link back to a directory above it is not entered.
     """
-    found, seen = [], set()
+    found, above = [], {}
     for folder, names, files in os.walk(root, followlinks=True):
         real = os.path.realpath(folder)
-        if real in seen:
+        if real in above.get(os.path.dirname(folder), ()):
             names[:] = []
             continue
-        seen.add(real)
+        above[folder] = {*above.get(os.path.dirname(folder), ()), real}
         names[:] = sorted(n for n in names if not n.startswith("."))
         found += [os.path.relpath(os.path.join(folder, f), root).replace(os.sep, "/") for f in files if f.endswith(suffix)]
     if prefixes:
