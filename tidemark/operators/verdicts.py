@@ -70,8 +70,12 @@ def read_verdicts(spark: SparkSession, paths: str | list[str], run_files: bool =
 
     With ``run_files`` every document also has target, repo and an integer run.
     """
-    # the text source has no row for an empty file, which must not pass
-    files = spark.read.format("binaryFile").load(paths).select("path", F.decode("content", "UTF-8").alias("value"))
+    raw = spark.read.format("binaryFile").load(paths)
+    # Spark lists empty files but gives no row for them
+    listed, read = len(raw.inputFiles()), raw.count()
+    if not listed or read < listed:
+        raise VerdictError(f"{listed} verdict files, {listed - read} of them empty")
+    files = raw.select("path", F.decode("content", "UTF-8").alias("value"))
 
     def parse(batches):
         import pandas as pd
