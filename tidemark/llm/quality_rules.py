@@ -62,15 +62,19 @@ def with_base_counts(docs: DataFrame) -> DataFrame:
 
 
 def _features(d: DataFrame) -> DataFrame:
-    """Add the transformed statistics; shares go through the variance-stabilising arcsine of their root."""
-    share = lambda a, b: F.asin(F.sqrt(F.least(F.lit(1.0), F.col(a) / F.greatest(F.col(b), F.lit(1)))))
+    """Add the transformed statistics; shares go through the variance-stabilising arcsine of their root.
+
+    A share's denominator is raised by a constant, so that one repeated line
+    among three says less than a hundred among three hundred.
+    """
+    share = lambda a, b, more: F.asin(F.sqrt(F.least(F.lit(1.0), F.col(a) / (F.col(b) + F.lit(more)))))
     return d.select(
         "*",
         F.log1p("n_words").alias("log_words"),
         F.log1p(F.col("word_chars") / F.greatest("n_words", F.lit(1))).alias("log_word_chars"),
-        share("n_symbols", "word_chars").alias("symbol_share"),
-        share("n_dup_lines", "n_lines").alias("dup_line_share"),
-        share("n_repeat_words", "n_words").alias("repeat_share"),
+        share("n_symbols", "word_chars", 50).alias("symbol_share"),
+        share("n_dup_lines", "n_lines", 5).alias("dup_line_share"),
+        share("n_repeat_words", "n_words", 50).alias("repeat_share"),
     )
 
 
