@@ -145,8 +145,11 @@ def occurrences(text: str, spans: list[tuple[int, int, int]], longest: int = 80)
 SCANNED = "uid long, doc_id long, base array<struct<kind:int,start:int,end:int>>, occ array<struct<start:int,end:int,seed:int,instance:long,patterns:array<long>>>"
 
 
-def scan(docs: DataFrame) -> DataFrame:
-    """One row per row of ``docs``: base spans and occurrences, written once."""
+def scan(docs: DataFrame, uid: str | None = None) -> DataFrame:
+    """One row per row of ``docs``: base spans and occurrences, written once.
+
+    ``uid`` names a column that tells the rows apart; without it one is made.
+    """
     arrow = [
         pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])),
         pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.int32()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])),
@@ -161,7 +164,8 @@ def scan(docs: DataFrame) -> DataFrame:
                 occ.append([dict(zip(("start", "end", "seed", "instance", "patterns"), o)) for o in occurrences(text or "", spans)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, arrow[0]), pa.array(occ, arrow[1])], names=["uid", "doc_id", "base", "occ"])
 
-    rows = docs.select(F.monotonically_increasing_id().alias("uid"), F.col("doc_id").cast("long"), "text")
+    number = F.col(uid) if uid else F.monotonically_increasing_id()
+    rows = docs.select(number.alias("uid"), F.col("doc_id").cast("long"), "text")
     return stage(rows.mapInArrow(run, SCANNED), "pii-scan")
 
 
@@ -186,7 +190,7 @@ def believed_patterns(scanned: DataFrame, rounds: int = 3, min_support: int = 3,
     return patterns
 
 
-def find_personal_data(docs: DataFrame, rounds: int = 3) -> DataFrame:
+def find_personal_data(docs: DataFrame, rounds: int = 3, uid: str | None = None) -> DataFrame:
     """(uid, doc_id, base, spans): base spans and all spans per row of ``docs`` (doc_id, text).
 
     An added span takes the kind of its most confident pattern: an e-mail only
@@ -194,7 +198,7 @@ def find_personal_data(docs: DataFrame, rounds: int = 3) -> DataFrame:
     points, ends exclusive.  A null text has no spans; null ids and repeated
     rows are kept; an empty table gives no rows.
     """
-    scanned = scan(docs)
+    scanned = scan(docs, uid)
     patterns = believed_patterns(scanned, rounds)
     loose = scanned.select("uid", F.explode("occ").alias("o")).where("o.seed < 0").select("uid", "o.start", "o.end", F.explode("o.patterns").alias("pattern"))
     marked = join_checked(loose, patterns, "pattern", "inner").groupBy("uid", "start", "end").agg(F.max_by("kind", F.struct(F.col("conf"), -F.col("kind"))).alias("kind"))
@@ -230,22 +234,21 @@ def mask(text: str | None, spans: list[tuple[int, int, int]]) -> str | None:
     return "".join(out) + text[at:]
 
 
-def mask_documents(docs: DataFrame, rounds: int = 3) -> DataFrame:
+def mask_documents(docs: DataFrame, rounds: int = 3, max_broadcast: int = 500_000) -> DataFrame:
     """``docs`` with the personal data in ``text`` masked; other columns as they were.
 
-    The believed patterns are learned over all rows, then each row's text is
-    scanned again where it stands, so texts are not shuffled.
+    The believed patterns are learned over all rows.  Up to ``max_broadcast``
+    of them are broadcast and each text is scanned again where it stands, so
+    texts are not shuffled; beyond that the spans are joined to the rows.
     """
     patterns = believed_patterns(scan(docs), rounds)
-    limit = 1_000_000
-    rows = patterns.limit(limit + 1).collect()
-    if len(rows) > limit:
-        raise ValueError(f"more than {limit} believed patterns; raise min_support")
+    at = docs.columns.index("text")
+    if patterns.limit(max_broadcast + 1).count() > max_broadcast:
+        return _mask_by_join(docs, rounds)
     best: dict[int, tuple[float, int]] = {}
-    for pattern, kind, conf in rows:
+    for pattern, kind, conf in patterns.toLocalIterator():
         best[pattern] = max(best.get(pattern, (0.0, -9)), (conf, -kind))
     shared = docs.sparkSession.sparkContext.broadcast(best)
-    at = docs.columns.index("text")
 
     def run(batches):
         known = shared.value
@@ -265,6 +268,25 @@ def mask_documents(docs: DataFrame, rounds: int = 3) -> DataFrame:
     return docs.mapInArrow(run, docs.schema)
 
 
+def _mask_by_join(docs: DataFrame, rounds: int) -> DataFrame:
+    """The same masks, with each row's spans found and joined by a row number that is written first."""
+    numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
+    found = stage(find_personal_data(numbered, rounds, "_row").where(F.size("spans") > 0).select(F.col("uid").alias("_row"), F.col("spans").alias("_spans")), "pii-spans")
+    joined = numbered.join(found, "_row", "left").select(*docs.columns, "_spans")
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for batch in batches:
+            rows = zip(batch.column(at).to_pylist(), batch.column(len(docs_columns)).to_pylist())
+            texts = [mask(t, [(s["kind"], s["start"], s["end"]) for s in spans or []]) for t, spans in rows]
+            columns = list(batch.columns)[:-1]
+            columns[at] = pa.array(texts, pa.string())
+            yield pa.RecordBatch.from_arrays(columns, names=docs_columns)
+
+    docs_columns = list(docs.columns)
+    return joined.mapInArrow(run, docs.schema)
+
+
 def sha256_of(spans: list[tuple[int, int, int]]) -> str:
     """The digest of ``span_report`` in plain Python, for tests."""
     return hashlib.sha256(",".join(f"{KINDS[k]}:{a}:{b}" for k, a, b in sorted(spans)).encode()).hexdigest()
