@@ -96,16 +96,16 @@ def _factor(d: DataFrame, s: str, scale: float = 1.0) -> DataFrame:
     n = range(len(_P))
     a = {(i, j): F.coalesce(F.col(f"{s}c{i}_{j}"), F.lit(0.0)) * scale + (FEATURES[_P[i]] ** 2 if i == j else 0.0) for i, j in _PAIRS}
     d = d.withColumns({f"_a{i}_{j}": x for (i, j), x in a.items()})
+    minus = lambda first, terms: reduce(lambda x, y: x - y, terms, first)
     for j in n:  # one column of the factor after the other
-        square = reduce(lambda x, y: x - y, [F.col(f"_a{j}_{j}")] + [F.col(f"_l{j}_{k}") * F.col(f"_l{j}_{k}") for k in range(j)])
-        d = d.withColumn(f"_l{j}_{j}", F.sqrt(F.greatest(square, F.lit(1e-12))))
-        rest = {f"_l{i}_{j}": reduce(lambda x, y: x - y, [F.col(f"_a{i}_{j}")] + [F.col(f"_l{i}_{k}") * F.col(f"_l{j}_{k}") for k in range(j)]) / F.col(f"_l{j}_{j}") for i in n if i > j}
-        d = d.withColumns(rest) if rest else d
-    for j in n:
-        d = d.withColumn(f"{s}w{j}_{j}", 1 / F.col(f"_l{j}_{j}"))
-        for i in range(j + 1, len(_P)):
-            total = reduce(lambda x, y: x + y, [F.col(f"_l{i}_{k}") * F.col(f"{s}w{k}_{j}") for k in range(j, i)])
-            d = d.withColumn(f"{s}w{i}_{j}", -total / F.col(f"_l{i}_{i}"))
+        diagonal = F.sqrt(F.greatest(minus(F.col(f"_a{j}_{j}"), [F.col(f"_l{j}_{k}") * F.col(f"_l{j}_{k}") for k in range(j)]), F.lit(1e-12)))
+        below = {f"_l{i}_{j}": minus(F.col(f"_a{i}_{j}"), [F.col(f"_l{i}_{k}") * F.col(f"_l{j}_{k}") for k in range(j)]) / diagonal for i in n if i > j}
+        d = d.withColumns({f"_l{j}_{j}": diagonal, **below})
+    for i in n:  # one row of its inverse after the other
+        row = {f"{s}w{i}_{i}": 1 / F.col(f"_l{i}_{i}")}
+        for j in range(i):
+            row[f"{s}w{i}_{j}"] = minus(F.lit(0.0), [F.col(f"_l{i}_{k}") * F.col(f"{s}w{k}_{j}") for k in range(j, i)]) / F.col(f"_l{i}_{i}")
+        d = d.withColumns(row)
     logdet = reduce(lambda x, y: x + y, [2 * F.log(F.col(f"_l{i}_{i}")) for i in n])
     return d.withColumn(f"{s}logdet", logdet).drop(*[c for c in d.columns if c.startswith(("_a", "_l"))])
 
