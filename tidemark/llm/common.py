@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -45,6 +48,22 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def giving_back(task: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """The same task function, which gives freed memory back to the system when a partition ends.
+
+    Python workers live on between stages, and would keep the peak of one
+    stage through the next.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        yield from task(batches)
+        pa.default_memory_pool().release_unused()
+        if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+            libc.malloc_trim(0)
+
+    return run
+
+
 def join_checked(big: DataFrame, small: DataFrame, on, how: str = "left", max_rows: int = 200_000) -> DataFrame:
     """Join with a staged ``small`` side: broadcast up to ``max_rows`` rows, shuffled beyond.
 

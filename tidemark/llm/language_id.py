@@ -17,7 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import fold, stage
+from .common import fold, giving_back, stage
 
 #: First code points of script ranges, and the script of each (0: none in particular).
 SCRIPT_STARTS = [
@@ -102,7 +102,7 @@ def learn(train: DataFrame, buckets: int = 1 << 16, max_languages: int = 512) ->
                 words = by_lang.setdefault(lang, {})
                 for w in text.split():
                     words[w] = words.get(w, 0) + 1
-                if len(words) > 300_000:
+                if len(words) > 60_000:
                     add(totals, lang, by_lang.pop(lang))
             for lang, words in by_lang.items():
                 add(totals, lang, words)
@@ -118,7 +118,7 @@ def learn(train: DataFrame, buckets: int = 1 << 16, max_languages: int = 512) ->
         for s in range(N_SCRIPTS):
             total[buckets + s] += int((times * letters)[masks >> s & 1 == 1].sum())
 
-    rows = train.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull()).mapInArrow(count, "lang string, slot long, n long")
+    rows = train.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull()).mapInArrow(giving_back(count), "lang string, slot long, n long")
     rows = stage(rows.groupBy("lang", "slot").agg(F.sum("n").alias("n")), "trigram-counts")
     languages = sorted(r[0] for r in rows.select("lang").distinct().limit(max_languages + 1).collect())
     if len(languages) > max_languages:
@@ -185,7 +185,7 @@ def viterbi(emissions: np.ndarray, word_of: np.ndarray, sizes: np.ndarray, penal
     return labels
 
 
-def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, chunk_chars: int = 12_000_000, max_words: int = 600_000) -> DataFrame:
+def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, chunk_chars: int = 4_000_000, max_words: int = 200_000) -> DataFrame:
     """Append lang_pred, score and spans to ``docs`` (any columns, among them text).
 
     ``lang_pred`` is the language with most letters over the labelled spans,
@@ -218,8 +218,8 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, chunk_
             if new:
                 more = sorted(new)
                 rows.update(zip(more, range(len(rows), len(rows) + len(more))))
-                scores, sizes = score_words(more, m)
-                table, letters = np.concatenate([table, scores]), np.concatenate([letters, sizes])
+                parts = [score_words(more[k : k + 40_000], m) for k in range(0, len(more), 40_000)]
+                table, letters = np.concatenate([table, *(p[0] for p in parts)]), np.concatenate([letters, *(p[1] for p in parts)])
             sizes = np.array([len(w) for w in split], np.int64)
             of = np.fromiter((rows[w] for words in split for w in words), np.int64, int(sizes.sum()))
             path = viterbi(table, of, sizes, penalty)
@@ -252,7 +252,7 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, chunk_
             columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, arrow_span)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
-    return inputs.mapInArrow(run, schema)
+    return inputs.mapInArrow(giving_back(run), schema)
 
 
 def identify_held_out(docs: DataFrame, modulus: int = 4, held: int = 2) -> DataFrame:

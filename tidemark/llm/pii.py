@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, stage
+from .common import giving_back, join_checked, stage
 
 KINDS = ("email", "ip", "card", "phone")
 
@@ -166,7 +166,7 @@ def scan(docs: DataFrame, uid: str | None = None) -> DataFrame:
 
     number = F.col(uid) if uid else F.monotonically_increasing_id()
     rows = docs.select(number.alias("uid"), F.col("doc_id").cast("long"), "text")
-    return stage(rows.mapInArrow(run, SCANNED), "pii-scan")
+    return stage(rows.mapInArrow(giving_back(run), SCANNED), "pii-scan")
 
 
 def believed_patterns(scanned: DataFrame, rounds: int = 3, min_support: int = 3, min_precision: float = 0.8) -> DataFrame:
@@ -265,7 +265,7 @@ def mask_documents(docs: DataFrame, rounds: int = 3, max_broadcast: int = 500_00
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(giving_back(run), docs.schema)
 
 
 def _mask_by_join(docs: DataFrame, rounds: int) -> DataFrame:

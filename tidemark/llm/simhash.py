@@ -16,7 +16,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import join_checked, stage
+from .common import giving_back, join_checked, stage
 
 _ALL = np.uint64(0xFFFFFFFFFFFFFFFF)
 
@@ -43,7 +43,7 @@ def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
             fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype="<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(run), "doc_id long, fp long")
 
 
 def _block_masks(blocks: int) -> list[int]:

@@ -23,7 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stage
+from .common import giving_back, stage
 from .tokenizer import encoder
 
 MAGIC = b"TMPLANE1"
@@ -162,7 +162,7 @@ def write_planes(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{out_dir}/{target}"], "n_docs": [len(writer.docs)], "n_ids": [writer.n_ids]})
 
     ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
-    return stage(ordered.mapInArrow(write, MANIFEST), "plane-manifest")
+    return stage(ordered.mapInArrow(giving_back(write), MANIFEST), "plane-manifest")
 
 
 def read_planes(manifest: DataFrame) -> DataFrame:

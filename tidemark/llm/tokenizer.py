@@ -19,13 +19,12 @@ class CachedEncoder(dict):
     Strings of special tokens inside a text are ordinary text.
     """
 
-    def __init__(self, path: str, max_entries: int = 1_200_000):
+    def __init__(self, path: str, max_entries: int = 350_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.max_entries = max_entries
-        self.pieces: dict[str, bytes] = {}
         self.model_tokens = self.tokenizer.model.tokenize
         self.normalize = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else None
         self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
@@ -37,12 +36,7 @@ class CachedEncoder(dict):
         self.odd = re.compile(r"  |[^\S ] | [^\S ]" if self.space_sensitive else r"(?!)").search
 
     def _piece(self, piece: str) -> bytes:
-        ids = self.pieces.get(piece)
-        if ids is None:
-            ids = np.array([t.id for t in self.model_tokens(piece)], dtype="<u4").tobytes()
-            if len(self.pieces) < self.max_entries:
-                self.pieces[piece] = ids
-        return ids
+        return np.array([t.id for t in self.model_tokens(piece)], dtype="<u4").tobytes()
 
     def _chunk(self, chunk: str) -> bytes:
         if self.normalize:
@@ -50,9 +44,10 @@ class CachedEncoder(dict):
         return b"".join([self._piece(p) for p, _ in self.split(chunk)])
 
     def __missing__(self, chunk: str) -> bytes:
-        body, tail = (chunk[:-1], chunk[-1]) if chunk[-1:] in (".", ",") else (chunk, "")
-        if _PLAIN(body):
-            ids = self._piece(self.mark + (body.lower() if self.lower else body)) + (self._piece(tail) if tail else b"")
+        if _PLAIN(chunk):
+            ids = self._piece(self.mark + (chunk.lower() if self.lower else chunk))
+        elif chunk[-1:] in (".", ",") and _PLAIN(chunk[:-1]):
+            ids = self[chunk[:-1]] + self._piece(chunk[-1])
         else:
             ids = self._chunk(self.lead + chunk)
         if len(self) < self.max_entries:
