@@ -19,7 +19,7 @@ class CachedEncoder(dict):
     Strings of special tokens inside a text are ordinary text.
     """
 
-    def __init__(self, path: str, max_entries: int = 350_000):
+    def __init__(self, path: str, max_entries: int = 700_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
