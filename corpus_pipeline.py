@@ -12,9 +12,14 @@ from tidemark.llm.common import join_checked, stage
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
-def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose doc_id is in ``ids`` (column gone); null ids match each other."""
-    return join_checked(docs, ids, F.col("doc_id").eqNullSafe(F.col("gone")), "left_anti")
+def _numbered(docs: DataFrame) -> DataFrame:
+    """The stage's columns and a number per row, written first: ids may repeat or be null."""
+    return stage(docs.select(*COLUMNS).withColumn("row", F.monotonically_increasing_id()), "pipeline-rows")
+
+
+def _without(rows: DataFrame, gone: DataFrame, label: str) -> DataFrame:
+    """``rows`` without those whose number is in ``gone`` (one column)."""
+    return join_checked(rows, stage(gone, label).toDF("row"), "row", "left_anti").select(*COLUMNS)
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,22 +35,17 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep the document with the smallest id of every SimHash component; of rows that share an id, one."""
-    found = stage(simhash.near_duplicates(docs), "pipeline-components")
-    gone = found.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("gone")).distinct()
-    kept = _without(docs.select(*COLUMNS), stage(gone, "pipeline-duplicates"))
-    repeated = stage(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("gone")), "pipeline-repeated")
-    if not repeated.limit(1).count():
-        return kept
-    again = join_checked(kept, repeated, F.col("doc_id").eqNullSafe(F.col("gone")), "left_semi")
-    return _without(kept, repeated).unionByName(again.dropDuplicates(["doc_id"]))
+    """Keep one row of every SimHash component: the one with the smallest id, of several the first."""
+    rows = _numbered(docs)
+    return _without(rows, simhash.repeated_rows(rows, "row"), "pipeline-duplicates")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop documents that hold at least 0.8 of the shingles of a ``benchmark`` item."""
+    """Drop the rows that hold at least 0.8 of the shingles of a ``benchmark`` item."""
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
-    found = decontamination.find_contaminated(docs, items).select(F.col("doc_id").alias("gone")).distinct()
-    return _without(docs.select(*COLUMNS), stage(found, "pipeline-contaminated"))
+    rows = _numbered(docs)
+    found = decontamination.find_contaminated(rows.select(F.col("row").alias("doc_id"), "text"), items).select("doc_id").distinct()
+    return _without(rows, found, "pipeline-contaminated")
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -32,3 +32,18 @@ def test_decisions(spark, sf_dir, tmp_path):
     assert 5 not in {r.doc_id for r in kept.select("doc_id").collect()}
     masked = {r.doc_id: r for r in P.personal_data(spark, kept, sf_dir).collect()}
     assert "mail <EMAIL> now" in masked[500].text and masked[500].n_chars == len(masked[500].text)
+
+
+def test_rows_are_removed_one_by_one(spark, sf_dir, tmp_path):
+    text = lambda k: " ".join(f"{chr(97 + (k * 7 + i) % 26)}{k}word{i * k}" for i in range(40))
+    rows = [(None, text(1)), (None, text(2)), (None, text(2)), (None, text(3)), (7, text(4)), (7, text(5)), (8, text(3)), (9, text(5)), (10, text(6)), (10, text(7)), (None, text(8))]
+    docs = spark.createDataFrame([(i, t, "en", "s", 0) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    of = {t: k for k in range(1, 9) for t in [text(k)]}
+    found = lambda d: sorted(((r.doc_id, of[r.text]) for r in d.collect()), key=str)
+    kept = stage(P.near_duplicates(spark, docs, sf_dir), "rows")
+    # every text once; the row with the smallest id stays, and one with an id before one without
+    assert kept.columns == P.COLUMNS
+    assert found(kept) == sorted([(None, 1), (None, 2), (8, 3), (7, 4), (7, 5), (10, 6), (10, 7), (None, 8)], key=str)
+    spark.createDataFrame([(1, text(1)), (2, text(6))], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    clean = P.decontaminate(spark, kept, f"file://{tmp_path}")
+    assert found(clean) == sorted([(None, 2), (8, 3), (7, 4), (7, 5), (10, 7), (None, 8)], key=str)

@@ -35,15 +35,16 @@ def fingerprint(text: str | None, shingle: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<u8")[0])
 
 
-def with_fingerprints(docs: DataFrame, shingle: int = 3) -> DataFrame:
-    """(doc_id, fp): the fingerprint of every row, as the signed long of the same bits."""
+def with_fingerprints(docs: DataFrame, shingle: int = 3, row: str | None = None) -> DataFrame:
+    """(doc_id, fp): the fingerprint of every row, as the signed long of the same bits; with ``row``, that column of longs too."""
 
     def run(batches):
         for batch in batches:
-            fps = np.array([fingerprint(t, shingle) for t in batch.column(1).to_pylist()], dtype="<u8").view("<i8")
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+            fps = np.array([fingerprint(t, shingle) for t in batch.column(batch.num_columns - 1).to_pylist()], dtype="<u8").view("<i8")
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(fps)], names=[*batch.schema.names[:-1], "fp"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(run), "doc_id long, fp long")
+    keys = [F.col("doc_id").cast("long"), *([F.col(row)] if row else [])]
+    return docs.select(*keys, "text").mapInArrow(giving_back(run), f"doc_id long, {f'`{row}` long, ' if row else ''}fp long")
 
 
 def _block_masks(blocks: int) -> list[int]:
@@ -212,6 +213,16 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     raise RuntimeError(f"labels still move after {rounds} rounds")
 
 
+def _least_of_components(rows: DataFrame, key: Column, radius: int, blocks: int) -> DataFrame:
+    """(fp, least) per distinct fingerprint of ``rows``: the least ``key`` of all rows that its component holds."""
+    firsts = stage(rows.groupBy("fp").agg(F.min(key).alias("first")), "distinct-fps")
+    linked = components(close_edges(firsts.select("fp"), radius, blocks))
+    linked_first = stage(firsts.join(linked, firsts.fp == linked.node).select("fp", "root", "first"), "linked")
+    root_first = stage(linked_first.groupBy("root").agg(F.min("first").alias("least")), "roots")
+    moved = stage(linked_first.join(root_first, "root").select("fp", "least"), "moved")
+    return stage(firsts.join(moved, "fp", "left").select("fp", F.coalesce("least", "first").alias("least")), "components")
+
+
 def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks: int = 5) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id for every row.
 
@@ -222,10 +233,18 @@ def near_duplicates(docs: DataFrame, shingle: int = 3, radius: int = 3, blocks:
     such rows alone has a null component_id.  Repeated rows are kept.
     """
     rows = stage(with_fingerprints(docs, shingle), "fingerprints")
-    firsts = stage(rows.groupBy("fp").agg(F.min("doc_id").alias("first")), "distinct-fps")
-    linked = components(close_edges(firsts.select("fp"), radius, blocks))
-    linked_first = stage(firsts.join(linked, firsts.fp == linked.node).select("fp", "root", "first"), "linked")
-    root_first = stage(linked_first.groupBy("root").agg(F.min("first").alias("component_id")), "roots")
-    moved = stage(linked_first.join(root_first, "root").select("fp", "component_id"), "moved")
-    of_fp = stage(firsts.join(moved, "fp", "left").select("fp", F.coalesce("component_id", "first").alias("component_id")), "components")
-    return rows.join(of_fp, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
+    of_fp = _least_of_components(rows, F.col("doc_id"), radius, blocks)
+    return rows.join(of_fp, "fp", "left").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), F.col("least").alias("component_id"))
+
+
+def repeated_rows(docs: DataFrame, row: str, shingle: int = 3, radius: int = 3, blocks: int = 5) -> DataFrame:
+    """The ``row`` of every row of ``docs`` but one per component of the same links.
+
+    ``row`` names a column of written, distinct longs.  The row that stays is
+    the one with the smallest doc_id (a null one comes last), then the smallest
+    ``row``; what ids repeat or are null decides nothing else.
+    """
+    rows = stage(with_fingerprints(docs, shingle, row), "fingerprints")
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), F.col(row).alias("row"))
+    of_fp = _least_of_components(rows, key, radius, blocks)
+    return rows.join(of_fp.select("fp", F.col("least.row").alias("_stays")), "fp").where(F.col(row) != F.col("_stays")).select(row)
