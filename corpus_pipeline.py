@@ -23,15 +23,18 @@ def _without(rows: DataFrame, gone: DataFrame, label: str) -> DataFrame:
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep documents with a language: not ``und``, and scored at least one half.
+    """Keep documents whose language spans are supported by at least one half, however many languages they have.
 
     The model is learned from the stage's own labelled rows, all but the
-    held-out quarter that the operator's query keeps out as well.
+    held-out quarter that the operator's query keeps out as well.  Without any
+    labelled row nothing speaks against a text that has a letter.
     """
     base = docs.select(*COLUMNS)
     model = language_id.learn(base.where(language_id.fold(F.col("doc_id"), 4) != 2))
+    if not model.languages:
+        return base.where(F.col("text").rlike(r"\p{L}"))
     found = language_id.identify(base, model)
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= 0.5)).select(*COLUMNS)
+    return found.where((F.col("lang_pred") != "und") & (F.col("support") >= 0.5)).select(*COLUMNS)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

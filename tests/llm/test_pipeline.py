@@ -47,3 +47,17 @@ def test_rows_are_removed_one_by_one(spark, sf_dir, tmp_path):
     spark.createDataFrame([(1, text(1)), (2, text(6))], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
     clean = P.decontaminate(spark, kept, f"file://{tmp_path}")
     assert found(clean) == sorted([(None, 2), (8, 3), (7, 4), (7, 5), (10, 7), (None, 8)], key=str)
+
+
+def test_clean_mixed_texts_stay(spark, sf_dir):
+    en, de, fr = "the house and the garden with some water for the people of the town ", "das haus und der garten mit etwas wasser fuer die leute aus der stadt ", "la maison et le jardin avec un peu d eau pour les gens de la ville "
+    ru = "дом и сад с водой для всех людей города "
+    rows = [(4 * i + k, t * 3, lang) for i in range(30) for k, (t, lang) in enumerate(((en, "en"), (de, "de"), (fr, "fr"), (ru, "ru")))]
+    mixed = {1001: en * 5 + de * 5 + fr * 5, 1002: en * 6 + de * 5, 1003: "достопримечательностями " * 12 + en * 2, 1004: "plain words " + en + ru * 2}
+    bad = {1011: "12345 67890", 1012: "", 1013: None, 1014: "ελλάδα"}
+    frame = lambda rows: spark.createDataFrame([(i, t, lang, "s", 0) for i, t, lang in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    odd = [(i, t, None) for i, t in {**mixed, **bad}.items()]
+    ids = lambda d: {r.doc_id for r in d.select("doc_id").collect()}
+    assert ids(P.language(spark, frame(rows + odd), sf_dir)) == {r[0] for r in rows} | set(mixed)
+    # without labels there is nothing to reject a text with letters for
+    assert ids(P.language(spark, frame([(i, t, None) for i, t, _ in rows + odd]), sf_dir)) == {r[0] for r in rows} | set(mixed) | {1014}

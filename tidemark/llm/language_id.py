@@ -186,20 +186,22 @@ def viterbi(emissions: np.ndarray, word_of: np.ndarray, sizes: np.ndarray, penal
 
 
 def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, chunk_chars: int = 4_000_000, max_words: int = 200_000) -> DataFrame:
-    """Append lang_pred, score and spans to ``docs`` (any columns, among them text).
+    """Append lang_pred, score, support and spans to ``docs`` (any columns, among them text).
 
     ``lang_pred`` is the language with most letters over the labelled spans,
     ``und`` for a text that is null or has no letter (or if nothing was
     learned).  ``score`` is its share of the letters times its posterior given
-    the whole text's word scores.  ``spans`` lists (first, last, lang) by
-    position among the white-space separated words.  Earlier columns of these
-    three names are replaced.
+    the whole text's word scores.  ``support`` is the mean over all letters of
+    the posterior of their own span's label given that span's word scores, so
+    several languages in one text do not lower it.  ``spans`` lists (first,
+    last, lang) by position among the white-space separated words.  Earlier
+    columns of these four names are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    inputs = docs.drop("lang_pred", "score", "spans")
+    inputs = docs.drop("lang_pred", "score", "support", "spans")
     at_text = inputs.columns.index("text")
     span = T.ArrayType(T.StructType([T.StructField("first", T.IntegerType()), T.StructField("last", T.IntegerType()), T.StructField("lang", T.StringType())]))
-    schema = T.StructType([*inputs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("spans", span)])
+    schema = T.StructType([*inputs.schema.fields, T.StructField("lang_pred", T.StringType()), T.StructField("score", T.DoubleType()), T.StructField("support", T.DoubleType()), T.StructField("spans", span)])
     has_letter = re.compile(r"[^\W\d_]").search
 
     def run(batches):
@@ -210,7 +212,7 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, chunk_
         def label(texts):
             nonlocal rows, table, letters
             if not m.languages:
-                return [("und", 0.0, [])] * len(texts)
+                return [("und", 0.0, 0.0, [])] * len(texts)
             split = [t.split() if t and has_letter(t) else [] for t in texts]
             new = set().union(*split).difference(rows)
             if len(rows) + len(new) > max_words:
@@ -229,14 +231,18 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, chunk_
                 at += size
                 per = np.bincount(langs, weights=letters[mine], minlength=len(m.languages))
                 if not per.sum():
-                    out.append(("und", 0.0, []))
+                    out.append(("und", 0.0, 0.0, []))
                     continue
                 total = table[mine].sum(0)
                 odds = np.exp(total - total.max())
                 pick = int(per.argmax())
                 cuts = np.r_[0, np.flatnonzero(langs[1:] != langs[:-1]) + 1, size]
+                inside, own = np.add.reduceat(table[mine], cuts[:-1]) if len(cuts) > 2 else total[None], langs[cuts[:-1]]
+                odds_in = np.exp(inside - inside.max(1, keepdims=True))
+                sure = odds_in[np.arange(len(own)), own] / odds_in.sum(1)
+                support = float((np.add.reduceat(letters[mine], cuts[:-1]) * sure).sum() / per.sum())
                 spans = [{"first": int(a), "last": int(b) - 1, "lang": m.languages[langs[a]]} for a, b in zip(cuts[:-1], cuts[1:])]
-                out.append((m.languages[pick], float(per[pick] / per.sum() * odds[pick] / odds.sum()), spans))
+                out.append((m.languages[pick], float(per[pick] / per.sum() * odds[pick] / odds.sum()), support, spans))
             return out
 
         arrow_span = pa.list_(pa.struct([("first", pa.int32()), ("last", pa.int32()), ("lang", pa.string())]))
@@ -248,8 +254,8 @@ def identify(docs: DataFrame, model: LanguageModel, penalty: float = 8.0, chunk_
                 if held >= chunk_chars or i == len(texts) - 1:
                     done += label(texts[begin : i + 1])
                     begin, held = i + 1, 0
-            langs, scores, spans = zip(*done) if done else ((), (), ())
-            columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(spans, arrow_span)]
+            langs, scores, supports, spans = zip(*done) if done else ((), (), (), ())
+            columns = [*batch.columns, pa.array(langs, pa.string()), pa.array(scores, pa.float64()), pa.array(supports, pa.float64()), pa.array(spans, arrow_span)]
             yield pa.RecordBatch.from_arrays(columns, names=schema.names)
 
     return inputs.mapInArrow(giving_back(run), schema)
