@@ -51,6 +51,29 @@ def test_bootstrapping_finds_what_no_base_pattern_matches(spark):
     assert masked[202] == unseen[2][1] and "@" not in masked[3]
 
 
+def test_neighbouring_identifiers_are_found_singly(spark):
+    cards = "7536784127813050 4845168114407329"
+    rows = [(i, f"please call phone number +1 (555) {200 + i}-{4000 + i} today") for i in range(30)]
+    rows += [(50, "paid by 4845168114407329 now"), (51, f"numbers {cards} follow"), (52, "reach +1 555 201 4000 soon")]
+    rows += [(60, "please call phone number +1 555 201 4000 555-867-5309 today"), (61, "please call phone number 5551 today"), (62, "please call phone number ext-55x today")]
+    column = " ".join(f"555-867-{5000 + k}" for k in range(12))
+    rows += [(63, f"please call phone number {column} today"), (64, "write bob@example.org 555-1234 or 12 of 345")]
+    text = dict(rows)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: [text[r.doc_id][s.start : s.end] for s in r.spans] for r in pii.find_personal_data(docs).collect()}
+    assert got[51] == ["4845168114407329"] and got[50] == ["4845168114407329"]
+    assert got[60] == ["+1 555 201 4000", "555-867-5309"]
+    assert got[61] == ["5551"] and got[62] == ["ext-55x"] and got[63] == [column] and got[64] == ["bob@example.org"]
+    assert sorted(pii.mask_documents(docs).collect()) == sorted(pii.mask_documents(docs, max_broadcast=0).collect())
+
+
+def test_candidates_lie_outside_base_spans():
+    text = "a 12 34 bob@x.org,56 7 8 9 10 11 12 13 k:14"
+    found = [text[a:b] for a, b, kind, *_ in pii.occurrences(text, pii.base_spans(text)) if kind < 0]
+    assert {"12", "34", "12 34", "56", "7 8", "8 9 10 11 12 13", "56 7 8 9 10 11 12 13", "14"} <= set(found)
+    assert not any("@" in f for f in found) and "56 7 8 9 10 11 12" not in found
+
+
 def test_mixed_languages_are_split_into_spans(spark):
     en, de, ru = "the house and the garden with some water ", "das haus und der garten mit etwas wasser ", "дом и сад с водой для всех людей "
     train = spark.createDataFrame([(i, t * 3, lang) for i in range(40) for t, lang in ((en, "en"), (de, "de"), (ru, "ru"))], "doc_id long, text string, lang string")

@@ -2,9 +2,10 @@
 
 Base matches are the seed entities.  The contexts in which they stand are
 lexical patterns; a bipartite graph links patterns to the identifiers found in
-them.  Spark scores both sides in turns: a pattern by the share of its
-instances that are believed, an instance by its believed patterns.  Patterns
-of high confidence then mark identifiers that no base pattern matches.
+them.  Spark scores both sides in turns: a pattern by the share of its places
+that hold a believed instance, an instance by its believed patterns.  Patterns
+of high confidence, and seeds that stand elsewhere in a form no base pattern
+matches, then mark further identifiers.
 """
 
 from __future__ import annotations
@@ -33,6 +34,7 @@ _DIGIT = re.compile("[0-9]").search
 _TOKEN = re.compile(r"\S+")
 _LETTER = re.compile(r"[^\W\d_]").search
 _EDGES = ".,;:!?()[]{}<>\"'"
+_KEY = re.compile(r"[^\W\d_]+[:=](?=.)")
 
 
 def _emails(text: str) -> list[tuple[int, int]]:
@@ -86,63 +88,129 @@ def _hash(text: str) -> int:
     return h - (1 << 64) if h >> 63 else h
 
 
-def occurrences(text: str, spans: list[tuple[int, int, int]], longest: int = 80) -> list[tuple[int, int, int, int, list[int]]]:
-    """(start, end, seed kind or -1, instance, patterns) of base spans and identifier-like tokens.
+def _pieces(tokens: list[tuple[int, int]], taken: list[tuple[int, int]]):
+    """The parts of tokens outside the ``taken`` spans (sorted), in order."""
+    k = 0
+    for a, b in tokens:
+        while k < len(taken) and taken[k][1] <= a:
+            k += 1
+        at, j = a, k
+        while j < len(taken) and taken[j][0] < b:
+            if taken[j][0] > at:
+                yield at, taken[j][0]
+            at = max(at, taken[j][1])
+            j += 1
+        if at < b:
+            yield at, b
+
+
+def _candidates(text: str, tokens: list[tuple[int, int]], taken: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
+    """Identifier-like parts of a text outside its base spans, see ``occurrences``."""
+    found: list[tuple[int, int]] = []
+    run: list[tuple[int, int]] = []
 
-    Identifier-like is a token with an @ inside, or a run of tokens of six or
-    more digits without letters, of at most ``longest`` characters.  A pattern
-    is the two words before, or the words on either side, with the coarse
-    shape; a key such as ``phone:`` at the token's start counts as a word.
+    def trimmed(a: int, b: int) -> None:
+        while a < b and text[a] in _EDGES and text[a] != "(":
+            a += 1
+        while b > a and text[b - 1] in _EDGES:
+            b -= 1
+        if "@" in text[a + 1 : b - 1] or _DIGIT(text, a, b):
+            found.append((a, b))
+
+    def close() -> None:
+        for i, (a, _) in enumerate(run):
+            for _, b in run[i : i + most]:
+                trimmed(a, b)
+        if len(run) > most:
+            trimmed(run[0][0], run[-1][1])
+        run.clear()
+
+    for a, b in _pieces(tokens, taken):
+        if run and not text[run[-1][1] : a].isspace():
+            close()
+        piece = text[a:b]
+        if _DIGIT(piece) and not _LETTER(piece) and "@" not in piece:
+            run.append((a, b))
+            continue
+        close()
+        key = _KEY.match(piece)
+        trimmed(a + key.end() if key else a, b)
+    close()
+    return sorted(set(found))
+
+
+def occurrences(text: str, spans: list[tuple[int, int, int]], most: int = 6) -> list[tuple[int, int, int, int, int, list[int]]]:
+    """(start, end, seed kind or -1, instance, site, patterns) of base spans and identifier-like parts of the rest.
+
+    Identifier-like is what has an @ inside or a digit: single tokens (without
+    a key such as ``phone:`` before them), and of a run of tokens without
+    letters every sub-run of up to ``most`` tokens and the whole.  Base spans
+    are cut out first.  A pattern is the two words before, or the words on
+    either side, with the coarse shape; a key at the token's start counts as a
+    word.  ``site`` is the longest candidate from the same start: candidates
+    of one site are readings of one place, and the first pattern counts them once.
     """
     if "@" not in text and not _DIGIT(text):
         return []
     tokens = [m.span() for m in _TOKEN.finditer(text)]
     starts = [a for a, _ in tokens]
-    taken = sorted((a, b) for _, a, b in spans)
-    taken_starts = [a for a, _ in taken]
-
-    def free(a: int, b: int) -> bool:
-        k = bisect_left(taken_starts, b)
-        return not any(e > a for _, e in taken[max(0, k - 4) : k])
-
     found = [(a, b, kind) for kind, a, b in spans]
-    run: list[tuple[int, int]] = []
-    for a, b in [*tokens, (len(text), len(text))]:
-        token = text[a:b]
-        numeric = b > a and _DIGIT(token) and not _LETTER(token) and "@" not in token
-        if numeric:
-            run.append((a, b))
-            continue
-        if run:
-            found.append((run[0][0], run[-1][1], -1))
-            run = []
-        if "@" in token[1:-1]:
-            found.append((a, b, -1))
-    out = []
+    found += [(a, b, -1) for a, b in _candidates(text, tokens, sorted((a, b) for _, a, b in spans), most)]
+    longest: dict[int, int] = {}
     for a, b, kind in found:
         if kind < 0:
-            while a < b and text[a] in _EDGES and text[a] != "(":
-                a += 1
-            while b > a and text[b - 1] in _EDGES:
-                b -= 1
-            body = text[a:b]
-            if not free(a, b) or len(body) > longest or ("@" not in body and sum(c.isdigit() for c in body) < 6):
-                continue
+            longest[a] = max(b, longest.get(a, 0))
+    word = lambda w: re.sub("[0-9]+", "0", w.lower().strip(".,;()[]\"'"))
+    out = []
+    for a, b, kind in found:
         body = text[a:b]
         shape = "@" if "@" in body else "#"
         k = bisect_right(starts, a) - 1
         inside = text[starts[k] : a] if k >= 0 else ""
         before = [text[x:y] for x, y in tokens[max(0, k - 2) : k]] + ([inside] if inside.strip("(") else [])
         after = bisect_left(starts, b)
-        word = lambda w: re.sub("[0-9]+", "0", w.lower().strip(".,;()[]\"'"))
         left = [word(w) for w in ["^", "^", *before][-2:]]
         right = word(text[slice(*tokens[after])]) if after < len(tokens) else "$"
         patterns = [_hash(f"L {left[0]} {left[1]} {shape}"), _hash(f"B {left[1]} {right} {shape}")]
-        out.append((a, b, kind, _hash(f"{shape} {body.lower()}"), patterns))
+        instance = _hash(f"{shape} {body.lower()}")
+        whole = text[a : longest[a]].lower() if kind < 0 and longest[a] > b else None
+        out.append((a, b, kind, instance, instance if whole is None else _hash(f"{shape} {whole}"), patterns))
     return out
 
 
-SCANNED = "uid long, doc_id long, base array<struct<kind:int,start:int,end:int>>, occ array<struct<start:int,end:int,seed:int,instance:long,patterns:array<long>>>"
+def chosen(marked: list[tuple[float, int, int, int]], readings: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the marked candidates (score, kind, start, end) that stay: best score first, then the longest.
+
+    None overlap.  What a marked candidate holds besides a better one inside
+    it stays as the longest of the other ``readings`` (start, end) there.
+    """
+    starts: list[int] = []
+    kept: list[tuple[int, int, int]] = []
+
+    def add(kind: int, start: int, end: int) -> bool:
+        k = bisect_left(starts, end)
+        if k and kept[k - 1][2] > start:
+            return False
+        starts.insert(k, start)
+        kept.insert(k, (kind, start, end))
+        return True
+
+    order = sorted(marked, key=lambda m: (-m[0], m[2] - m[3], m[2], m[1]))
+    rest = [m[1:] for m in order if not add(*m[1:])]
+    if rest:
+        readings, end_of = sorted(readings), 0
+        for kind, start, end in sorted(rest, key=lambda m: (m[1], -m[2])):
+            if end <= end_of:  # inside an earlier one
+                continue
+            end_of = end
+            inside = [r for r in readings[bisect_left(readings, (start, 0)) : bisect_left(readings, (end, 0))] if r[1] <= end]
+            for a, b in sorted(inside, key=lambda r: (r[0] - r[1], r[0])):
+                add(kind, a, b)
+    return kept
+
+
+_OCCURRENCE = ("start", "end", "seed", "instance", "site", "patterns")
+SCANNED = "uid long, doc_id long, base array<struct<kind:int,start:int,end:int>>, occ array<struct<start:int,end:int,seed:int,instance:long,site:long,patterns:array<long>>>"
 
 
 def scan(docs: DataFrame, uid: str | None = None) -> DataFrame:
@@ -152,7 +220,7 @@ def scan(docs: DataFrame, uid: str | None = None) -> DataFrame:
     """
     arrow = [
         pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])),
-        pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.int32()), ("instance", pa.int64()), ("patterns", pa.list_(pa.int64()))])),
+        pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.int32()), ("instance", pa.int64()), ("site", pa.int64()), ("patterns", pa.list_(pa.int64()))])),
     ]
 
     def run(batches):
@@ -161,7 +229,7 @@ def scan(docs: DataFrame, uid: str | None = None) -> DataFrame:
             for text in batch.column(2).to_pylist():
                 spans = base_spans(text or "")
                 base.append([dict(zip(("kind", "start", "end"), s)) for s in spans])
-                occ.append([dict(zip(("start", "end", "seed", "instance", "patterns"), o)) for o in occurrences(text or "", spans)])
+                occ.append([dict(zip(_OCCURRENCE, o)) for o in occurrences(text or "", spans)])
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, arrow[0]), pa.array(occ, arrow[1])], names=["uid", "doc_id", "base", "occ"])
 
     number = F.col(uid) if uid else F.monotonically_increasing_id()
@@ -169,22 +237,38 @@ def scan(docs: DataFrame, uid: str | None = None) -> DataFrame:
     return stage(rows.mapInArrow(giving_back(run), SCANNED), "pii-scan")
 
 
+def _seeds(occ: DataFrame) -> DataFrame:
+    """(instance, kind, conf) of the base matches."""
+    return occ.where("seed >= 0").select("instance", F.col("seed").alias("kind")).distinct().withColumn("conf", F.lit(1.0))
+
+
+def loose_seeds(scanned: DataFrame) -> DataFrame:
+    """(instance, kind): seeds that also stand where no base pattern matches them."""
+    occ = scanned.select(F.explode("occ").alias("o")).select("o.*")
+    loose = occ.where("seed < 0").select("instance").distinct()
+    return stage(join_checked(loose, stage(_seeds(occ), "pii-seeds"), "instance", "inner").select("instance", "kind"), "pii-loose")
+
+
 def believed_patterns(scanned: DataFrame, rounds: int = 3, min_support: int = 3, min_precision: float = 0.8) -> DataFrame:
     """(pattern, kind, conf) of the patterns that the scores of the last round believe.
 
-    The graph holds distinct (pattern, instance) pairs, so copies of a text
-    add nothing and a frequent context is only as heavy as its instances.
+    The graph holds distinct (pattern, site, instance) triples, so copies of a
+    text add nothing and a frequent context is only as heavy as its sites.  A
+    site is believed as much as the best of its instances, and a pattern makes
+    only the longest reading of a site believed, not each number in it.
     """
     occ = scanned.select(F.explode("occ").alias("o")).select("o.*")
-    edges = stage(occ.select(F.explode("patterns").alias("pattern"), "instance").distinct(), "pii-edges")
-    totals = stage(edges.groupBy("pattern").agg(F.count("*").alias("n")), "pii-totals")
-    seeds = stage(occ.where("seed >= 0").select("instance", F.col("seed").alias("kind")).distinct().withColumn("conf", F.lit(1.0)), "pii-seeds")
+    # the first pattern is that of all candidates from one start, the second one that of a candidate alone
+    linked = F.explode(F.transform("patterns", lambda p, i: F.struct(p.alias("pattern"), F.when(i == 0, F.col("site")).otherwise(F.col("instance")).alias("site"))))
+    edges = stage(occ.select(linked.alias("e"), "instance").select("e.pattern", "e.site", "instance").distinct(), "pii-edges")
+    totals = stage(edges.groupBy("pattern").agg(F.count_distinct("site").alias("n")), "pii-totals")
+    seeds = stage(_seeds(occ), "pii-seeds")
     believed = seeds
     for _ in range(rounds):
-        hits = join_checked(edges, believed, "instance", "inner").groupBy("pattern", "kind").agg(F.sum("conf").alias("mass"), F.count("*").alias("support"))
+        hits = join_checked(edges, believed, "instance", "inner").groupBy("pattern", "site", "kind").agg(F.max("conf").alias("conf")).groupBy("pattern", "kind").agg(F.sum("conf").alias("mass"), F.count("*").alias("support"))
         scored = join_checked(stage(hits, "pii-hits"), totals, "pattern", "inner").withColumn("conf", F.col("mass") / F.col("n"))
         patterns = stage(scored.where((F.col("support") >= min_support) & (F.col("conf") >= min_precision)).select("pattern", "kind", F.least("conf", F.lit(0.99)).alias("conf")), "pii-patterns")
-        reached = join_checked(edges, patterns, "pattern", "inner").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("conf"))
+        reached = join_checked(edges.where("site = instance"), patterns, "pattern", "inner").groupBy("instance", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("conf"))
         new = reached.where(F.col("conf") >= min_precision)
         believed = stage(seeds.unionByName(new).groupBy("instance", "kind").agg(F.max("conf").alias("conf")), "pii-believed")
     return patterns
@@ -193,18 +277,34 @@ def believed_patterns(scanned: DataFrame, rounds: int = 3, min_support: int = 3,
 def find_personal_data(docs: DataFrame, rounds: int = 3, uid: str | None = None) -> DataFrame:
     """(uid, doc_id, base, spans): base spans and all spans per row of ``docs`` (doc_id, text).
 
-    An added span takes the kind of its most confident pattern: an e-mail only
-    for tokens with an @, another kind only for numbers.  Offsets are code
-    points, ends exclusive.  A null text has no spans; null ids and repeated
-    rows are kept; an empty table gives no rows.
+    An added span takes the kind of its most confident patterns: an e-mail only
+    for tokens with an @, another kind only for numbers.  Of added spans that
+    overlap, the best one stays.  Offsets are code points, ends exclusive.  A
+    null text has no spans; null ids and repeated rows are kept; an empty table
+    gives no rows.
     """
     scanned = scan(docs, uid)
     patterns = believed_patterns(scanned, rounds)
-    loose = scanned.select("uid", F.explode("occ").alias("o")).where("o.seed < 0").select("uid", "o.start", "o.end", F.explode("o.patterns").alias("pattern"))
-    marked = join_checked(loose, patterns, "pattern", "inner").groupBy("uid", "start", "end").agg(F.max_by("kind", F.struct(F.col("conf"), -F.col("kind"))).alias("kind"))
-    added = stage(marked.groupBy("uid").agg(F.collect_list(F.struct("kind", "start", "end")).alias("added")), "pii-added")
-    spans = F.array_sort(F.concat("base", F.coalesce("added", F.array().cast("array<struct<kind:int,start:int,end:int>>"))))
-    return scanned.select("uid", "doc_id", "base").join(added, "uid", "left").select("uid", "doc_id", "base", spans.alias("spans"))
+    loose = scanned.select("uid", F.explode("occ").alias("o")).where("o.seed < 0").select("uid", "o.start", "o.end", "o.instance", "o.patterns")
+    by_pattern = join_checked(loose.select("uid", "start", "end", F.explode("patterns").alias("pattern")), patterns, "pattern", "inner")
+    by_pattern = by_pattern.groupBy("uid", "start", "end", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score"))
+    by_seed = join_checked(loose, loose_seeds(scanned), "instance", "inner").select("uid", "start", "end", "kind", F.lit(1.0).alias("score"))
+    marked = stage(by_pattern.unionByName(by_seed).groupBy("uid").agg(F.collect_list(F.struct("score", "kind", "start", "end")).alias("marked")), "pii-marked")
+    arrow = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
+
+    def choose(batches):
+        for batch in batches:
+            spans = []
+            for base, readings, ms in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
+                found = chosen([(m["score"], m["kind"], m["start"], m["end"]) for m in ms or []], [(r["start"], r["end"]) for r in readings or []])
+                spans.append([dict(zip(("kind", "start", "end"), x)) for x in sorted([(x["kind"], x["start"], x["end"]) for x in base] + found)])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, arrow)], names=["uid", "doc_id", "base", "spans"])
+
+    # only rows with a mark need their readings
+    readings = F.when(F.col("marked").isNotNull(), F.transform(F.filter("occ", lambda o: o["seed"] < 0), lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"))))
+    kind = "array<struct<kind:int,start:int,end:int>>"
+    joined = scanned.join(marked, "uid", "left").select("uid", "doc_id", "base", readings.alias("readings"), "marked")
+    return joined.mapInArrow(giving_back(choose), f"uid long, doc_id long, base {kind}, spans {kind}")
 
 
 def span_report(docs: DataFrame) -> DataFrame:
@@ -238,29 +338,40 @@ def mask_documents(docs: DataFrame, rounds: int = 3, max_broadcast: int = 500_00
     """``docs`` with the personal data in ``text`` masked; other columns as they were.
 
     The believed patterns are learned over all rows.  Up to ``max_broadcast``
-    of them are broadcast and each text is scanned again where it stands, so
-    texts are not shuffled; beyond that the spans are joined to the rows.
+    of them and of the seeds that stand unmatched somewhere are broadcast and
+    each text is scanned again where it stands, so texts are not shuffled;
+    beyond that the spans are joined to the rows.
     """
-    patterns = believed_patterns(scan(docs), rounds)
+    scanned = scan(docs)
+    patterns, seeds = believed_patterns(scanned, rounds), loose_seeds(scanned)
     at = docs.columns.index("text")
-    if patterns.limit(max_broadcast + 1).count() > max_broadcast:
+    if patterns.limit(max_broadcast + 1).count() + seeds.limit(max_broadcast + 1).count() > max_broadcast:
         return _mask_by_join(docs, rounds)
-    best: dict[int, tuple[float, int]] = {}
+    of_pattern: dict[int, list[tuple[int, float]]] = {}
     for pattern, kind, conf in patterns.toLocalIterator():
-        best[pattern] = max(best.get(pattern, (0.0, -9)), (conf, -kind))
-    shared = docs.sparkSession.sparkContext.broadcast(best)
+        of_pattern.setdefault(pattern, []).append((kind, conf))
+    of_seed: dict[int, list[int]] = {}
+    for instance, kind in seeds.toLocalIterator():
+        of_seed.setdefault(instance, []).append(kind)
+    shared = docs.sparkSession.sparkContext.broadcast((of_pattern, of_seed))
 
     def run(batches):
-        known = shared.value
+        of_pattern, of_seed = shared.value
         for batch in batches:
             texts = []
             for text in batch.column(at).to_pylist():
                 spans = base_spans(text or "")
-                for start, end, seed, _, pats in occurrences(text or "", spans):
-                    hits = [known[p] for p in pats if p in known]
-                    if seed < 0 and hits:
-                        spans.append((-max(hits)[1], start, end))
-                texts.append(mask(text, spans))
+                marked, readings = [], []
+                for start, end, seed, instance, _, pats in occurrences(text or "", spans):
+                    if seed >= 0:
+                        continue
+                    readings.append((start, end))
+                    doubt: dict[int, float] = {}
+                    for kind, conf in [x for p in pats for x in of_pattern.get(p, ())]:
+                        doubt[kind] = doubt.get(kind, 1.0) * (1 - conf)
+                    marked += [(1 - d, kind, start, end) for kind, d in doubt.items()]
+                    marked += [(1.0, kind, start, end) for kind in of_seed.get(instance, ())]
+                texts.append(mask(text, spans + chosen(marked, readings)))
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
