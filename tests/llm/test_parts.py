@@ -14,7 +14,7 @@ from public_tokenizers import path
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import context_mixing, language_id, pii, quality_classifier, zip_warc
+from tidemark.llm import context_mixing, language_id, pii, quality_classifier, quality_rules, zip_warc
 from tidemark.llm.tokenizer import CachedEncoder
 
 ENCODERS = {name: (CachedEncoder(path(name)), Tokenizer.from_file(path(name))) for name in ("byte_bpe_50k.json", "word_bpe_49k.json")}
@@ -136,6 +136,27 @@ def test_sparse_sites_shrink_and_dense_ones_speak(spark):
     assert got[1000].path_score > 0.9 > got[1002].path_score > 0.1 > got[1001].path_score
 
 
+def test_quality_verdicts_do_not_switch_with_a_sites_size(spark):
+    def text(rng, lines, symbols):
+        return "\n".join(" ".join("".join(rng.choice("abcdefgh") for _ in range(rng.randint(2, 8))) + "#" * (rng.random() < symbols) for _ in range(9)) for _ in range(lines))
+
+    rng = random.Random(4)
+    hot = [(i, text(rng, rng.randint(7, 12), 0.02), "en", "hot") for i in range(400)]
+    sparse = [(1000 + i, text(rng, rng.randint(20, 60), 0.9), "en", "sparse") for i in range(101)]
+
+    def distances(n):
+        docs = spark.createDataFrame(hot + sparse[:n] + [(5000, "short", "en", "new"), (5001, text(random.Random(1), 9, 0.02), "en", "new")], "doc_id long, text string, lang string, source string")
+        return {r.doc_id: (r.distance2, r.kept) for r in quality_rules.apply_quality_rules(docs).collect()}
+
+    few, more, tiny = distances(99), distances(101), distances(5)
+    shared = [i for i in few if 1000 <= i < 5000]
+    assert [few[i][1] for i in shared] == [more[i][1] for i in shared]
+    assert all(abs(few[i][0] - more[i][0]) < 0.1 * more[i][0] + 0.5 for i in shared)
+    # the site's own few rows already speak
+    assert np.mean([tiny[i][0] for i in range(1000, 1005)]) > np.mean([few[i][0] for i in range(1000, 1005)])
+    assert few[5000] == (None, False) and few[5001][1]
+
+
 def test_code_lengths_are_a_distribution():
     tokens, counts = ["ab", "abc", "b", ""], np.array([50.0, 20.0, 30.0, 10.0])
     slots, sums = 1 << 12, np.zeros((2, 1 << 12))

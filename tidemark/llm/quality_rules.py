@@ -121,7 +121,7 @@ def _columns(s: str) -> list[str]:
 
 
 def robust_estimates(rows: DataFrame, share: float = 0.75, steps: int = 3, accuracy: int = 2000) -> DataFrame:
-    """One MCD estimate per ``grp``: centre, inverse Cholesky factor, one row each.
+    """One MCD estimate per ``grp``: number of rows, centre and covariance of the core (fm, fc columns), one row each.
 
     ``share`` of a group's rows make the core; its order statistic is an
     approximate percentile with rank error 1/``accuracy``, whose sketches merge,
@@ -148,18 +148,50 @@ def robust_estimates(rows: DataFrame, share: float = 0.75, steps: int = 3, accur
     # reweighting: scale the distances so that their median is that of chi-square, then moments of the 0.975 core
     near = join_checked(rows, stage(best, "mcd-raw"), "grp").select("grp", *_P, _d2("r").alias("rd"))
     scale = stage(near.groupBy("grp").agg((F.percentile_approx("rd", 0.5, accuracy) / CHI2_HALF).alias("scale")), "mcd-scale")
-    core = join_checked(near, scale, "grp").groupBy("grp").agg(*_moments("f", F.col("rd") <= CHI2_975 * F.greatest(F.col("scale"), F.lit(1e-9))))
-    return stage(_factor(core, "f", CORE_FACTOR).select("grp", *_columns("f")), "mcd")
+    core = join_checked(near, scale, "grp").groupBy("grp").agg(F.count("*").alias("n"), *_moments("f", F.col("rd") <= CHI2_975 * F.greatest(F.col("scale"), F.lit(1e-9))))
+    return stage(core.withColumns({f"fc{i}_{j}": F.col(f"fc{i}_{j}") * CORE_FACTOR for i, j in _PAIRS}), "mcd")
 
 
-def apply_quality_rules(docs: DataFrame, min_words: int = 50, min_group: int = 100, cutoff: float = CHI2_REJECT) -> DataFrame:
+def _shrunk(d: DataFrame, own: str, parent: str, out: str, prior: float) -> DataFrame:
+    """Add estimate ``out``: ``own`` with weight n / (n + prior), ``parent`` with the rest, as the moments of that mixture.
+
+    Nothing of its own (null) counts as no rows.
+    """
+    n = F.coalesce(F.col(f"{own}n"), F.lit(0))
+    w = n / (n + prior)
+    has = lambda c: F.coalesce(F.col(f"{own}{c}"), F.col(f"{parent}{c}"))
+    gap = [has(f"m{i}") - F.col(f"{parent}m{i}") for i in range(len(_P))]
+    mean = {f"{out}m{i}": F.col(f"{parent}m{i}") + w * gap[i] for i in range(len(_P))}
+    return d.withColumns(mean | {f"{out}c{i}_{j}": w * has(f"c{i}_{j}") + (1 - w) * F.col(f"{parent}c{i}_{j}") + w * (1 - w) * gap[i] * gap[j] for i, j in _PAIRS})
+
+
+def site_estimates(rows: DataFrame, sites: DataFrame, prior: float) -> DataFrame:
+    """The estimate of every row of ``sites`` (site, language): its own, shrunk toward its language's, and that toward all rows'.
+
+    ``rows`` has site, language and the statistics.  All three levels are
+    estimated in one run, each row standing in a group of each.
+    """
+    levels = F.array(F.concat(F.lit("s"), "site"), F.concat(F.lit("l"), "language"), F.lit("a"))
+    found = robust_estimates(rows.select(F.explode(levels).alias("grp"), *_P))
+    named = lambda s: [F.col("grp").alias(f"{s}grp"), F.col("n").alias(f"{s}n"), *[F.col(f"f{c}").alias(f"{s}{c}") for c in [f"m{i}" for i in range(len(_P))] + [f"c{i}_{j}" for i, j in _PAIRS]]]
+    d = sites.crossJoin(F.broadcast(found.where("grp = 'a'").select(*named("x"))))
+    d = join_checked(d, found.where("grp LIKE 'l%'").select(*named("y")), F.col("ygrp") == F.concat(F.lit("l"), "language"))
+    d = join_checked(d, found.where("grp LIKE 's%'").select(*named("z")), F.col("zgrp") == F.concat(F.lit("s"), "site"))
+    d = _shrunk(_shrunk(d, "y", "x", "v", prior), "z", "v", "f", prior)
+    d = stage(d.select("site", *[c for c in d.columns if c[:2] in ("fm", "fc")]), "mcd-shrunk")
+    return stage(_factor(d, "f").select("site", *_columns("f")), "mcd-sites")
+
+
+def apply_quality_rules(docs: DataFrame, min_words: int = 50, prior: float = 50.0, cutoff: float = CHI2_REJECT) -> DataFrame:
     """Base counts and verdict per row of ``docs`` (doc_id, text, lang, source).
 
     ``base_failed``: fewer than ``min_words`` words, or more than half of the
     words in repeated 3-word windows.  Every other row has a squared robust
-    distance from its group; ``kept`` needs it at most ``cutoff``.  A group is
-    (lang, source), null counting as a value, if ``min_group`` rows pass the
-    base rules there, else the language, else all rows.
+    distance from its site's estimate; ``kept`` needs it at most ``cutoff``.
+    A site is (lang, source), null counting as a value.  Every site has its
+    own estimate, with weight n / (n + ``prior``) for its n rows that pass the
+    base rules and the rest for its language, which is shrunk toward all rows
+    in the same way; so no number of rows switches a verdict.
 
     A null text has no words, so it fails the base rules.  Null ids and
     repeated rows are kept as rows of their own; an empty table gives none.
@@ -167,13 +199,10 @@ def apply_quality_rules(docs: DataFrame, min_words: int = 50, min_group: int = 1
     rows = stage(_features(with_base_counts(docs)).withColumn("base_failed", (F.col("n_words") < min_words) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))), "quality-counts")
     tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("?"))
     site, language = F.concat_ws("\u0001", tag("lang"), tag("source")), tag("lang")
-    keyed = rows.select("*", site.alias("_site"), language.alias("_language"))
-    size = lambda key: stage(keyed.where(~F.col("base_failed")).groupBy(key).agg(F.count("*").alias("_n")).where(F.col("_n") >= min_group).drop("_n").withColumn(f"{key}_ok", F.lit(True)), "group-sizes")
-    keyed = join_checked(join_checked(keyed, size("_site"), "_site"), size("_language"), "_language")
-    keyed = keyed.withColumn("grp", F.when(F.col("_site_ok"), F.col("_site")).when(F.col("_language_ok"), F.col("_language")).otherwise(F.lit("")))
-    keyed = stage(keyed.drop("_site", "_language", "_site_ok", "_language_ok"), "quality-rows")
+    keyed = rows.select("*", site.alias("site"), language.alias("language"))
     passing = keyed.where(~F.col("base_failed"))
-    found = join_checked(keyed, robust_estimates(passing), "grp")
+    sites = stage(passing.select("site", "language").distinct(), "quality-sites")
+    found = join_checked(keyed, site_estimates(passing, sites, prior), "site")
     distance = F.when(~F.col("base_failed"), _d2("f"))
     return found.select(
         "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed",
