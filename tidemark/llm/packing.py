@@ -69,7 +69,8 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: i
     """Tokenize whole texts, add ``end_id`` and cut each document at multiples of ``capacity``."""
 
     def cut(batches):
-        encode, end = encoder(tokenizer_path).encode, int(end_id).to_bytes(4, "little")
+        cached, end = encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
+        encode = cached.encode
         for batch in batches:
             rows = [[], [], [], [], []]
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
@@ -79,6 +80,7 @@ def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: i
                     for column, value in zip(rows, (doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
+        cached.clear()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(cut), PIECES)
 

@@ -3,67 +3,107 @@
 from __future__ import annotations
 
 import re
+import struct
 
-import numpy as np
+#: Words of these letters alone are one pre-token in every vocabulary, and composed already: A-Z, a-z and the
+#: precomposed Latin letters up to U+024F, without the one that has two code points in lower case.
+_PLAIN = re.compile("[A-Za-zÀ-ÖØ-öø-įı-ɏ]+\\Z").match
 
-#: Words of these letters alone are one pre-token in every vocabulary, and unchanged by normal forms.
-_PLAIN = re.compile(r"[A-Za-z]+\Z").match
+
+def byte_letters() -> dict[int, str]:
+    """The printable character that stands for each byte in byte-level vocabularies: itself, or one from U+0100 on."""
+    printable = {*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)}
+    others = [b for b in range(256) if b not in printable]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 class CachedEncoder(dict):
-    """Ids of whole texts, the same as the tokenizer's own, with a bounded cache of space-delimited chunks.
+    """Ids of whole texts, the same as the tokenizer's own, with a bounded cache of the chunks between white space.
+
+    A single space, or a single line feed, between two other characters starts
+    a new pre-token in these vocabularies, so a text can be cut there and the
+    chunks encoded one by one.  Texts with other spacing go to the tokenizer
+    whole.  A special token's string in a text is that token, as the tokenizer
+    takes it: texts are cut there first.
 
-    A single space between two non-space characters always starts a new
-    pre-token in these vocabularies, so a text can be cut there and the chunks
-    encoded one by one.  Texts with other spacing go to the tokenizer whole.
-    Strings of special tokens inside a text are ordinary text.
+    The cache has two generations of at most ``max_entries`` chunks; what is not
+    used while one fills up is forgotten.
     """
 
-    def __init__(self, path: str, max_entries: int = 700_000):
+    def __init__(self, path: str, max_entries: int = 200_000):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
         self.max_entries = max_entries
+        self.special = {t.content: struct.pack("<I", i) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.cut_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")" if self.special else r"(?!)").split
         self.model_tokens = self.tokenizer.model.tokenize
         self.normalize = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else None
         self.split = self.tokenizer.pre_tokenizer.pre_tokenize_str
         # does a leading space become part of the following pre-token?
         self.lead = " " if len(self.split(" a")[0][0]) == 2 else ""
         self.space_sensitive = self.lead == " "
-        self.mark = "Ġ" if self.lead else ""
         self.lower = bool(self.normalize) and self.normalize("A") == "a"
-        self.odd = re.compile(r"  |[^\S ] | [^\S ]" if self.space_sensitive else r"(?!)").search
+        self.odd = re.compile(r"\s(?:\s|\Z)|[^\S \n]").search
+        self.letters = str.maketrans(byte_letters())
+        self.line_end = self._whole("a\n")[4:] if self.space_sensitive else b""
+        self.old: dict[str, bytes] = {}
+
+    def clear(self) -> None:
+        """Forget all chunks."""
+        super().clear()
+        self.old = {}
 
     def _piece(self, piece: str) -> bytes:
-        return np.array([t.id for t in self.model_tokens(piece)], dtype="<u4").tobytes()
+        ids = [t.id for t in self.model_tokens(piece)]
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def _whole(self, text: str) -> bytes:
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
 
-    def _chunk(self, chunk: str) -> bytes:
+    def _chunk(self, lead: str, chunk: str) -> bytes:
+        """Ids of a chunk after ``lead``."""
+        if _PLAIN(chunk):
+            word = lead + (chunk.lower() if self.lower else chunk)
+            return self._piece(word.encode().decode("latin-1").translate(self.letters))
+        if chunk[-1:] in (".", ",") and _PLAIN(chunk[:-1]):
+            return (self[chunk[:-1]] if lead == self.lead else self._chunk(lead, chunk[:-1])) + self._piece(chunk[-1])
+        text = lead + chunk
         if self.normalize:
-            chunk = self.normalize(chunk)
-        return b"".join([self._piece(p) for p, _ in self.split(chunk)])
+            text = self.normalize(text)
+        return b"".join([self._piece(p) for p, _ in self.split(text)])
 
     def __missing__(self, chunk: str) -> bytes:
-        if _PLAIN(chunk):
-            ids = self._piece(self.mark + (chunk.lower() if self.lower else chunk))
-        elif chunk[-1:] in (".", ",") and _PLAIN(chunk[:-1]):
-            ids = self[chunk[:-1]] + self._piece(chunk[-1])
-        else:
-            ids = self._chunk(self.lead + chunk)
-        if len(self) < self.max_entries:
-            self[chunk] = ids
+        """Ids of a chunk that follows a space, or with a line feed before it the chunk that starts a line."""
+        ids = self.old.get(chunk)
+        if ids is None:
+            ids = self._chunk("", chunk[1:]) if chunk[0] == "\n" else self._chunk(self.lead, chunk)
+        if len(self) >= self.max_entries:
+            self.old = dict(self)
+            super().clear()
+        self[chunk] = ids
         return ids
 
+    def _ordinary(self, text: str) -> bytes:
+        """The ids of a text without special tokens."""
+        look_up = self.__getitem__
+        if not self.space_sensitive:
+            return b"".join(map(look_up, filter(None, text.replace("\n", " ").split(" "))))
+        if text[0] in " \n" or self.odd(text):
+            return self._whole(text)
+        lines = []
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            lines.append(look_up("\n" + first) + b"".join(map(look_up, rest)))
+        return self.line_end.join(lines)
+
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
-        if not text:
-            return b""
-        if self.space_sensitive:
-            if text[0] == " " or text[-1] == " " or self.odd(text):
-                return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4").tobytes()
-            chunks = text.split(" ")
-            return self._chunk(chunks[0]) + b"".join(map(self.__getitem__, chunks[1:]))
-        return b"".join(map(self.__getitem__, filter(None, text.replace("\n", " ").split(" "))))
+        parts = self.cut_special(text) if self.special else [text]
+        if len(parts) == 1:
+            return self._ordinary(text) if text else b""
+        return b"".join([self.special.get(p) or self._ordinary(p) for p in parts if p])
 
 
 _encoders: dict[str, CachedEncoder] = {}
