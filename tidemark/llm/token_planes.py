@@ -135,17 +135,19 @@ def filesystem(uri: str):
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
-def write_planes(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = 2, block: int = 65536, planes: str = "byte", level: int = 1) -> DataFrame:
+def write_planes(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = 2, block: int = 65536, planes: str = "byte", level: int = 1, file_chars: int = 1 << 24) -> DataFrame:
     """Encode whole texts and write them in ascending doc_id order; returns the manifest, one row per file.
 
-    Files are doc_id ranges, so reading them by ``part`` gives the global order.
-    Each task attempt writes a file name of its own and only the files of
-    finished tasks are in the manifest, so a repeated task does no harm.
-    Null texts are empty, null ids come first, equal ids are ordered by text.
+    Files are ranges of doc_id and a hash of the text, of about ``file_chars``
+    characters each however many rows share an id, so reading them by ``part``
+    gives the global order.  Each task attempt writes a file name of its own
+    and only the files of finished tasks are in the manifest, so a repeated
+    task does no harm.  Null texts are empty, null ids come first, equal ids
+    are ordered by the hash, then by text.
     """
 
     def write(batches):
-        encode, end, target, writer, out = encoder(tokenizer_path).encode, int(end_id).to_bytes(4, "little"), None, None, None
+        cached, end, target, writer, out = encoder(tokenizer_path), int(end_id).to_bytes(4, "little"), None, None, None
         for batch in batches:
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 if writer is None:
@@ -155,13 +157,16 @@ def write_planes(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
                     target = f"ids-{part:06d}-{uuid.uuid4().hex}.planes"
                     out = fs.open_output_stream(f"{root}/{target}")
                     writer = PlaneWriter(out, block, planes, level)
-                writer.add(doc_id, encode(text or "") + end)
+                writer.add(doc_id, cached.encode(text or "") + end)
+        cached.clear()
         if writer is not None:
             writer.close()
             out.close()
             yield pa.RecordBatch.from_pydict({"part": [part], "path": [f"{out_dir}/{target}"], "n_docs": [len(writer.docs)], "n_ids": [writer.n_ids]})
 
-    ordered = docs.select(F.col("doc_id").cast("long"), "text").repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    chars, = docs.agg(F.coalesce(F.sum(F.char_length("text")), F.lit(0)) + F.count("*")).first()
+    rows = docs.select(F.col("doc_id").cast("long"), "text", F.xxhash64("text").alias("h"))
+    ordered = rows.repartitionByRange(max(1, -(-chars // file_chars)), "doc_id", "h").sortWithinPartitions("doc_id", "h", "text")
     return stage(ordered.mapInArrow(giving_back(write), MANIFEST), "plane-manifest")
 
 
