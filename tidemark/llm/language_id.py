@@ -59,9 +59,11 @@ def word_features(words: list[str], buckets: int):
     word's own ends do.
     """
     letter, script = _tables()
-    joined = "\0" + "\0".join(words) + "\0"
-    points = np.frombuffer(joined.lower().encode("utf-32-le", "surrogatepass"), "<u4")
-    at_end = points == 0
+    lowered = [w.lower() for w in words]
+    points = np.frombuffer(("\0" + "\0".join(lowered) + "\0").encode("utf-32-le", "surrogatepass"), "<u4")
+    # where words end goes by their lengths: a word may hold any character
+    at_end = np.zeros(len(points), bool)
+    at_end[np.cumsum([0, *(len(w) + 1 for w in lowered)])] = True
     owner = np.cumsum(at_end) - 1  # the end before word k belongs to k; the last one to nobody
     is_letter = letter[points]
     points = np.where(is_letter, points, 0).astype(np.uint32)
@@ -87,12 +89,19 @@ class LanguageModel:
     buckets: int
 
 
-def learn(train: DataFrame, buckets: int = 1 << 16, max_languages: int = 512) -> LanguageModel:
+def learn(train: DataFrame, most_buckets: int = 1 << 16, most_cells: int = 1 << 25) -> LanguageModel:
     """Count trigrams per language over all of ``train`` (text, lang); rows with a null in either are left out.
 
     Each task adds up its own rows; what is shuffled and collected is at most
-    buckets + scripts per language.
+    buckets + scripts per language.  There are ``most_buckets`` buckets, or for
+    more than ``most_cells / most_buckets`` languages the largest power of two
+    that keeps the model within ``most_cells``.
     """
+    known = train.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull())
+    languages = sorted(r[0] for r in known.select("lang").distinct().toLocalIterator())
+    buckets = most_buckets
+    while buckets > 1024 and buckets * len(languages) > most_cells:
+        buckets //= 2
 
     def count(batches):
         totals: dict[str, np.ndarray] = {}
@@ -118,14 +127,13 @@ def learn(train: DataFrame, buckets: int = 1 << 16, max_languages: int = 512) ->
         for s in range(N_SCRIPTS):
             total[buckets + s] += int((times * letters)[masks >> s & 1 == 1].sum())
 
-    rows = train.select("text", "lang").where(F.col("text").isNotNull() & F.col("lang").isNotNull()).mapInArrow(giving_back(count), "lang string, slot long, n long")
+    rows = known.mapInArrow(giving_back(count), "lang string, slot long, n long")
     rows = stage(rows.groupBy("lang", "slot").agg(F.sum("n").alias("n")), "trigram-counts")
-    languages = sorted(r[0] for r in rows.select("lang").distinct().limit(max_languages + 1).collect())
-    if len(languages) > max_languages:
-        raise ValueError(f"more than {max_languages} languages to learn")
+    row_of = {lang: i for i, lang in enumerate(languages)}
     counts = np.zeros((len(languages), buckets + N_SCRIPTS))
-    for lang, slot, n in rows.toLocalIterator():
-        counts[languages.index(lang), slot] = n
+    for batch in rows.toArrow().to_batches():
+        at = [row_of[x] for x in batch.column(0).to_pylist()]
+        counts[at, batch.column(1).to_numpy()] = batch.column(2).to_numpy()
     grams, letters = counts[:, :buckets], counts[:, buckets:]
     log_p = np.log((grams + 0.5) / (grams.sum(1, keepdims=True) + 0.5 * buckets))
     used = letters >= 0.01 * np.maximum(letters.sum(1, keepdims=True), 1)
