@@ -23,8 +23,9 @@ from .common import giving_back, join_checked, stage
 
 KINDS = ("email", "ip", "card", "phone")
 
-#: The base patterns.  The e-mail one is split at its @ and matched from there, see _emails.
-_IP = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)")
+#: The base patterns.  The e-mail one is split at its @ and matched from there, see _emails.  A match of
+#: the address pattern starts and ends where a run of digits does; saying so keeps the search linear.
+_IP = re.compile(r"(?<![0-9])[0-9]++(\.[0-9]++)(\.[0-9]++)(\.[0-9]++)")
 _CARD = re.compile(r"[0-9]([\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
