@@ -12,7 +12,7 @@ import xxhash
 from public_tokenizers import path
 from tokenizers import Tokenizer
 
-from tidemark.llm import packing, pii, queries, simhash, token_planes
+from tidemark.llm import decontamination, packing, pii, queries, simhash, token_planes
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -97,6 +97,29 @@ def test_op7_base_and_model(spark, sf_dir, docs):
     assert got[got.held_out].bits_per_byte.mean() < 3.0
 
 
+@pytest.mark.parametrize("threshold", [0.2, 0.5, 0.8, 1.0])
+def test_op6_at_other_thresholds(spark, threshold):
+    rng = np.random.default_rng(8)
+    words = [f"w{i}" for i in range(4000)]
+    texts = [" ".join(rng.choice(words, n)) for n in (3, 8, 40, 150, 300, 700, 2000)]
+    docs, k = [], 0
+    for t in texts:
+        w = t.split()
+        for share in (0.1, 0.25, 0.45, 0.55, 0.79, 0.83, 1.0):
+            part = w[: int(len(w) * share)]
+            docs += [(k, " ".join([*rng.choice(words, 30), *part, *rng.choice(words, 500)])), (k + 1, " ".join(part))]
+            k += 2
+    d = spark.createDataFrame(docs, "doc_id long, text string")
+    b = spark.createDataFrame(list(enumerate(texts)), "item_id long, text string")
+    con = duckdb.connect()
+    con.register("documents", d.toPandas())
+    con.register("benchmark", b.toPandas())
+    want = con.execute(queries.ORACLE_SQL["op6_decontamination"].replace(">= 0.8", f">= {threshold}")).fetchall()
+    for bound in (200_000, 10):
+        got = decontamination.find_contaminated(d, b, threshold, max_broadcast=bound).collect()
+        assert sorted(map(tuple, got)) == sorted(want) and len(want) > 10
+
+
 def test_op8_and_op10_ids(spark, sf_dir, docs):
     want, start = {}, 0
     words = Tokenizer.from_file(path("word_bpe_49k.json"))

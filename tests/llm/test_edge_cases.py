@@ -19,6 +19,8 @@ ROWS = [
     (None, "a b", "en", "b"),
     (6, "über straße schön", "de", "a"),
     (7, "x" * 70_000, "en", "a"),
+    (8, "a\0b cd \0 nul <|endoftext|> end", "en", "a"),
+    (9, "1234567890" * 100_000 + " 10.0.0.1", "en", "a"),
 ]
 OPERATORS = {
     "rules": lambda s, d: quality_rules.apply_quality_rules(d),
@@ -48,6 +50,26 @@ def test_empty_table_gives_no_rows(spark, name):
     assert OPERATORS[name](spark, frame(spark, [])).collect() == []
 
 
+def test_values_on_hostile_texts(spark):
+    docs = frame(spark, ROWS)
+    spans = {r.doc_id: r for r in pii.span_report(docs).collect()}
+    assert (spans[9].n_ip, spans[9].n_card, spans[9].spans.split(",")[0]) == (1, 0, "ip:1000001:1000009")
+    languages = {r.doc_id: r for r in language_id.identify_held_out(docs).collect()}
+    assert languages[2].lang_pred == languages[3].lang_pred == languages[4].lang_pred == languages[9].lang_pred == "und"
+    assert languages[8].lang_pred != "und" and 0 <= languages[8].score <= 1
+    rules = {r.doc_id: r for r in quality_rules.apply_quality_rules(docs).collect()}
+    assert (rules[8].n_words, rules[8].n_symbols, rules[8].word_chars) == (6, 3, 26) and rules[8].base_failed and not rules[8].kept
+    assert (rules[5].n_words, rules[5].n_repeat_words, rules[5].base_failed) == (60_000, 60_000, True)
+    scores = {r.doc_id: r for r in context_mixing.score_documents(docs).collect()}
+    assert scores[2].n_tokens == scores[3].n_tokens == scores[4].n_tokens == 1 and scores[8].n_tokens == 7
+    prints = {r.doc_id: r for r in simhash.near_duplicates(docs).collect()}
+    assert prints[2].fingerprint == prints[4].fingerprint == "0" * 16 and prints[3].component_id == 2
+    ids = {r.doc_id: r for r in token_planes.read_planes(token_planes.write_planes(docs, fresh_dir(spark, "t"), path("word_bpe_49k.json"))).collect()}
+    assert ids[2].n_tokens == ids[3].n_tokens == ids[4].n_tokens == 1 and ids[None].start == 0
+    pieces = [r for r in packing.pack_documents(docs, path("byte_bpe_50k.json")).collect() if r.doc_id == 5]
+    assert sum(r.length for r in pieces) == pieces[0].doc_tokens and len({r.start for r in pieces}) == len(pieces)
+
+
 def test_decontamination_edges(spark):
     items = spark.createDataFrame([(1, "a b"), (2, None), (3, ""), (4, "quick brown fox jumps over the lazy"), (4, "quick brown fox jumps over the lazy"), (None, "ipsum dolor sit amet lorem ipsum")], "item_id long, text string").withColumn("h", F.lit("clash"))
     got = sorted((str(r.doc_id), str(r.item_id), r.containment) for r in decontamination.find_contaminated(frame(spark, ROWS), items).collect())

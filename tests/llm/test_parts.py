@@ -14,7 +14,7 @@ from public_tokenizers import path
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tidemark.llm import context_mixing, language_id, pii, quality_classifier, quality_rules, zip_warc
+from tidemark.llm import language_id, pii, quality_classifier, quality_rules, zip_warc
 from tidemark.llm.tokenizer import CachedEncoder
 
 ENCODERS = {name: (CachedEncoder(path(name)), Tokenizer.from_file(path(name))) for name in ("byte_bpe_50k.json", "word_bpe_49k.json")}
@@ -157,20 +157,64 @@ def test_quality_verdicts_do_not_switch_with_a_sites_size(spark):
     assert few[5000] == (None, False) and few[5001][1]
 
 
-def test_code_lengths_are_a_distribution():
-    tokens, counts = ["ab", "abc", "b", ""], np.array([50.0, 20.0, 30.0, 10.0])
-    slots, sums = 1 << 12, np.zeros((2, 1 << 12))
-    for data, contexts, _, c in context_mixing.blocks_of(tokens, counts):
-        at, bits = context_mixing.bit_slots(data, contexts, slots)
-        for k in range(context_mixing.N_INPUTS):
-            np.add.at(sums.reshape(-1), at[k] + bits * slots, np.broadcast_to(c[:, None], bits.shape))
-    pairs = context_mixing.pair_counts(sums[0], sums[1])
-    tables = context_mixing.Tables(pairs)
-    weights, _, apm = context_mixing.learn_online(tables, list(context_mixing.blocks_of(tokens, counts)) * 20)
-    tables = context_mixing.Tables(pairs, weights, apm)
-    # the first byte's probabilities over all byte values add up to one
-    firsts = [bytes([b]) for b in range(256) if b not in (10, 32)]
-    p = 10 ** context_mixing.code_lengths(tables, tokens)
-    assert (p < 1).all() and p[0] > p[1] > 0.02 and p[2] > 0.05 and len(firsts) == 254
-    once = context_mixing.code_lengths(tables, ["x" * 100_000])
-    assert np.isfinite(once).all() and once[0] < -1000
+def test_the_cache_forgets_but_ids_stay():
+    cached, plain = CachedEncoder(path("byte_bpe_50k.json"), max_entries=3), ENCODERS["byte_bpe_50k.json"][1]
+    text = "one two three four.\nfive one <|endoftext|> two three,\nfour six one seven"
+    for _ in range(3):
+        assert np.frombuffer(cached.encode(text), "<u4").tolist() == plain.encode(text, add_special_tokens=False).ids
+        assert len(cached) <= 3 and len(cached.old) <= 3
+    cached.clear()
+    assert not cached and not cached.old
+    assert 50256 in plain.encode(text, add_special_tokens=False).ids
+
+
+def test_addresses_are_the_leftmost_matches():
+    pattern, rng = re.compile(r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)"), random.Random(2)
+    for _ in range(20_000):
+        text = "".join(rng.choice("12..5 a") for _ in range(rng.randint(0, 25)))
+        assert [m.span() for m in pii._IP.finditer(text)] == [m.span() for m in pattern.finditer(text)]
+
+
+def test_words_may_hold_any_character():
+    words = ["a\0b", "cd", "", "\0", "İstanbul", "x\0"]
+    bucket, word, letters, masks = language_id.word_features(words, 1 << 16)
+    assert letters.tolist()[:4] == [2, 2, 0, 0] and set(word.tolist()) == {0, 1, 4, 5}
+    alone = language_id.word_features(["cd"], 1 << 16)
+    assert bucket[word == 1].tolist() == alone[0].tolist() and masks[1] == alone[3][0]
+
+
+def mcd_by_hand(x, floor, share, steps):
+    """Centre and covariance as the operator defines them, with exact order statistics."""
+    rank = lambda v, p: np.sort(v)[max(0, int(np.ceil(p * len(v))) - 1)]
+    distances = lambda m, c: ((x - m) @ np.linalg.inv(c) * (x - m)).sum(1)
+    moments = lambda y: (y.mean(0), np.cov(y.T, bias=True))
+    median = np.array([rank(v, 0.5) for v in x.T])
+    mad = np.array([rank(np.abs(v - m), 0.5) for v, m in zip(x.T, median)])
+    found = []
+    for m, c in ((median, np.diag((1.4826 * mad) ** 2)), moments(x)):
+        for _ in range(steps):
+            d = distances(m, c + floor)
+            m, c = moments(x[d <= rank(d, share)])
+        found.append((np.linalg.slogdet(c + floor)[1], m, c))
+    _, m, c = min(found, key=lambda f: f[0])
+    d = distances(m, c + floor)
+    m, c = moments(x[d <= quality_rules.CHI2_975 * max(rank(d, 0.5) / quality_rules.CHI2_HALF, 1e-9)])
+    return m, c * quality_rules.CORE_FACTOR
+
+
+def test_robust_estimates_are_those_of_numpy(spark):
+    rng, names = np.random.default_rng(3), list(quality_rules.FEATURES)
+    groups = {}
+    for g, n in (("a", 60), ("b", 200), ("c", 7)):
+        x = rng.normal(size=(n, 5)) @ rng.normal(size=(5, 5)) + rng.normal(size=5)
+        x[: n // 8] += 25  # outliers that pull the plain moments
+        groups[g] = x
+    rows = spark.createDataFrame([(g, *map(float, r)) for g, x in groups.items() for r in x], ["grp", *names])
+    got = {r.grp: r for r in quality_rules.robust_estimates(rows).collect()}
+    floor = np.diag(np.array(list(quality_rules.FEATURES.values())) ** 2)
+    for g, x in groups.items():
+        m, c = mcd_by_hand(x, floor, 0.75, 3)
+        assert got[g].n == len(x)
+        assert np.allclose([got[g][f"fm{i}"] for i in range(5)], m, rtol=1e-6)
+        assert np.allclose([got[g][f"fc{i}_{j}"] for i in range(5) for j in range(i + 1)], [c[i, j] for i in range(5) for j in range(i + 1)], rtol=1e-6, atol=1e-9)
+    assert abs(got["b"].fm0 - groups["b"][25:, 0].mean()) < abs(groups["b"][:, 0].mean() - groups["b"][25:, 0].mean()) / 5
