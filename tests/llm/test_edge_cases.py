@@ -58,7 +58,7 @@ def test_values_on_hostile_texts(spark):
     assert languages[2].lang_pred == languages[3].lang_pred == languages[4].lang_pred == languages[9].lang_pred == "und"
     assert languages[8].lang_pred != "und" and 0 <= languages[8].score <= 1
     rules = {r.doc_id: r for r in quality_rules.apply_quality_rules(docs).collect()}
-    assert (rules[8].n_words, rules[8].n_symbols, rules[8].word_chars) == (6, 3, 26) and rules[8].base_failed and not rules[8].kept
+    assert (rules[8].n_words, rules[8].n_symbols, rules[8].word_chars) == (6, 4, 25) and rules[8].base_failed and not rules[8].kept
     assert (rules[5].n_words, rules[5].n_repeat_words, rules[5].base_failed) == (60_000, 60_000, True)
     scores = {r.doc_id: r for r in context_mixing.score_documents(docs).collect()}
     assert scores[2].n_tokens == scores[3].n_tokens == scores[4].n_tokens == 1 and scores[8].n_tokens == 7

@@ -153,16 +153,15 @@ def robust_estimates(rows: DataFrame, share: float = 0.75, steps: int = 3, accur
 
 
 def _shrunk(d: DataFrame, own: str, parent: str, out: str, prior: float) -> DataFrame:
-    """Add estimate ``out``: ``own`` with weight n / (n + prior), ``parent`` with the rest, as the moments of that mixture.
+    """Add estimate ``out``: centre and covariance of ``own`` with weight n / (n + prior), of ``parent`` with the rest.
 
-    Nothing of its own (null) counts as no rows.
+    Nothing of its own (null) counts as no rows.  The gap between the centres
+    adds nothing to the covariance: a site of a few odd rows would excuse them.
     """
     n = F.coalesce(F.col(f"{own}n"), F.lit(0))
     w = n / (n + prior)
-    has = lambda c: F.coalesce(F.col(f"{own}{c}"), F.col(f"{parent}{c}"))
-    gap = [has(f"m{i}") - F.col(f"{parent}m{i}") for i in range(len(_P))]
-    mean = {f"{out}m{i}": F.col(f"{parent}m{i}") + w * gap[i] for i in range(len(_P))}
-    return d.withColumns(mean | {f"{out}c{i}_{j}": w * has(f"c{i}_{j}") + (1 - w) * F.col(f"{parent}c{i}_{j}") + w * (1 - w) * gap[i] * gap[j] for i, j in _PAIRS})
+    mixed = lambda c: F.col(f"{parent}{c}") + w * (F.coalesce(F.col(f"{own}{c}"), F.col(f"{parent}{c}")) - F.col(f"{parent}{c}"))
+    return d.withColumns({f"{out}{c}": mixed(c) for c in [f"m{i}" for i in range(len(_P))] + [f"c{i}_{j}" for i, j in _PAIRS]})
 
 
 def site_estimates(rows: DataFrame, sites: DataFrame, prior: float) -> DataFrame:
