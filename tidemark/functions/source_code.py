@@ -4,23 +4,12 @@ from __future__ import annotations
 
 import ast
 import io
-import re
 import tokenize
 
 import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql.functions import udtf
-from pyspark.sql.types import ArrayType, StringType
-
-
-@udtf(returnType="c0: int, c1: int")
-class MatchSpans:
-    """All match spans of a regular expression in a text; none for nulls."""
-
-    def eval(self, text: str, regex: str):
-        if text is not None and regex is not None:
-            for m in re.finditer(regex, text):
-                yield m.span()
+from pyspark.sql.types import ArrayType, IntegerType, StringType
 
 
 def comment_spans(source: str) -> list[tuple[int, int, int]]:
@@ -97,3 +86,24 @@ def parse_error(source: pd.Series) -> pd.Series:
         return None
 
     return source.map(check)
+
+
+def stand_in_lines(source: str) -> list[int]:
+    """Lines that set an attribute on a module object built in this file, or on an entry of ``sys.modules``."""
+    try:
+        tree = ast.parse(source)
+    except (SyntaxError, ValueError, RecursionError):
+        return []
+    is_module = lambda e: isinstance(e, ast.Call) and ast.unparse(e.func) in ("types.ModuleType", "ModuleType")
+    is_entry = lambda e: isinstance(e, ast.Subscript) and ast.unparse(e.value) == "sys.modules"
+    assigned = [n for n in ast.walk(tree) if isinstance(n, ast.Assign)]
+    built = {ast.unparse(t) for n in assigned if is_module(n.value) or is_entry(n.value) or any(map(is_entry, n.targets)) for t in n.targets}
+    found = [n.lineno for n in assigned for t in n.targets if isinstance(t, ast.Attribute) and (is_entry(t.value) or ast.unparse(t.value) in built)]
+    found += [n.lineno for n in ast.walk(tree) if isinstance(n, ast.Call) and ast.unparse(n.func) == "setattr" and n.args and (is_entry(n.args[0]) or ast.unparse(n.args[0]) in built)]
+    return sorted(set(found))
+
+
+@F.pandas_udf(ArrayType(IntegerType()))
+def stand_in_lines_of(source: pd.Series) -> pd.Series:
+    """Per file: the lines of :func:`stand_in_lines`."""
+    return source.map(lambda s: stand_in_lines(s or ""))

@@ -23,7 +23,16 @@ def split_lines(text: Column, mode: str = "universal") -> Column:
 
     A final line break opens no further line, and an empty text has no line.
     """
-    parts = F.split(text, LINE_BREAKS if mode == "universal" else "\n")
+    return without_last_empty(raw_lines(text, mode))
+
+
+def raw_lines(text: Column, mode: str = "universal") -> Column:
+    """What lies between line breaks."""
+    return F.split(text, LINE_BREAKS if mode == "universal" else "\n")
+
+
+def without_last_empty(parts: Column) -> Column:
+    """An array without its last entry, if that is empty."""
     return F.when(F.element_at(parts, -1) == "", F.slice(parts, 1, F.size(parts) - 1)).otherwise(parts)
 
 

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import code_spans, covers, identifier_spans, identifier_tokens, is_non_breaking
@@ -49,9 +49,9 @@ def check_yield(candidates: DataFrame, patterns: Sequence[Pattern], max_total: i
     return GuardResult(False, f"pattern {row.top_pattern} has {row.top_n} of {row.total} candidates", report)
 
 
-def span_overlap(guide: DataFrame, facts: DataFrame) -> DataFrame:
+def span_overlap(guide: DataFrame, facts: DataFrame, spans_of: Callable[[Column], Column] = code_spans) -> DataFrame:
     """One row: distinct code spans of the guide, those that facts repeat, and their ratio (1 if the guide has none)."""
-    spans = lambda d: d.select(F.explode(code_spans(F.col("text"))).alias("span")).distinct()
+    spans = lambda d: d.select(F.explode(spans_of(F.col("text"))).alias("span")).distinct()
     both = spans(guide).join(spans(facts).withColumn("held", F.lit(True)), "span", "left")
     row = both.agg(F.count("*").alias("guide_spans"), F.count("held").alias("shared"))
     return row.withColumn("ratio", F.when(F.col("guide_spans") == 0, 1.0).otherwise(F.col("shared") / F.col("guide_spans")))

@@ -6,7 +6,7 @@ import re
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: Method names too general to search for on their own.
@@ -17,6 +17,7 @@ GENERIC_METHODS = frozenset(
     dumps parse match search group groups read write open close send recv find filter map reduce
     json""".split()
 )
+#: The forms of a bare call and of a global flag.
 _BARE_CALL = re.compile(r"\\\.\(?([A-Za-z_]+(?:\|[A-Za-z_]+)*)\)?(?:\\s\*)?\\\(")
 _GLOBAL_FLAG = re.compile(r"\(\?[aiLmsux]+\)")
 
@@ -52,7 +53,7 @@ def top_level_alternatives(regex: str) -> list[str]:
 def bare_generic_calls(regex: str) -> list[str]:
     """Generic method names that a branch searches for with nothing else to anchor it."""
     calls = (_BARE_CALL.fullmatch(b.strip()) for b in top_level_alternatives(regex))
-    return [n for m in calls if m for n in m.group(1).split("|") if n in GENERIC_METHODS]
+    return [n for m in calls if m for n in m.group(1).split("|") if n.lower() in GENERIC_METHODS]
 
 
 def check_vocabulary(patterns: Sequence[Pattern]) -> None:
@@ -74,12 +75,29 @@ def check_vocabulary(patterns: Sequence[Pattern]) -> None:
             re.compile(p.regex)
         except re.error as error:
             raise VocabularyError(f"{p.name}: {error}") from error
+        try:
+            _check_java(java_regex(p.regex))
+        except ValueError as error:
+            raise VocabularyError(f"{p.name}: {error}") from error
     re.compile("|".join(f"(?:{p.regex})" for p in patterns))
+    _check_java(java_regex("|".join(f"(?:{p.regex})" for p in patterns)))
+
+
+def _check_java(regex: str) -> None:
+    """Raise ValueError unless Java's engine, which the executors use, takes the expression; without a session nothing is known."""
+    session = SparkSession.getActiveSession()
+    if session is None:
+        return
+    try:
+        session.sparkContext._jvm.java.util.regex.Pattern.compile(regex)
+    except Exception as error:
+        reason = str(getattr(error, "java_exception", error)).splitlines()[0]
+        raise ValueError(f"not an expression for the executors: {reason}") from error
 
 
 def java_regex(regex: str, unicode: bool = True) -> str:
-    """The same expression for Java: named groups, end anchors, and Unicode classes as Python has them."""
-    out = regex.replace("(?P<", "(?<").replace(r"\Z", r"\z")
+    """The same expression for Java: named groups and references to them, end anchors, and Unicode classes as Python has them."""
+    out = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", regex).replace("(?P<", "(?<").replace(r"\Z", r"\z")
     return "(?U)" + out if unicode else out
 
 
@@ -93,13 +111,37 @@ def first_match(text: Column, patterns: Sequence[Pattern], unicode: bool = True)
     return F.coalesce(*[F.when(text.rlike(java_regex(p.regex, unicode)), F.lit(p.name)) for p in patterns])
 
 
+def match_spans(text: Column, regex: str, unicode: bool = False) -> Column:
+    """Array of (start, end) of all matches, from the texts between them; none for nulls.
+
+    For expressions that match no empty string.
+    """
+    java = F.lit(java_regex(regex, unicode))
+    found, between = F.regexp_extract_all(text, java, F.lit(0)), F.split(text, java_regex(regex, unicode), -1)
+
+    def span(m: Column, i: Column) -> Column:
+        start = F.char_length(F.array_join(F.slice(between, F.lit(1), i + 1), "")) + F.char_length(F.array_join(F.slice(found, F.lit(1), i), ""))
+        return F.struct(start.alias("start"), (start + F.char_length(m)).alias("end"))
+
+    return F.coalesce(F.transform(found, span), F.array().cast("array<struct<start:int,end:int>>"))
+
+
+def line_local(patterns: Sequence[Pattern]) -> bool:
+    """Whether a line can match only if its whole text does: no anchors and nothing that looks around."""
+    return not any(re.search(r"\^|\$|\\[AZzbBG]|\(\?<?[=!]", p.regex) for p in patterns)
+
+
 def all_matches(text: Column, patterns: Sequence[Pattern], unicode: bool = True) -> Column:
     """Names of all patterns that match, in order."""
     return F.array_compact(F.array(*[F.when(text.rlike(java_regex(p.regex, unicode)), F.lit(p.name)) for p in patterns]))
 
 
 def relevance_regex(package: str) -> str:
-    """One expression for the ways in which a file can refer to a package."""
+    """One expression for the ways in which a file can refer to a package.
+
+    The forms are fixed values; quoted dotted paths and dotted uses cover what
+    patching and aliased imports look like.
+    """
     if not re.fullmatch(r"[A-Za-z_]\w*", package, re.ASCII):
         raise ValueError(f"not a bare package name: {package!r}")
     quoted = r"""\(['"][^'"]*""" + package

@@ -12,8 +12,9 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.source_code import LexicalSpans, MatchSpans
+from tidemark.functions.source_code import LexicalSpans
 from tidemark.functions.text import strip
+from tidemark.operators.patterns import match_spans
 from tidemark.operators.relevance import relevant_files
 from tidemark.sources.tables import stage
 
@@ -41,7 +42,7 @@ def lexical_verdicts(candidates: DataFrame, files: DataFrame, regex: str) -> Dat
     spans = stage(used.lateralJoin(LexicalSpans(F.col("text").outer())).select("file", "kind", "line", "c0", "c1"), "lexical")
     doc = spans.where("kind = 'docstring'").select("file", "line", F.lit(True).alias("in_doc")).distinct()
     comment = spans.where("kind = 'comment'").select("file", "line", F.col("c0").alias("s"), F.col("c1").alias("e"))
-    matches = candidates.select("file", "line", "snippet").distinct().lateralJoin(MatchSpans(F.col("snippet").outer(), F.lit(regex))).select("file", "line", "c0", "c1")
+    matches = candidates.select("file", "line", "snippet").distinct().select("file", "line", F.explode(match_spans(F.col("snippet"), regex, unicode=True)).alias("m")).select("file", "line", F.col("m.start").alias("c0"), F.col("m.end").alias("c1"))
     inside = F.coalesce((F.col("s") <= F.col("c0")) & (F.col("c1") <= F.col("e")), F.lit(False))
     covered = (
         matches.join(comment, ["file", "line"], "left")
@@ -64,14 +65,21 @@ def collapse_duplicates(candidates: DataFrame, key: str = "file") -> tuple[DataF
     body = strip(F.col("snippet"))
     rest = [F.col(c) for c in candidates.columns if c not in (key, "line")]
     groups = candidates.groupBy(key, body.alias("body")).agg(
-        F.min(F.struct("line", *rest)).alias("first"), F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list("line")).alias("lines")
-    )
+        F.min(F.struct("line", *rest)).alias("first"), F.count("*").cast("int").alias("n"), F.array_sort(F.collect_list("line")).alias("lines"),
+        F.collect_list(F.struct("line", "snippet")).alias("members"),
+    )
     many = F.col("n") > 1
     first = [F.col(f"first.{c}").alias(c) for c in candidates.columns if c != key]
     reps = groups.select(key, *first, F.when(many, F.col("n")).alias("duplicate_count"), F.when(many, F.col("lines")).alias("duplicate_lines"))
-    lows = groups.select(key, "body", F.col("first.line").alias("rep_line"))
-    expansion = candidates.withColumn("body", body).join(lows, [key, "body"]).select(key, "rep_line", "line", "snippet")
-    return reps, expansion
+    members = groups.select(key, F.col("first.line").alias("rep_line"), F.explode("members").alias("m"))
+    return reps, members.select(key, "rep_line", "m.line", "m.snippet")
+
+
+def covered_by_mark(snippet, regex: str, mark: str = "#"):
+    """Whether a line has matches and all of them come after its first ``mark``: the one-line form of a comment."""
+    at = F.locate(mark, snippet)
+    spans = match_spans(snippet, regex)
+    return (at > 0) & (F.size(spans) > 0) & F.forall(spans, lambda s: s["start"] >= at)
 
 
 def expand_duplicates(verdicts: DataFrame, expansion: DataFrame, key: str = "file") -> DataFrame:

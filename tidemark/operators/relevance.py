@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from itertools import count
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -52,21 +54,23 @@ def import_edges(files: DataFrame, keep_all_targets: bool = False) -> DataFrame:
     return found.join(targets, "dotted").where("src <> dst").select("src", "dst").distinct()
 
 
-def closure(seeds: DataFrame, edges: DataFrame, rounds: int = 10_000) -> DataFrame:
+def closure(seeds: DataFrame, edges: DataFrame, rounds: int | None = None) -> DataFrame:
     """(node, round): everything from which a seed can be reached along ``edges`` (src, dst).
 
     Each round joins only the nodes that the last one added, so an edge is
-    used once; cycles end by themselves.  Rounds are written tables.
+    used once; cycles end by themselves.  Rounds are written tables.  With
+    ``rounds``, an incomplete result after so many is an error.
     """
     reached = frontier = stage(seeds.select(F.col(seeds.columns[0]).alias("node")).distinct().withColumn("round", F.lit(0)), "closure")
     edges = stage(edges.select("src", "dst"), "closure-edges")
-    for n in range(1, rounds + 1):
+    for n in count(1):
         new = edges.join(frontier.select(F.col("node").alias("dst")), "dst", "left_semi").select(F.col("src").alias("node")).distinct()
         frontier = stage(new.join(reached, "node", "left_anti").withColumn("round", F.lit(n)), "closure")
         if not frontier.limit(1).count():
-            break
+            return reached
+        if rounds is not None and n > rounds:
+            raise RuntimeError(f"the closure is not complete after {rounds} rounds")
         reached = reached.unionByName(frontier)
-    return reached
 
 
 def closure_through(seeds: DataFrame, membership: DataFrame, member: str, group: str) -> DataFrame:

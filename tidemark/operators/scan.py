@@ -7,14 +7,23 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import split_lines
-from tidemark.operators.patterns import Pattern, all_matches, first_match, matches_any
+from tidemark.functions.text import raw_lines, without_last_empty
+from tidemark.operators.patterns import Pattern, all_matches, first_match, line_local, matches_any
 
 
 def lines_of(texts: DataFrame, key: str = "file", mode: str = "universal") -> DataFrame:
     """(key, line, text): 1-based lines; a null text (an unreadable file) has none."""
-    at = F.posexplode(split_lines(F.col("text"), mode)).alias("pos", "text")
-    return texts.select(key, at).select(key, (F.col("pos") + 1).alias("line"), "text")
+    # split once, below the generator; an outer one, as the filter that explode implies would split again
+    parts = texts.select(key, raw_lines(F.col("text"), mode).alias("_parts"))
+    at = F.posexplode_outer(without_last_empty(F.col("_parts"))).alias("pos", "text")
+    return parts.select(key, at).where(F.col("pos").isNotNull()).select(key, (F.col("pos") + 1).alias("line"), "text")
+
+
+def candidates_of(texts: DataFrame, patterns: Sequence[Pattern], key: str = "file", mode: str = "universal", unicode: bool = True) -> DataFrame:
+    """The candidates of whole texts; texts without a match are dropped before they are split, where that is sure."""
+    if line_local(patterns):
+        texts = texts.where(matches_any(F.col("text"), patterns, unicode))
+    return find_candidates(lines_of(texts, key, mode), patterns, key, unicode)
 
 
 def find_candidates(lines: DataFrame, patterns: Sequence[Pattern], key: str = "file", unicode: bool = True) -> DataFrame:
@@ -24,7 +33,7 @@ def find_candidates(lines: DataFrame, patterns: Sequence[Pattern], key: str = "f
     are tried one by one.
     """
     hits = lines.where(matches_any(F.col("text"), patterns, unicode))
-    return hits.select(key, "line", F.col("text").alias("snippet"), first_match(F.col("text"), patterns, unicode).alias("pattern")).where(F.col("pattern").isNotNull())
+    return hits.select(key, "line", F.col("text").alias("snippet"), first_match(F.col("text"), patterns, unicode).alias("pattern"))
 
 
 def tag_lines(lines: DataFrame, patterns: Sequence[Pattern], key: str = "file", unicode: bool = True) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -52,12 +55,27 @@ def acceptance(matched: DataFrame) -> DataFrame:
     return score(matched, empty_precision=1.0).select("surfaced_recall", "precision")
 
 
-def attribute_losses(truth: DataFrame, raw: DataFrame, kept: DataFrame, on: list[str]) -> DataFrame:
-    """Per truth site: scan_missed (never a candidate), prefilter_dropped, or reachable."""
+def attribute_losses(truth: DataFrame, raw: DataFrame, kept: DataFrame, on: list[str], verdicts: DataFrame | None = None) -> DataFrame:
+    """Per truth site: scan_missed (never a candidate), prefilter_dropped, or reachable.
+
+    With ``verdicts`` the reachable ones are proposed, flagged or rejected, or
+    invisible where they have none.
+    """
     found = raw.select(*on).distinct().withColumn("was_raw", F.lit(True))
     left = kept.select(*on).distinct().withColumn("was_kept", F.lit(True))
     route = F.when(F.col("was_kept"), "reachable").when(F.col("was_raw"), "prefilter_dropped").otherwise("scan_missed")
-    return truth.join(found, on, "left").join(left, on, "left").withColumn("route", route).drop("was_raw", "was_kept")
+    routed = truth.join(found, on, "left").join(left, on, "left").withColumn("route", route).drop("was_raw", "was_kept")
+    if verdicts is None:
+        return routed
+    buckets = match_truth(verdicts, truth, on).select(*on, "bucket")
+    return routed.join(buckets, on, "left").withColumn("route", F.when(F.col("route") == "reachable", F.col("bucket")).otherwise(F.col("route"))).drop("bucket")
+
+
+def set_counts(a: DataFrame, b: DataFrame) -> DataFrame:
+    """(op, n): how many distinct rows are in both, in the first alone, and in either."""
+    both = a.distinct().withColumn("_a", F.lit(1)).join(b.distinct().withColumn("_b", F.lit(1)), a.columns, "full_outer")
+    counts = both.agg(F.count_if(F.col("_a").isNotNull() & F.col("_b").isNotNull()).alias("both"), F.count_if(F.col("_b").isNull()).alias("first_only"), F.count("*").alias("either"))
+    return counts.unpivot([], ["both", "first_only", "either"], "op", "n")
 
 
 def ranges(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
@@ -70,12 +88,24 @@ def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
     return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("n_different"))
 
 
-def site_class(file: Column, tags: Column, snippet: Column) -> Column:
-    """Difficulty class of a candidate, first rule first."""
+#: Calls that look names up at run time.
+DYNAMIC = r"getattr\(|\bdir\(|importlib|globals\(\)|locals\(\)"
+
+
+def site_class(file: Column, tags: Column, snippet: Column, client_folders: Sequence[str] = (), decorator_tags: Sequence[str] = ()) -> Column:
+    """Difficulty class of a candidate, first rule first: test path, client folder, decorator tag, dynamic form, or literal."""
+    among = F.array(*[F.lit(t) for t in decorator_tags]).cast("array<string>")
+    in_client = reduce(lambda a, b: a | b, [F.contains(file, F.lit(m)) for m in client_folders], F.lit(False))
     return (
-        F.when(file.rlike(r"(?i)(^|/)tests?(/|_)|test_|mock|fixture"), "test/mock")
-        .when(F.exists(tags, lambda t: F.contains(F.lower(t), F.lit("client"))), "client-side")
-        .when(snippet.rlike(r"^\s*@|register"), "decorator/registration")
-        .when(snippet.rlike(r"getattr|import_module|__import__|sys\.modules"), "dynamic/reflection")
+        F.when(F.contains(F.lower(file), F.lit("test")), "test/mock")
+        .when(in_client, "client-side")
+        .when(F.coalesce(F.arrays_overlap(tags, among), F.lit(False)), "decorator/registration")
+        .when(snippet.rlike(DYNAMIC), "dynamic/reflection")
         .otherwise("literal")
     )
+
+
+def with_class(candidates: DataFrame, truth: DataFrame, on: list[str], fallback: Column) -> DataFrame:
+    """Candidates with ``class``: that of the truth where it has the site, else ``fallback``."""
+    known = truth.select(*on, F.col("class").alias("_class")).dropDuplicates(on)
+    return candidates.join(known, on, "left").withColumn("class", F.coalesce("_class", fallback)).drop("_class")

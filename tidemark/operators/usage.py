@@ -15,6 +15,6 @@ def total_usage(calls: DataFrame, by: list[str] | None = None) -> DataFrame:
 
 def estimate_cost(usage: DataFrame, prices: DataFrame, on: str = "model") -> DataFrame:
     """Add ``cost`` from prices per million tokens (same counter names with _price); null for an unknown model."""
-    joined = usage.join(F.broadcast(prices), on, "left")
+    joined = usage.join(prices, on, "left")  # one row a model on either side
     cost = sum((F.col(c) / 1e6 * F.col(f"{c}_price") for c in COUNTERS), F.lit(0.0))
     return joined.withColumn("cost", cost).drop(*[f"{c}_price" for c in COUNTERS])

@@ -7,7 +7,9 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tidemark.functions.source_code import stand_in_lines_of
 from tidemark.functions.text import is_blank
+from tidemark.sources.tables import stage
 
 BUCKETS = {"proposed_sites": "proposed", "flag_uncertain": "flagged", "considered_and_rejected": "rejected"}
 VERDICTS = "bucket string, file string, line int, pattern string, snippet string, reason string"
@@ -20,11 +22,27 @@ class VerdictError(ValueError):
 def assign_chunks(candidates: DataFrame, size: int = 40, key: str = "file") -> DataFrame:
     """Add chunk_id: runs of ``size`` in (key, line) order.
 
-    The numbering is global, as a closed list is under the yield guard's
-    ceiling when it gets here.
+    Rows are sorted by range and numbered within each range in a written table;
+    only one count per range is added up in order.
     """
-    at = F.row_number().over(Window.orderBy(key, "line")) - 1
-    return candidates.withColumn("chunk_id", F.floor(at / size).cast("int"))
+    ranges = candidates.repartitionByRange(key, "line").sortWithinPartitions(key, "line", *[c for c in candidates.columns if c not in (key, "line")])
+    rows = stage(ranges.withColumn("_at", F.monotonically_increasing_id()), "chunk-rows")
+    part = F.shiftright("_at", 33)
+    counts = rows.groupBy(part.alias("_part")).agg(F.count("*").alias("_n"))
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = counts.select("_part", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_before"))
+    placed = rows.join(offsets, part == F.col("_part"))
+    at = F.col("_before") + F.col("_at").bitwiseAND((1 << 33) - 1)
+    return placed.withColumn("chunk_id", F.floor(at / size).cast("int")).drop("_at", "_part", "_before")
+
+
+def rechunk(verdicts: DataFrame, chunks: DataFrame, key: str = "file") -> DataFrame:
+    """Verdicts of an earlier run under the chunks of a new one; a site without a verdict is an error."""
+    found = chunks.select("chunk_id", key, "line").join(verdicts.drop("chunk_id"), [key, "line"], "left")
+    missing = found.where("bucket IS NULL").select(key, "line").limit(5).collect()
+    if missing:
+        raise VerdictError("no verdict for " + ", ".join(f"{r[0]}:{r[1]}" for r in missing))
+    return found.select("chunk_id", *[c for c in verdicts.columns if c != "chunk_id"])
 
 
 def exact_cover(expected: DataFrame, given: DataFrame, key: str = "file") -> DataFrame:
@@ -133,6 +151,12 @@ def impersonates(snippet: Column) -> Column:
     return snippet.rlike(r"sys\.modules\s*\[|types\.ModuleType\s*\(")
 
 
+def stand_ins(files: DataFrame, key: str = "file") -> DataFrame:
+    """(key, line): lines that put a name on a module object built in the same file, the third form of impersonation."""
+    risky = files.where(F.col("text").rlike(r"ModuleType|sys\.modules"))
+    return risky.select(key, F.explode(stand_in_lines_of("text")).alias("line")).distinct()
+
+
 def apply_floor(verdicts: DataFrame, floor: Column) -> DataFrame:
     """Rejected rows where ``floor`` holds are flagged instead."""
     return verdicts.withColumn("bucket", F.when((F.col("bucket") == "rejected") & F.coalesce(floor, F.lit(False)), "flagged").otherwise(F.col("bucket")))

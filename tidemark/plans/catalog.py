@@ -13,9 +13,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.functions.source_code import MatchSpans
-from tidemark.operators import fixes, guards, prefilter, relevance, scan, scoring, usage, verdicts
+from tidemark.operators import fixes, guards, prefilter, relevance, runs, scan, scoring, usage, verdicts
 from tidemark.operators.patterns import Pattern, matches_any
+from tidemark.operators.patterns import match_spans as spans_of
 from tidemark.sources.tables import table
 
 PATTERNS = (
@@ -34,7 +34,7 @@ def _lines(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return scan.find_candidates(_lines(spark, sf_dir), PATTERNS, "doc_id", unicode=False)
+    return scan.candidates_of(table(spark, sf_dir, "documents"), PATTERNS, "doc_id", "lf", unicode=False)
 
 
 def line_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -66,8 +66,8 @@ def prefix_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def site_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = table(spark, sf_dir, "pages").select(F.split(F.regexp_replace("url", "^https?://", ""), "/")[0].alias("segment"))
-    return pages.groupBy("segment").agg(F.count("*").alias("n"))
+    pages = table(spark, sf_dir, "pages").select(F.regexp_replace("url", "^https?://", "").alias("file"))
+    return runs.count_by_folder(pages).withColumnRenamed("folder", "segment")
 
 
 def yield_guard(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -95,11 +95,11 @@ def stage_a_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
     return prefilter.keep_relevant(_candidates(spark, sf_dir), relevance_direct(spark, sf_dir), "doc_id")[1]
 
 
+_ANY = "|".join(f"(?:{p.regex})" for p in PATTERNS)
+
+
 def _after_hash(d: DataFrame) -> DataFrame:
-    """Candidates whose first match comes after the line's first ``#``: the one-line form of a comment."""
-    hit = F.regexp_instr("snippet", F.lit("license|copyright|[A-Za-z0-9._+-]+@"))
-    mark = F.locate("#", F.col("snippet"))
-    return d.withColumn("covered", (mark > 0) & (hit > mark))
+    return d.withColumn("covered", prefilter.covered_by_mark(F.col("snippet"), _ANY))
 
 
 def comment_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -184,15 +184,12 @@ def score_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def fn_route(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = _candidates(spark, sf_dir)
     kept = stage_a_keep(spark, sf_dir)
-    return scoring.attribute_losses(_truth(spark, sf_dir), raw, kept, ["doc_id"]).select("doc_id", "route")
+    return scoring.attribute_losses(_truth(spark, sf_dir), raw, kept, ["doc_id"], _routed(spark, sf_dir).select("doc_id", "bucket")).select("doc_id", "route")
 
 
 def set_ops(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    a = docs.where(F.col("text").rlike(_LICENSE)).select("doc_id").distinct()
-    b = docs.where(F.contains("text", F.lit("@"))).select("doc_id").distinct()
-    count = lambda d, name: d.agg(F.lit(name).alias("op"), F.count("*").alias("n"))
-    return count(a.intersect(b), "both").union(count(a.subtract(b), "first_only")).union(count(a.union(b).distinct(), "either"))
+    return scoring.set_counts(docs.where(F.col("text").rlike(_LICENSE)).select("doc_id"), docs.where(F.contains("text", F.lit("@"))).select("doc_id"))
 
 
 def determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -207,9 +204,9 @@ def run_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def span_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
-    quoted = lambda name: table(spark, sf_dir, name).select(F.explode(F.regexp_extract_all("text", F.lit("([A-Za-z]+@[a-z0-9.]+|[0-9]{4,})"), F.lit(1))).alias("span")).distinct()
-    both = quoted("documents").join(quoted("benchmark").withColumn("held", F.lit(True)), "span", "left")
-    return both.agg(F.count("*").alias("n_spans"), F.count("held").alias("n_shared"))
+    quoted = lambda text: F.regexp_extract_all(text, F.lit("([A-Za-z]+@[a-z0-9.]+|[0-9]{4,})"), F.lit(1))
+    row = guards.span_overlap(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), quoted)
+    return row.select(F.col("guide_spans").alias("n_spans"), F.col("shared").alias("n_shared"))
 
 
 def token_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -256,8 +253,8 @@ def dup_across_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def match_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = _candidates(spark, sf_dir)
-    return found.lateralJoin(MatchSpans(F.col("snippet").outer(), F.lit("|".join(f"(?:{p.regex})" for p in PATTERNS)))).select("doc_id", "line", "c0", "c1")
+    found = _candidates(spark, sf_dir).select("doc_id", "line", F.explode(spans_of(F.col("snippet"), _ANY)).alias("m"))
+    return found.select("doc_id", "line", F.col("m.start").alias("c0"), F.col("m.end").alias("c1"))
 
 
 def path_normalize(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -296,8 +293,9 @@ _SQL_HITS = (
   hits AS (SELECT * FROM cand WHERE pattern IS NOT NULL),
   rel AS (SELECT DISTINCT doc_id FROM documents WHERE regexp_matches(text, '(?i:license|copyright)'))"""
 )
-_SQL_COVER = """,
-  cov AS (SELECT *, strpos(snippet, '#') > 0 AND length(regexp_extract(snippet, '^(.*?)(license|copyright|[A-Za-z0-9._+-]+@)', 1)) >= strpos(snippet, '#') AND regexp_matches(snippet, 'license|copyright|[A-Za-z0-9._+-]+@') AS covered FROM hits)"""
+_SQL_ANY = """'(?i:license|copyright)|[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+|token = "|[0-9]{3}-[0-9]{3}-[0-9]{4}'"""
+_SQL_COVER = f""",
+  cov AS (SELECT *, strpos(snippet, '#') > 0 AND length(regexp_split_to_array(snippet, {_SQL_ANY})[1]) >= strpos(snippet, '#') AS covered FROM hits)"""
 _SQL_ROUTE = """,
   routed AS (
     SELECT doc_id, line, lang, d.source, CASE pattern WHEN 'license' THEN 'proposed' WHEN 'email' THEN 'flagged' ELSE CASE WHEN d.source = 'src0' THEN 'flagged' ELSE 'rejected' END END AS bucket
@@ -391,7 +389,7 @@ ALL = [
     Query(score_rollup, f"WITH {_SQL_HITS}{_SQL_ROUTE} SELECT lang, source, {_SQL_SCORES} FROM matched GROUP BY ROLLUP (lang, source)"),
     Query(
         fn_route,
-        f"""WITH {_SQL_HITS}{_SQL_ROUTE} SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM hits) THEN CASE WHEN doc_id IN (SELECT doc_id FROM rel) THEN 'reachable' ELSE 'prefilter_dropped' END ELSE 'scan_missed' END AS route FROM truth""",
+        f"""WITH {_SQL_HITS}{_SQL_ROUTE} SELECT doc_id, CASE WHEN doc_id IN (SELECT doc_id FROM hits) THEN CASE WHEN doc_id IN (SELECT doc_id FROM rel) THEN best.bucket ELSE 'prefilter_dropped' END ELSE 'scan_missed' END AS route FROM truth LEFT JOIN best USING (doc_id)""",
     ),
     Query(
         set_ops,
@@ -442,7 +440,12 @@ ALL = [
         f"""WITH {_SQL_LINES}, t AS (SELECT (regexp_matches(text, '[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+'))::INT + (regexp_matches(text, '(?i:license|copyright)'))::INT
         + (regexp_matches(text, '[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}'))::INT + (regexp_matches(text, 'token = "'))::INT AS k FROM lines) SELECT coalesce(sum(k - 1), 0)::BIGINT AS n_repeated FROM t WHERE k > 0""",
     ),
-    Query(match_spans, None),
+    Query(
+        match_spans,
+        f"""WITH {_SQL_HITS}, p AS (SELECT doc_id, line, regexp_extract_all(snippet, {_SQL_ANY}) AS m, regexp_split_to_array(snippet, {_SQL_ANY}) AS g FROM hits),
+        s AS (SELECT doc_id, line, unnest(list_transform(generate_series(1, len(m)), lambda i: {{'c0': length(array_to_string(g[1:i], '')) + length(array_to_string(m[1:i-1], '')), 'n': length(m[i])}})) AS s FROM p)
+        SELECT doc_id, line, s.c0 AS c0, s.c0 + s.n AS c1 FROM s""",
+    ),
     Query(path_normalize, "SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages"),
     Query(import_lines, f"WITH {_SQL_LINES} SELECT regexp_matches(lower(text), '^\\s*(from|import)\\s') AS is_import, regexp_matches(text, '^\\s*$') AS is_blank, count(*) AS n FROM lines GROUP BY 1, 2"),
     Query(
