@@ -1,7 +1,10 @@
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
 from tidemark.operators import prefilter, relevance, scan
-from tidemark.operators.patterns import Pattern, relevance_regex
+from tidemark.operators.patterns import Pattern, match_spans, relevance_regex
 
 FILES = "file string, text string, error string"
 VOCABULARY = [Pattern("name", r"\bGadget\b"), Pattern("call", r"gadget\(")]
@@ -97,3 +100,27 @@ def test_import_graph(spark):
     found = {r.file for r in relevance.relevant_files(files, regex).collect()}
     assert found == {"top/core.py", "lost.py", "top/__init__.py", "top/sub/leaf.py", "top/sub/sibling.py", "user.py", "cycle_a.py", "cycle_b.py"}
     assert "syntax.py" in {r.file for r in relevance.relevant_files(files, regex, strict_failsafe=True).collect()}
+
+
+def test_closure_says_when_it_is_not_complete(spark):
+    edges = spark.createDataFrame([(i + 1, i) for i in range(5)], "src long, dst long")
+    seeds = spark.createDataFrame([(0,)], "node long")
+    assert relevance.closure(seeds, edges).count() == relevance.closure(seeds, edges, 5).count() == 6
+    with pytest.raises(RuntimeError):
+        relevance.closure(seeds, edges, 4)
+
+
+def test_spans_are_those_of_python(spark):
+    regex, texts = r"(?i:ab+)|c\d", ["", "ab xABB c1c2", "c1", "nothing", None, "äab c9"]
+    d = spark.createDataFrame([(t,) for t in texts], "t string").select("t", match_spans(F.col("t"), regex).alias("s"))
+    for r in d.collect():
+        assert [(s.start, s.end) for s in r.s] == [m.span() for m in re.finditer(regex, r.t or "")]
+
+
+def test_texts_are_split_once_and_dropped_first(spark):
+    texts = spark.createDataFrame([(1, "a b\nfoo\n"), (2, "none")], "doc_id long, text string")
+    found = scan.candidates_of(texts, [Pattern("p", "foo")], "doc_id", "lf")
+    assert [tuple(r) for r in found.collect()] == [(1, 2, "foo", "p")]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1 and plan.index("Generate") < plan.index("split(")
+    assert [r.line for r in scan.candidates_of(texts, [Pattern("p", "^foo$")], "doc_id", "lf").collect()] == [2]

@@ -51,12 +51,14 @@ def test_chunks_are_judged_once(spark):
     done = judge.adjudicate(chunks, judge.RuleJudge({"p"}))
     verdicts.require_cover(candidates, done)
     part = done.where("chunk_id <> 1")
-    again = judge.adjudicate(chunks, judge.RuleJudge({"q"}), part)
-    by = {(r.chunk_id, r.pattern): r.bucket for r in again.collect()}
-    assert by[(0, "p")] == "proposed" and by[(1, "p")] == "rejected" and by[(1, "q")] == "proposed"
+    marked = part.withColumn("reason", F.lit("kept"))
+    again = {(r.chunk_id, r.reason == "kept") for r in judge.adjudicate(chunks, judge.RuleJudge({"p"}), marked).collect()}
+    assert again == {(0, True), (1, False), (2, True)}
+    other = judge.adjudicate(chunks, judge.RuleJudge({"q"}), marked)
+    assert {(r.pattern, r.bucket) for r in other.collect()} == {("p", "rejected"), ("q", "proposed")}
     first = [r.asDict() for r in chunks.where("chunk_id = 2").orderBy("file", "line").collect()]
-    answers = {judge.chunk_hash(first): json.dumps(judge.RuleJudge({"p"}).decide(first))}
-    assert judge.adjudicate(chunks.where("chunk_id = 2"), judge.ReplayJudge(answers)).count() == 10
+    answers = {judge.call_key(first, judge.TEMPLATE.replace("{FACTS}", "f")): judge.RuleJudge({"p"}).decide(first).text}
+    assert judge.adjudicate(chunks.where("chunk_id = 2"), judge.ReplayJudge(answers), facts="f").count() == 10
     with pytest.raises(Exception, match="no recorded answer"):
         judge.adjudicate(chunks, judge.ReplayJudge(answers)).collect()
 
@@ -72,6 +74,17 @@ def test_scores(spark):
     raw, kept = given.where("line <> 4").select("file", "line"), given.where("line < 3").select("file", "line")
     assert {r.line: r.route for r in scoring.attribute_losses(truth, raw, kept, ["file", "line"]).collect()} == {1: "reachable", 3: "prefilter_dropped", 4: "scan_missed", 9: "scan_missed"}
     assert scoring.symmetric_difference(truth, truth).first()[0] == 0
+    routes = scoring.attribute_losses(truth, raw, kept.unionByName(spark.createDataFrame([("a", 3)], "file string, line int")), ["file", "line"], given)
+    assert {r.line: r.route for r in routes.collect()} == {1: "proposed", 3: "flagged", 4: "scan_missed", 9: "scan_missed"}
+
+
+def test_classes_follow_the_rules_in_order(spark):
+    rows = [("a/latest.py", ["add"], "x", "test/mock"), ("clients/a.py", ["add"], "x", "client-side"), ("a.py", ["add", "b"], "getattr(x)", "decorator/registration"), ("a.py", ["b"], "getattr(x, 'y')", "dynamic/reflection"), ("a.py", None, "register(x)", "literal")]
+    d = spark.createDataFrame([(*r, i) for i, r in enumerate(rows)], "file string, tags array<string>, snippet string, want string, line int")
+    kind = scoring.site_class(F.col("file"), F.col("tags"), F.col("snippet"), ["clients"], ["add"])
+    assert all(r.got == r.want for r in d.withColumn("got", kind).collect())
+    truth = spark.createDataFrame([("a.py", 3, "helper")], "file string, line int, class string")
+    assert {r.line: r["class"] for r in scoring.with_class(d, truth, ["file", "line"], kind).collect()} == {**{i: r[3] for i, r in enumerate(rows)}, 3: "helper"}
 
 
 def test_fixes(spark):

@@ -37,8 +37,8 @@ def test_alternatives_and_generic_calls():
     assert bare_generic_calls(r"client\.get\(|\.very_special\(") == []
 
 
-@pytest.mark.parametrize("regex", [r"\.get\(", "(?i)x", "(", " "])
-def test_bad_vocabulary(regex):
+@pytest.mark.parametrize("regex", [r"\.get\(", r"\.GET\(", "(?i)x", "(", " ", r"(?P<a_b>x)"])
+def test_bad_vocabulary(spark, regex):
     with pytest.raises(VocabularyError):
         check_vocabulary([Pattern("p", regex)])
 
@@ -51,7 +51,7 @@ def test_good_vocabulary():
 
 
 def test_dialect(spark):
-    for regex, text in ((r"\bFoo\b", "éFoo"), (r"\bFoo\b", "a Foo"), (r"(?P<n>x)y\Z", "xy"), (r"\w+é", "ééé")):
+    for regex, text in ((r"\bFoo\b", "éFoo"), (r"\bFoo\b", "a Foo"), (r"(?P<n>x)y\Z", "xy"), (r"(?P<q>['\"])x(?P=q)", "'x'"), (r"(?P<q>['\"])x(?P=q)", "'x\""), (r"\w+é", "ééé")):
         assert one(spark, F.col("a").rlike(java_regex(regex)), text) == bool(re.search(regex, text))
     for text in ("import widget", "from widget.a import b", "widget.run", 'sys.modules["widget"]', "importlib.import_module('widget')", "patch('widget.run')"):
         assert one(spark, F.col("a").rlike(java_regex(relevance_regex("widget"))), text) and re.search(relevance_regex("widget"), text)

@@ -9,9 +9,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import is_import_line
-from tidemark.operators.patterns import Pattern, check_vocabulary
+from tidemark.operators.patterns import Pattern, all_matches, check_vocabulary
 from tidemark.operators.prefilter import run_prefilter
 from tidemark.operators.usage import COUNTERS
+from tidemark.operators.verdicts import read_verdicts
 
 
 def parse_patterns(text: str) -> list[Pattern]:
@@ -36,16 +37,6 @@ def truth_table(spark: SparkSession, sites: Iterable[tuple], expected: int, pref
     return spark.createDataFrame(rows, "file string, line int, class string")
 
 
-def write_chunks(adjudicated: DataFrame, path: str) -> None:
-    """One partition per chunk; chunks written again replace their old rows, others stay."""
-    adjudicated.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("chunk_id").parquet(path)
-
-
-def read_chunks(spark: SparkSession, path: str) -> DataFrame:
-    """All chunks written so far."""
-    return spark.read.parquet(path)
-
-
 def record_calls(calls: DataFrame, path: str) -> None:
     """Append judged requests (key, stage, system_excerpt, user_excerpt, response) to a recording."""
     calls.select("key", "stage", F.substring("system_excerpt", 1, 200).alias("system_excerpt"), F.substring("user_excerpt", 1, 200).alias("user_excerpt"), "response").write.mode("append").parquet(path)
@@ -59,6 +50,28 @@ def chunk_prompts(chunks: DataFrame, template: str, facts: str) -> DataFrame:
     return chunks.groupBy("chunk_id").agg(listed.alias("candidates")).select("chunk_id", filled.alias("prompt"))
 
 
+def tagged_sites(spark: SparkSession, paths: str | list[str], vocabularies: dict[str, Sequence[Pattern]]) -> DataFrame:
+    """(target, repo, file, line, snippet, reason, tags): proposed sites of run files, the last run's where several have one.
+
+    ``tags`` are the patterns of the target's vocabulary that the snippet matches now.
+    """
+    sites = read_verdicts(spark, paths, run_files=True).where("bucket = 'proposed'")
+    last = latest_sites(sites.select("target", "repo", "file", "line", "run", "snippet", "reason"), ["target", "repo", "file", "line"])
+    tags = F.array().cast("array<string>")
+    for target, patterns in vocabularies.items():
+        tags = F.when(F.col("target") == target, all_matches(F.col("snippet"), patterns)).otherwise(tags)
+    return last.withColumn("tags", tags).drop("run")
+
+
+def summarise_checks(fixes: DataFrame, parses: DataFrame, imports: DataFrame) -> DataFrame:
+    """One row: whether all fixes agreed with the source, all files parse and all imports resolve, and how many of each there are.
+
+    The tables have one boolean column ``ok``.
+    """
+    one = lambda d, name: d.agg(F.coalesce(F.bool_and("ok"), F.lit(True)).alias(f"all_{name}_ok"), F.count("*").alias(f"n_{name}"), F.coalesce(F.bool_or("ok"), F.lit(False)).alias(f"any_{name}_ok"))
+    return one(fixes, "fixes").crossJoin(one(parses, "parses")).crossJoin(one(imports, "imports"))  # one row each
+
+
 def latest_sites(runs: DataFrame, on: Sequence[str]) -> DataFrame:
     """One row per site of several runs: the one of the last run."""
     rest = [c for c in runs.columns if c not in on]

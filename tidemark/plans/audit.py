@@ -10,11 +10,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import guards, prefilter, verdicts
-from tidemark.operators.judge import Judge, adjudicate
+from tidemark.operators.judge import Judge, adjudicate, read_chunks
 from tidemark.operators.patterns import Pattern, check_vocabulary, relevance_regex
-from tidemark.operators.runs import patterns_table, read_chunks, write_chunks
-from tidemark.operators.scan import find_candidates, lines_of
-from tidemark.sources.artifacts import check_factblock, report, write_json, write_text
+from tidemark.operators.runs import patterns_table
+from tidemark.operators.scan import candidates_of
+from tidemark.sources.artifacts import check_factblock, render_facts, report, write_json, write_text
 from tidemark.sources.repository import check_inputs, read_tree
 from tidemark.sources.tables import stage
 
@@ -39,12 +39,15 @@ def run_audit(spark: SparkSession, repo: str, guide: str, workdir: str, factbloc
     """Audit the tree ``repo``; writes under ``workdir`` only.
 
     ``force`` lets guards fail without stopping; validation always stops.
-    Chunks judged before are kept where neither they nor their order changed.
+    Chunks judged before are kept where nothing changed that their answers
+    depend on, and every chunk is kept as soon as it is judged.  Candidates and
+    the drop log are Parquet tables, which may be of any size.
     """
     check_inputs(repo, guide, workdir)
     check_factblock(factblock)
     check_vocabulary(patterns)
     at = lambda name: os.path.join(workdir, name)
+    uri = lambda name: "file://" + os.path.abspath(at(name))
     with open(guide, encoding="utf-8") as f:
         guide_text = f.read()
 
@@ -63,27 +66,29 @@ def run_audit(spark: SparkSession, repo: str, guide: str, workdir: str, factbloc
     guard(coverage)
 
     files = stage(read_tree(spark, repo), "files")
-    candidates = stage(find_candidates(lines_of(files), patterns), "candidates")
+    candidates = stage(candidates_of(files, patterns), "candidates")
     guard(guards.check_yield(candidates, patterns))
     say(f"candidates: {candidates.count()}")
 
     combined = "|".join(f"(?:{p.regex})" for p in patterns)
     done = prefilter.run_prefilter(candidates, files, relevance_regex(factblock["package_name"]), combined, strict_failsafe=strict_failsafe)
     kept = stage(done.candidates, "kept")
-    # both lists are bounded by the yield guard's ceiling
-    write_json(at("candidates.json"), [r.asDict() for r in candidates.orderBy("file", "line").collect()])
-    write_json(at("droplog.json"), [r.asDict(recursive=True) for r in done.droplog.orderBy("stage", "file", "line").collect()])
+    candidates.write.mode("overwrite").parquet(uri("candidates"))
+    done.droplog.write.mode("overwrite").parquet(uri("droplog"))
 
     chunks = verdicts.assign_chunks(kept.select("file", "line", "snippet", "pattern"), chunk_size)
-    store = at("chunks")
-    earlier = read_chunks(spark, store) if os.path.isdir(store) else None
-    judged = stage(adjudicate(chunks, judge, earlier), "judged")
+    chunks = stage(chunks, "chunks")
+    earlier = stage(read_chunks(spark, uri("chunks")), "earlier") if os.path.isdir(at("chunks")) else None
+    judged = stage(adjudicate(chunks, judge, earlier, render_facts(factblock), store=uri("chunks"), calls=uri("calls")), "judged")
     verdicts.require_cover(kept, judged)
-    write_chunks(judged, store)
 
-    floored = verdicts.apply_floor(judged, verdicts.is_test_path(F.col("file")))
+    faked = verdicts.stand_ins(files).withColumn("_faked", F.lit(True))
+    floor = verdicts.is_test_path(F.col("file")) | verdicts.impersonates(F.col("snippet")) | F.coalesce(F.col("_faked"), F.lit(False))
+    floored = verdicts.apply_floor(judged.join(faked, ["file", "line"], "left"), floor)
     expanded = stage(prefilter.expand_duplicates(floored.select("bucket", "file", "line", "pattern", "snippet", "reason"), done.expansion), "expanded")
     document = verdicts.to_document(expanded)
+    if bad := verdicts.violations(document):
+        raise verdicts.VerdictError("merged verdicts: " + "; ".join(bad[:20]))
     write_json(at("merged.json"), document)
     write_text(at("report.md"), report(document, done.stats.first().asDict(), len(factblock["facts"]), len(patterns)))
     return Audit(expanded, done, at("report.md"))
