@@ -46,6 +46,8 @@ def test_bootstrapping_finds_what_no_base_pattern_matches(spark):
     assert got[201] == ("phone:25:37", 1)
     assert got[202] == ("", 0)
     assert sorted(pii.mask_documents(rows).collect()) == sorted(pii.mask_documents(rows, max_broadcast=0).collect())
+    clash = rows.withColumns({"_row": F.lit("a"), "_spans": F.lit("b"), "uid": F.lit("c")})
+    assert sorted(pii.mask_documents(clash).collect()) == sorted(pii.mask_documents(clash, max_broadcast=0).collect())
     masked = {r.doc_id: r.text for r in pii.mask_documents(rows).collect()}
     assert masked[200] == "please write to contact <EMAIL> today" and masked[201] == "please call phone number <PHONE> today"
     assert masked[202] == unseen[2][1] and "@" not in masked[3]

@@ -382,9 +382,11 @@ def mask_documents(docs: DataFrame, rounds: int = 3, max_broadcast: int = 500_00
 
 def _mask_by_join(docs: DataFrame, rounds: int) -> DataFrame:
     """The same masks, with each row's spans found and joined by a row number that is written first."""
-    numbered = stage(docs.withColumn("_row", F.monotonically_increasing_id()), "pii-rows")
-    found = stage(find_personal_data(numbered, rounds, "_row").where(F.size("spans") > 0).select(F.col("uid").alias("_row"), F.col("spans").alias("_spans")), "pii-spans")
-    joined = numbered.join(found, "_row", "left").select(*docs.columns, "_spans")
+    longest = max(map(len, docs.columns))
+    row, found_in = "r" * (longest + 1), "s" * (longest + 1)  # no column of the rows has such a name
+    numbered = stage(docs.withColumn(row, F.monotonically_increasing_id()), "pii-rows")
+    found = find_personal_data(numbered, rounds, row).where(F.size("spans") > 0).select(F.col("uid").alias(row), F.col("spans").alias(found_in))
+    joined = numbered.join(stage(found, "pii-spans"), row, "left").select(*docs.columns, found_in)
     at = docs.columns.index("text")
 
     def run(batches):
