@@ -92,3 +92,14 @@ def test_vocabulary_coverage(spark):
     got = {r.number: r.status for r in guards.vocabulary_coverage(facts, patterns).collect()}
     assert got == {1: "covered", 2: "uncovered"}
     assert not guards.check_vocabulary_coverage(facts, patterns).ok
+
+
+def test_covering_pairs_are_all_pairs_that_contain_each_other(spark):
+    tokens = ["memory_stats", "stats", "st", "_a", "__", "a", "call", "recall", "abcabd", "x_y", None]
+    words = ["memorystats", "s_t", "a", "_", "all", "abd", "xyz", "call", "", None]
+    of = lambda name, values: spark.createDataFrame([(v,) for v in [*values, *values]], f"{name} string")
+    got = sorted(map(tuple, guards.covering_pairs(of("token", tokens), of("word", words)).collect()))
+    plain = lambda x: x.replace("_", "")
+    held = lambda a, b: plain(a) in plain(b) or plain(b) in plain(a)
+    assert got == sorted((t, w) for t in tokens for w in words if t is not None and w is not None and held(t, w))
+    assert guards.covering_pairs(of("token", []), of("word", words)).count() == 0

@@ -67,18 +67,45 @@ def check_fact_coverage(guide: DataFrame, facts: DataFrame, min_ratio: float = 0
     return GuardResult(row.ratio >= min_ratio, "" if row.ratio >= min_ratio else f"facts cover {row.ratio:.0%} of the guide's code spans", report)
 
 
+def _plain(name: str) -> Column:
+    return F.translate(name, "_", "")
+
+
+def _pieces(text: Column) -> Column:
+    """The distinct pieces of up to three characters, among them the empty one."""
+    of = lambda n: F.transform(F.sequence(F.lit(1), F.char_length(text)), lambda i: F.substring(text, i, F.lit(n)))
+    some = F.array_distinct(F.concat(of(1), of(2), of(3), F.array(F.lit(""))))
+    return F.when(F.char_length(text) > 0, some).otherwise(F.array(F.lit("")))
+
+
+def covering_pairs(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """Distinct (token, word) of which either contains the other, underscores aside.
+
+    ``tokens`` has token and ``words`` word.  What contains a text also holds its
+    first three characters, so pairs meet in an equi-join on those and are then
+    compared whole; neither side is broadcast unless Spark knows it to be small.
+    Nulls cover nothing; without rows on either side there are no pairs.
+    """
+    t = tokens.select("token").where(F.col("token").isNotNull()).distinct()
+    w = words.select("word").where(F.col("word").isNotNull()).distinct()
+    head = lambda c: F.substring(_plain(c), 1, 3).alias("piece")
+    inside = w.select("word", head("word")).join(t.select("token", F.explode(_pieces(_plain("token"))).alias("piece")), "piece")
+    around = t.select("token", head("token")).join(w.select("word", F.explode(_pieces(_plain("word"))).alias("piece")), "piece")
+    return inside.unionByName(around).where(covers(F.col("token"), F.col("word"))).select("token", "word").distinct()
+
+
 def vocabulary_coverage(facts: DataFrame, patterns: DataFrame) -> DataFrame:
     """(number, status): per fact that names code and breaks something: covered, partial or uncovered.
 
     ``facts`` has (number, text) and ``patterns`` (name, regex).  A span is
     covered if any of its tokens and any word of a pattern's source contain
-    each other, underscores aside.  Words are few, so their side is broadcast.
+    each other, underscores aside.
     """
-    words = F.broadcast(patterns.select(F.explode(identifier_tokens(F.col("regex"))).alias("word")).distinct())
+    words = patterns.select(F.explode(identifier_tokens(F.col("regex"))).alias("word"))
     spans = facts.where(~is_non_breaking(F.col("text"))).select("number", F.posexplode(identifier_spans(F.col("text"))).alias("k", "s"))
     tokens = spans.select("number", "k", F.explode_outer("s.tokens").alias("token"))
-    hit = F.coalesce(covers(F.col("token"), F.col("word")), F.lit(False))
-    per_span = tokens.join(words, covers(F.col("token"), F.col("word")), "left").groupBy("number", "k").agg(F.bool_or(hit).alias("hit"))
+    known = covering_pairs(tokens, words).select("token").distinct().withColumn("held", F.lit(True))
+    per_span = tokens.join(known, "token", "left").groupBy("number", "k").agg(F.coalesce(F.bool_or("held"), F.lit(False)).alias("hit"))
     status = F.when(F.bool_and("hit"), "covered").when(F.bool_or("hit"), "partial").otherwise("uncovered")
     return per_span.groupBy("number").agg(status.alias("status"))
 

@@ -211,9 +211,10 @@ def span_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def token_theta(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = table(spark, sf_dir, "benchmark").select("item_id", F.explode(T.identifier_tokens(F.col("text"))).alias("token")).distinct()
-    # 25 nation names: a table of fixed size
-    names = F.broadcast(table(spark, sf_dir, "nation").select(F.lower("n_name").alias("name")).distinct())
-    return words.join(names, T.covers(F.col("token"), F.col("name"))).groupBy("name").agg(F.count("*").alias("n_pairs"), F.count_distinct("item_id").alias("n_items"))
+    named = table(spark, sf_dir, "nation").select("n_name").union(table(spark, sf_dir, "part").select("p_name")).toDF("n")
+    pairs = guards.covering_pairs(words, named.select(F.lower("n").alias("word")))
+    per = words.join(pairs, "token").groupBy(F.col("word").alias("name"))
+    return per.agg(F.count("*").alias("n_pairs"), F.count_distinct("item_id").alias("n_items"))
 
 
 def request_key(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -408,7 +409,7 @@ ALL = [
     Query(
         token_theta,
         """WITH w AS (SELECT DISTINCT item_id, lower(t) AS token FROM (SELECT item_id, unnest(regexp_split_to_array(text, '[^A-Za-z0-9_]+')) AS t FROM benchmark) WHERE length(t) >= 2),
-        n AS (SELECT DISTINCT lower(n_name) AS name FROM nation)
+        n AS (SELECT lower(n_name) AS name FROM nation UNION SELECT lower(p_name) FROM part)
         SELECT name, count(*) AS n_pairs, count(DISTINCT item_id) AS n_items FROM w JOIN n ON contains(replace(token, '_', ''), replace(name, '_', '')) OR contains(replace(name, '_', ''), replace(token, '_', '')) GROUP BY name""",
     ),
     Query(request_key, "SELECT conv_id, turn, substr(sha256(role || chr(0) || text), 1, 24) AS request FROM conversations"),
