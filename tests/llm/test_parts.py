@@ -1,5 +1,6 @@
 """Parts of the operators on small inputs made for them."""
 
+import collections
 import io
 import random
 import re
@@ -220,3 +221,65 @@ def test_robust_estimates_are_those_of_numpy(spark):
         assert np.allclose([got[g][f"fm{i}"] for i in range(5)], m, rtol=1e-6)
         assert np.allclose([got[g][f"fc{i}_{j}"] for i in range(5) for j in range(i + 1)], [c[i, j] for i in range(5) for j in range(i + 1)], rtol=1e-6, atol=1e-9)
     assert abs(got["b"].fm0 - groups["b"][25:, 0].mean()) < abs(groups["b"][:, 0].mean() - groups["b"][25:, 0].mean()) / 5
+
+
+def plain_personal_data(rows, rounds=3, least=0.8, support=3):
+    """All spans per id by plain Python: occurrences as given, their graph scored in turns, the spans chosen."""
+    occurrences = {d: pii.occurrences(t, pii.base_spans(t)) for d, t in rows.items()}
+    every = [o for found in occurrences.values() for o in found]
+    edges = {(p, site if k == 0 else instance, instance) for _, _, _, instance, site, patterns in every for k, p in enumerate(patterns)}
+    sites = collections.defaultdict(set)
+    for p, site, _ in edges:
+        sites[p].add(site)
+    seeds = {(o[3], o[2]): 1.0 for o in every if o[2] >= 0}
+    believed, trusted = dict(seeds), {}
+    for _ in range(rounds):
+        best = collections.defaultdict(float)
+        for p, site, instance in edges:
+            for kind in range(4):
+                if (instance, kind) in believed:
+                    best[p, site, kind] = max(best[p, site, kind], believed[instance, kind])
+        masses = collections.defaultdict(list)
+        for (p, _, kind), conf in best.items():
+            masses[p, kind].append(conf)
+        trusted = {k: min(0.99, sum(m) / len(sites[k[0]])) for k, m in masses.items() if len(m) >= support and sum(m) / len(sites[k[0]]) >= least}
+        doubt = collections.defaultdict(lambda: 1.0)
+        for p, site, instance in edges:
+            for kind in range(4):
+                if site == instance and (p, kind) in trusted:
+                    doubt[instance, kind] *= 1 - trusted[p, kind]
+        believed = {k: 1 - d for k, d in doubt.items() if 1 - d >= least} | seeds
+    out = {}
+    for d, found in occurrences.items():
+        marked, readings = [], []
+        for start, end, seed, instance, _, patterns in found:
+            if seed < 0:
+                readings.append((start, end))
+                marked += [(1.0, kind, start, end) for kind in range(4) if (instance, kind) in seeds]
+                for kind in range(4):
+                    held = [1 - trusted[p, kind] for p in patterns if (p, kind) in trusted]
+                    if held:
+                        marked.append((1 - float(np.prod(held)), kind, start, end))
+        out[d] = sorted(pii.base_spans(rows[d]) + pii.chosen(marked, readings))
+    return out
+
+
+def test_all_personal_spans_are_those_of_plain_python(spark):
+    rng = np.random.default_rng(11)
+    contexts = ["please call phone number {} today", "mail {} for help", "our office line is {} all week", "order {} shipped", "paid by card {} now", "the year {} was good"]
+    rows = {}
+    for i in range(400):
+        phone, mail = f"+1 (555) {rng.integers(200, 230)}-{rng.integers(4000, 4040)}", f"user{rng.integers(60)}@mail{rng.integers(3)}.example.com"
+        loose = [f"555-{rng.integers(200, 230)}-{rng.integers(4000, 4040)}", f"{mail.split('@')[0]}@intranet", str(rng.integers(1900, 2030)), "4845168114407329"]
+        parts = []
+        for k in rng.integers(0, 6, rng.integers(1, 3)):
+            usual = [phone, mail, phone, str(rng.integers(10_000)), "4845168114407329", str(rng.integers(1900, 2030))][k]
+            # some contexts are purer than others, so that patterns fall on both sides of the threshold
+            odd = [0.1, 0.1, 0.3, 0.3, 0.1, 0.1][k]
+            parts.append(contexts[k].format(loose[rng.integers(4)] if rng.random() < odd else usual))
+        rows[i] = " and ".join(parts)
+    want = plain_personal_data(rows)
+    docs = spark.createDataFrame(list(rows.items()), "doc_id long, text string")
+    got = {r.doc_id: sorted((s.kind, s.start, s.end) for s in r.spans) for r in pii.find_personal_data(docs).collect()}
+    assert got == want
+    assert sum(map(len, want.values())) > sum(len(pii.base_spans(t)) for t in rows.values()) + 10  # some are added
