@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, decontamination, language_id, packing, pii, quality_classifier, quality_rules, simhash, token_planes, zip_warc
+from . import context_mixing, decontamination, exact_dedup, language_id, packing, phrases, pii, quality_classifier, quality_rules, simhash, token_planes, zip_warc
 from .common import fresh_dir
 
 
@@ -59,6 +59,14 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return exact_dedup.find_duplicates(_read(spark, sf_dir, "documents"))
+
+
+def op13_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(_read(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_quality_rules": op1_quality_rules,
     "op2_quality_classifier": op2_quality_classifier,
@@ -70,9 +78,13 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_planes": op8_token_planes,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op12_exact_dedup": op12_exact_dedup,
+    "op13_collocations": op13_collocations,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op4_zip_warc": zip_warc.SQL,
     "op6_decontamination": decontamination.BRUTE_SQL,
+    "op12_exact_dedup": exact_dedup.SQL,
+    "op13_collocations": phrases.SQL,
 }
