@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import context_mixing, decontamination, exact_dedup, language_id, packing, phrases, pii, quality_classifier, quality_rules, simhash, token_planes, zip_warc
+from . import context_mixing, decontamination, exact_dedup, language_id, packing, phrases, pii, quality_classifier, quality_rules, simhash, token_alignment, token_planes, zip_warc
 from .common import fresh_dir
 
 
@@ -59,6 +59,10 @@ def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
+def op11_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_alignment.link_report(_read(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), public_tokenizers.path("piece_bpe_32k.model"))
+
+
 def op12_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.find_duplicates(_read(spark, sf_dir, "documents"))
 
@@ -78,6 +82,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_token_planes": op8_token_planes,
     "op9_simhash": op9_simhash,
     "op10_packing": op10_packing,
+    "op11_token_alignment": op11_token_alignment,
     "op12_exact_dedup": op12_exact_dedup,
     "op13_collocations": op13_collocations,
 }

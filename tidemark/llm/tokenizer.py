@@ -28,14 +28,17 @@ class CachedEncoder(dict):
 
     The cache has two generations of at most ``max_entries`` chunks; what is not
     used while one fills up is forgotten.
+
+    With ``plain``, the strings of special tokens are ordinary text instead.
     """
 
-    def __init__(self, path: str, max_entries: int = 200_000):
+    def __init__(self, path: str, max_entries: int = 200_000, plain: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.max_entries = max_entries
-        self.special = {t.content: struct.pack("<I", i) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
+        self.tokenizer.encode_special_tokens = plain
+        self.special = {} if plain else {t.content: struct.pack("<I", i) for i, t in self.tokenizer.get_added_tokens_decoder().items()}
         self.cut_special = re.compile("(" + "|".join(re.escape(s) for s in sorted(self.special, key=len, reverse=True)) + ")" if self.special else r"(?!)").split
         self.model_tokens = self.tokenizer.model.tokenize
         self.normalize = self.tokenizer.normalizer.normalize_str if self.tokenizer.normalizer else None
@@ -98,6 +101,17 @@ class CachedEncoder(dict):
             lines.append(look_up("\n" + first) + b"".join(map(look_up, rest)))
         return self.line_end.join(lines)
 
+    def encode_after_space(self, text: str) -> bytes:
+        """The ids of a space and ``text``, for vocabularies in which a space belongs to what follows it."""
+        if self.special or not self.space_sensitive or not text or text[0].isspace() or self.odd(text):
+            return self.encode(" " + text)
+        look_up, lines, lead = self.__getitem__, [], ""
+        for line in text.split("\n"):
+            first, *rest = line.split(" ")
+            lines.append(look_up(lead + first) + b"".join(map(look_up, rest)))
+            lead = "\n"
+        return self.line_end.join(lines)
+
     def encode(self, text: str) -> bytes:
         """The ids of ``text`` as little-endian unsigned 32-bit integers."""
         parts = self.cut_special(text) if self.special else [text]
