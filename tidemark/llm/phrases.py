@@ -38,7 +38,8 @@ SHARES = 1024
 #: Bits of a filter: at least 32 for each frequent key, at most 8 MB.
 MAX_BITS = 1 << 26
 
-STRIPES = "lang string, prefix string, seg int, next array<string>, counts array<long>"
+#: As stripes travel: next words and counts are joined by spaces, which no word has, as arrays would take thrice the room.
+STRIPES = "lang string, prefix string, seg int, next string, counts string"
 MERGED = "lang string, prefix string, seg int, total long, best long, next array<string>, counts array<long>"
 
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -171,7 +172,7 @@ def _stripe_rows(lang: str, owner: np.ndarray, following: np.ndarray, prefixes:
     words = pa.concat_arrays([pa.array([""]), names]).take(pa.array(following))
     rows = [
         pa.array([lang] * len(first), pa.string()), prefixes.take(pa.array(owner[first])), pa.array(seg[first].astype(np.int32)),
-        pa.ListArray.from_arrays(offsets, words), pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64))),
+        pc.binary_join(pa.ListArray.from_arrays(offsets, words), " "), pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64)).cast(pa.string())), " "),
     ]
     return pa.RecordBatch.from_arrays(rows, ["lang", "prefix", "seg", "next", "counts"])
 
@@ -266,6 +267,8 @@ def _merge(min_count: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
+            parts = [pc.split_pattern(batch[c], " ") for c in ("next", "counts")]
+            batch = pa.RecordBatch.from_arrays([batch["lang"], batch["prefix"], batch["seg"], parts[0], parts[1].cast(pa.list_(pa.int64()))], batch.schema.names)
             if held is not None:
                 batch = pa.Table.from_batches([held, batch.cast(held.schema)]).combine_chunks().to_batches()[0]
             lang, prefix, seg = batch["lang"], batch["prefix"], batch["seg"].to_numpy(zero_copy_only=False)
