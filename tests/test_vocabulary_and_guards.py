@@ -5,7 +5,8 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.operators import guards, scan
-from tidemark.operators.patterns import Pattern, VocabularyError, bare_generic_calls, check_vocabulary, java_regex, relevance_regex, top_level_alternatives
+from tidemark.operators.dialect import to_java
+from tidemark.operators.patterns import Pattern, VocabularyError, bare_generic_calls, check_vocabulary, relevance_regex, top_level_alternatives
 
 
 def one(spark, expression, *values):
@@ -37,7 +38,7 @@ def test_alternatives_and_generic_calls():
     assert bare_generic_calls(r"client\.get\(|\.very_special\(") == []
 
 
-@pytest.mark.parametrize("regex", [r"\.get\(", r"\.GET\(", "(?i)x", "(", " ", r"(?P<a_b>x)"])
+@pytest.mark.parametrize("regex", [r"\.get\(", r"\.GET\(", "(?i)x", "(", " ", "a*", r"(a)(?(1)b|c)"])
 def test_bad_vocabulary(spark, regex):
     with pytest.raises(VocabularyError):
         check_vocabulary([Pattern("p", regex)])
@@ -52,9 +53,9 @@ def test_good_vocabulary():
 
 def test_dialect(spark):
     for regex, text in ((r"\bFoo\b", "éFoo"), (r"\bFoo\b", "a Foo"), (r"(?P<n>x)y\Z", "xy"), (r"(?P<q>['\"])x(?P=q)", "'x'"), (r"(?P<q>['\"])x(?P=q)", "'x\""), (r"\w+é", "ééé")):
-        assert one(spark, F.col("a").rlike(java_regex(regex)), text) == bool(re.search(regex, text))
+        assert one(spark, F.col("a").rlike(to_java(regex)), text) == bool(re.search(regex, text))
     for text in ("import widget", "from widget.a import b", "widget.run", 'sys.modules["widget"]', "importlib.import_module('widget')", "patch('widget.run')"):
-        assert one(spark, F.col("a").rlike(java_regex(relevance_regex("widget"))), text) and re.search(relevance_regex("widget"), text)
+        assert one(spark, F.col("a").rlike(to_java(relevance_regex("widget"))), text) and re.search(relevance_regex("widget"), text)
     assert not re.search(relevance_regex("widget"), "widgets = 1")
     with pytest.raises(ValueError):
         relevance_regex("a.b")

@@ -9,14 +9,18 @@ from dataclasses import dataclass
 from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
+from tidemark.functions.columns import bound, running
+from tidemark.operators.dialect import can_be_empty, to_java
+
 #: Method names too general to search for on their own.
-GENERIC_METHODS = frozenset(
-    """get set add remove delete update list count query info type range put post head options
-    keys values items pop copy clear format strip split join replace encode decode index extend
-    append insert sort reverse next run start stop execute commit rollback save load loads dump
-    dumps parse match search group groups read write open close send recv find filter map reduce
-    json""".split()
-)
+GENERIC_METHODS = {
+    "get", "set", "add", "remove", "delete", "update", "list", "count", "query", "info", "type", "range",
+    "put", "post", "head", "options", "keys", "values", "items", "pop", "copy", "clear", "format", "strip",
+    "split", "join", "replace", "encode", "decode", "index", "extend", "append", "insert", "sort", "reverse",
+    "next", "run", "start", "stop", "execute", "commit", "rollback", "save", "load", "loads", "dump",
+    "dumps", "parse", "match", "search", "group", "groups", "read", "write", "open", "close", "send", "recv",
+    "find", "filter", "map", "reduce", "json",
+}
 #: The forms of a bare call and of a global flag.
 _BARE_CALL = re.compile(r"\\\.\(?([A-Za-z_]+(?:\|[A-Za-z_]+)*)\)?(?:\\s\*)?\\\(")
 _GLOBAL_FLAG = re.compile(r"\(\?[aiLmsux]+\)")
@@ -73,14 +77,17 @@ def check_vocabulary(patterns: Sequence[Pattern]) -> None:
             raise VocabularyError(f"{p.name}: bare generic call of {', '.join(found)}")
         try:
             re.compile(p.regex)
-        except re.error as error:
-            raise VocabularyError(f"{p.name}: {error}") from error
-        try:
-            _check_java(java_regex(p.regex))
-        except ValueError as error:
+            if can_be_empty(p.regex):
+                raise VocabularyError(f"{p.name}: it matches the empty string, so every line")
+            _check_java(to_java(p.regex))
+        except VocabularyError:
+            raise
+        except (re.error, ValueError) as error:
             raise VocabularyError(f"{p.name}: {error}") from error
-    re.compile("|".join(f"(?:{p.regex})" for p in patterns))
-    _check_java(java_regex("|".join(f"(?:{p.regex})" for p in patterns)))
+    try:
+        _check_java(to_java("|".join(f"(?:{p.regex})" for p in patterns)))
+    except (re.error, ValueError) as error:
+        raise VocabularyError(f"the patterns together: {error}") from error
 
 
 def _check_java(regex: str) -> None:
@@ -95,35 +102,36 @@ def _check_java(regex: str) -> None:
         raise ValueError(f"not an expression for the executors: {reason}") from error
 
 
-def java_regex(regex: str, unicode: bool = True) -> str:
-    """The same expression for Java: named groups and references to them, end anchors, and Unicode classes as Python has them."""
-    out = re.sub(r"\(\?P=(\w+)\)", r"\\k<\1>", regex).replace("(?P<", "(?<").replace(r"\Z", r"\z")
-    return "(?U)" + out if unicode else out
-
-
 def matches_any(text: Column, patterns: Sequence[Pattern], unicode: bool = True) -> Column:
     """One alternation of all patterns: the cheap test before the names are told apart."""
-    return text.rlike(java_regex("|".join(f"(?:{p.regex})" for p in patterns), unicode))
+    return text.rlike(to_java("|".join(f"(?:{p.regex})" for p in patterns), unicode))
 
 
 def first_match(text: Column, patterns: Sequence[Pattern], unicode: bool = True) -> Column:
     """Name of the first pattern in order that matches, else null."""
-    return F.coalesce(*[F.when(text.rlike(java_regex(p.regex, unicode)), F.lit(p.name)) for p in patterns])
+    return F.coalesce(*[F.when(text.rlike(to_java(p.regex, unicode)), F.lit(p.name)) for p in patterns])
 
 
 def match_spans(text: Column, regex: str, unicode: bool = False) -> Column:
-    """Array of (start, end) of all matches, from the texts between them; none for nulls.
+    """Array of (start, end) of all matches, in code points; none for nulls.
 
-    For expressions that match no empty string.
+    For expressions that match no empty string.  The text is searched twice,
+    for the matches and for what lies between them; their lengths add up to
+    the ends.
     """
-    java = F.lit(java_regex(regex, unicode))
-    found, between = F.regexp_extract_all(text, java, F.lit(0)), F.split(text, java_regex(regex, unicode), -1)
+    if can_be_empty(regex):
+        raise VocabularyError(f"{regex}: matches the empty string")
+    java = to_java(regex, unicode)
+    lengths = lambda parts: F.transform(parts, lambda p: F.char_length(p))
+    both = F.struct(lengths(F.regexp_extract_all(text, F.lit(java), F.lit(0))).alias("found"), lengths(F.split(text, java, -1)).alias("between"))
 
-    def span(m: Column, i: Column) -> Column:
-        start = F.char_length(F.array_join(F.slice(between, F.lit(1), i + 1), "")) + F.char_length(F.array_join(F.slice(found, F.lit(1), i), ""))
-        return F.struct(start.alias("start"), (start + F.char_length(m)).alias("end"))
+    def spans(v: Column) -> Column:
+        n = F.size(v["found"])
+        steps = F.zip_with(v["found"], F.slice(v["between"], F.lit(1), n), lambda m, g: m + g)
+        return F.zip_with(v["found"], running(steps, lambda a, b: a + b), lambda m, e: F.struct((e - m).alias("start"), e.alias("end")))
 
-    return F.coalesce(F.transform(found, span), F.array().cast("array<struct<start:int,end:int>>"))
+    found = F.when(text.isNotNull(), bound(both, spans))
+    return F.coalesce(found, F.array().cast("array<struct<start:int,end:int>>"))
 
 
 def line_local(patterns: Sequence[Pattern]) -> bool:
@@ -133,7 +141,7 @@ def line_local(patterns: Sequence[Pattern]) -> bool:
 
 def all_matches(text: Column, patterns: Sequence[Pattern], unicode: bool = True) -> Column:
     """Names of all patterns that match, in order."""
-    return F.array_compact(F.array(*[F.when(text.rlike(java_regex(p.regex, unicode)), F.lit(p.name)) for p in patterns]))
+    return F.array_compact(F.array(*[F.when(text.rlike(to_java(p.regex, unicode)), F.lit(p.name)) for p in patterns]))
 
 
 def relevance_regex(package: str) -> str:

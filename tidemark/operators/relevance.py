@@ -8,13 +8,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.source_code import imports_of
-from tidemark.operators.patterns import java_regex
+from tidemark.operators.dialect import to_java
 from tidemark.sources.tables import stage
 
 
 def direct_relevance(files: DataFrame, regex: str, key: str = "file") -> DataFrame:
     """(key): texts that match anywhere, and unreadable ones, since nothing is certain about those."""
-    test = F.col("text").rlike(java_regex(regex))
+    test = F.col("text").rlike(to_java(regex))
     if "error" in files.columns:
         test = test | F.col("error").isNotNull()
     return files.where(F.coalesce(test, F.lit(True) if "error" in files.columns else F.lit(False))).select(key).distinct()

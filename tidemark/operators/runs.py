@@ -3,16 +3,18 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterable, Sequence
+from collections.abc import Callable, Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import is_import_line
+from tidemark.functions.text import is_import_line, strip
 from tidemark.operators.patterns import Pattern, all_matches, check_vocabulary
-from tidemark.operators.prefilter import run_prefilter
+from tidemark.operators.prefilter import lexical_verdicts, python_lexer
+from tidemark.operators.relevance import relevant_files
 from tidemark.operators.usage import COUNTERS
 from tidemark.operators.verdicts import read_verdicts
+from tidemark.sources.tables import stage
 
 
 def parse_patterns(text: str) -> list[Pattern]:
@@ -95,20 +97,55 @@ def keep_imports(tags: Column, snippet: Column, import_tags: Sequence[str]) -> C
     return F.arrays_overlap(tags, F.array(*[F.lit(n) for n in import_tags]).cast("array<string>")) | is_import_line(snippet)
 
 
-def ablate(candidates: DataFrame, files: DataFrame, target_regex: str, vocabulary_regex: str, truth: DataFrame) -> DataFrame:
+def mark_stages(candidates: DataFrame, files: DataFrame, vocabulary_regex: str, truth: DataFrame, direct: DataFrame, reached: DataFrame, lexer: Callable[[DataFrame], DataFrame] = python_lexer) -> DataFrame:
+    """Candidates (file, line, snippet) with one bit per stage: direct, transitive, code (stage B keeps it), and is_true.
+
+    ``direct`` and ``reached`` hold the files that stage A keeps.  Every stage
+    looks at the same written candidates once; none is run again for a
+    combination of stages.
+    """
+    judged = stage(lexical_verdicts(stage(candidates, "candidates"), files, vocabulary_regex, lexer), "judged")
+    has = lambda d, name: d.select("file").distinct().withColumn(name, F.lit(True))
+    marked = judged.join(has(direct, "direct"), "file", "left").join(has(reached, "transitive"), "file", "left")
+    marked = marked.join(truth.select("file", "line").distinct().withColumn("is_true", F.lit(True)), ["file", "line"], "left")
+    no = lambda name: F.coalesce(name, F.lit(False)).alias(name)
+    return marked.select("file", "line", "snippet", no("direct"), no("transitive"), F.col("rule").isNull().alias("code"), no("is_true"))
+
+
+def stage_lattice(marked: DataFrame, bits: Sequence[str] = ("direct", "transitive", "code")) -> DataFrame:
+    """The cube over ``bits`` (null where a bit is summed over): n, n_true and groups.
+
+    ``n`` counts candidates and ``n_true`` those of the truth; ``groups`` counts
+    the groups of equal stripped snippets of a file, which is what stage C leaves.
+    """
+    lines = marked.groupBy("file", strip(F.col("snippet")).alias("body"), *bits).agg(F.count("*").alias("n"), F.count_if("is_true").alias("n_true"))
+    return lines.cube(*bits).agg(F.sum("n").alias("n"), F.sum("n_true").alias("n_true"), F.count_distinct("file", "body").alias("groups"))
+
+
+def ablate(candidates: DataFrame, files: DataFrame, target_regex: str, vocabulary_regex: str, truth: DataFrame, lexer: Callable[[DataFrame], DataFrame] = python_lexer) -> DataFrame:
+    """:func:`ablation_table` of a source tree's candidates under file-local and under transitive relevance."""
+    direct = stage(relevant_files(files, target_regex, transitive=False), "direct")
+    reached = stage(relevant_files(files, target_regex), "reached")
+    return ablation_table(mark_stages(candidates, files, vocabulary_regex, truth, direct, reached, lexer))
+
+
+def ablation_table(marked: DataFrame) -> DataFrame:
     """(stages, transitive, start, final, reduction_percent, truth_kept) for A, A+B and A+B+C, direct and transitive.
 
-    Truth counts as kept if a representative stands for its line.
+    All six rows are read from the cube over the stages' bits of one marked
+    table.  Truth counts as kept if a representative stands for its line.
     """
-    out = None
-    for transitive in (False, True):
-        for stages in (("A",), ("A", "B"), ("A", "B", "C")):
-            done = run_prefilter(candidates, files, target_regex, vocabulary_regex, stages, transitive)
-            kept = done.expansion.join(truth.select("file", "line").distinct(), ["file", "line"], "left_semi").agg(F.count("*").alias("truth_kept"))
-            row = done.stats.crossJoin(kept)  # one row each
-            row = row.select(F.lit("".join(stages)).alias("stages"), F.lit(transitive).alias("transitive"), "start", "final", "reduction_percent", "truth_kept")
-            out = row if out is None else out.unionByName(row)
-    return out
+    cube = stage(stage_lattice(marked), "lattice")
+    start = cube.where("direct IS NULL AND transitive IS NULL AND code IS NULL").select(F.col("n").alias("start"))
+    found = None
+    for transitive, bit, other in ((False, "direct", "transitive"), (True, "transitive", "direct")):
+        for stages, code, size in (("A", "code IS NULL", "n"), ("AB", "code", "n"), ("ABC", "code", "groups")):
+            row = cube.where(f"{bit} AND {other} IS NULL AND {code}").agg(F.coalesce(F.max(size), F.lit(0)).alias("final"), F.coalesce(F.max("n_true"), F.lit(0)).alias("truth_kept"))
+            row = row.select(F.lit(stages).alias("stages"), F.lit(transitive).alias("transitive"), "final", "truth_kept")
+            found = row if found is None else found.unionByName(row)
+    every = found.crossJoin(F.broadcast(start.agg(F.coalesce(F.max("start"), F.lit(0)).alias("start"))))  # one row
+    percent = F.when(F.col("start") > 0, (1 - F.col("final") / F.col("start")) * 100).otherwise(0.0)
+    return every.select("stages", "transitive", "start", "final", percent.alias("reduction_percent"), "truth_kept")
 
 
 def usage_text(usage: DataFrame) -> str:

@@ -13,7 +13,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
-from tidemark.operators import fixes, guards, prefilter, relevance, runs, scan, scoring, usage, verdicts
+from tidemark.functions.line_lexer import comment_spans_of
+from tidemark.operators import fixes, guards, intervals, prefilter, relevance, runs, scan, scoring, usage, verdicts
 from tidemark.operators.patterns import Pattern, matches_any
 from tidemark.operators.patterns import match_spans as spans_of
 from tidemark.sources.tables import table
@@ -98,12 +99,48 @@ def stage_a_drop(spark: SparkSession, sf_dir: str) -> DataFrame:
 _ANY = "|".join(f"(?:{p.regex})" for p in PATTERNS)
 
 
-def _after_hash(d: DataFrame) -> DataFrame:
-    return d.withColumn("covered", prefilter.covered_by_mark(F.col("snippet"), _ANY))
+def _as_files(rows: DataFrame) -> DataFrame:
+    return rows.withColumn("doc_id", F.col("doc_id").cast("string")).withColumnRenamed("doc_id", "file")
+
+
+def _by_id(rows: DataFrame, *columns: str) -> DataFrame:
+    return rows.select(F.col("file").cast("long").alias("doc_id"), *columns)
+
+
+def _files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _as_files(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def _prefiltered(spark: SparkSession, sf_dir: str) -> prefilter.Prefiltered:
+    candidates = _as_files(_candidates(spark, sf_dir))
+    return prefilter.run_prefilter(candidates, _files(spark, sf_dir), _LICENSE, _ANY, transitive=False, lexer=prefilter.line_lexer("lf"))
+
+
+def comment_lexer(spark: SparkSession, sf_dir: str) -> DataFrame:
+    spans = table(spark, sf_dir, "documents").select("doc_id", F.explode(comment_spans_of(F.col("text"), "lf")).alias("s"))
+    return spans.select("doc_id", "s.line", "s.c0", "s.c1")
 
 
 def comment_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _after_hash(_candidates(spark, sf_dir)).select("doc_id", "line", "covered")
+    judged = prefilter.lexical_verdicts(_as_files(_candidates(spark, sf_dir)), _files(spark, sf_dir), _ANY, prefilter.line_lexer("lf"))
+    return _by_id(judged.withColumn("covered", F.coalesce(F.col("rule") == "comment", F.lit(False))), "line", "covered")
+
+
+_INNER, _COVERS = "[0-9]+", ("[A-Z][^.!?]*[.!?]", "[(][^()]*[)]", '"[^"]*"')
+
+
+def span_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    of = lambda regex: docs.select("doc_id", F.explode(spans_of(F.col("text"), regex)).alias("s")).select("doc_id", "s.start", "s.end")
+    covers = of(_COVERS[0]).unionByName(of(_COVERS[1])).unionByName(of(_COVERS[2]))
+    return intervals.contained_pairs(of(_INNER), covers, ["doc_id"])
+
+
+def span_marks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    of = lambda regex: docs.select("doc_id", F.explode(spans_of(F.col("text"), regex)).alias("s")).select("doc_id", "s.start", "s.end")
+    marked = intervals.mark_contained(of(_INNER), of(_COVERS[0]).unionByName(of(_COVERS[1])).unionByName(of(_COVERS[2])), ["doc_id"])
+    return marked.groupBy("doc_id", "contained").agg(F.count("*").alias("n"))
 
 
 def collapse_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -129,20 +166,20 @@ def chunk_cover(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def droplog(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kept, dropped = prefilter.keep_relevant(_candidates(spark, sf_dir), relevance_direct(spark, sf_dir), "doc_id")
-    a = dropped.select(F.lit("A").alias("stage"), F.lit("file_relevance").alias("rule"), "doc_id", "line")
-    b = _after_hash(kept).where("covered").select(F.lit("B").alias("stage"), F.lit("comment").alias("rule"), "doc_id", "line")
-    return a.unionByName(b)
+    return _by_id(_prefiltered(spark, sf_dir).droplog, "stage", "rule", "line")
 
 
 def prefilter_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    start = _candidates(spark, sf_dir)
-    relevant = relevance_direct(spark, sf_dir).withColumn("a", F.lit(True))
-    marked = _after_hash(start.join(relevant, "doc_id", "left").withColumn("a", F.coalesce("a", F.lit(False))))
-    kept = F.col("a") & ~F.col("covered")
-    body = F.when(kept, F.struct("doc_id", T.strip(F.col("snippet")).alias("s")))
-    row = marked.agg(F.count("*").alias("start"), F.count_if("a").alias("after_a"), F.count_if(kept).alias("after_b"), F.count_distinct(body).alias("after_c"))
-    return row.withColumn("reduction_percent", F.round((1 - F.col("after_c") / F.col("start")) * 100, 6))
+    row = _prefiltered(spark, sf_dir).stats
+    return row.select("start", *[F.col(f"after_{s}").alias(f"after_{s.lower()}") for s in "ABC"], F.round("reduction_percent", 6).alias("reduction_percent"))
+
+
+def ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    candidates, files = _as_files(_candidates(spark, sf_dir)), _files(spark, sf_dir)
+    truth = _as_files(_lines(spark, sf_dir).where(F.col("text").rlike("@|[0-9]-[0-9]"))).select("file", "line")
+    direct, reached = _as_files(relevance_direct(spark, sf_dir)), _as_files(relevance_transitive(spark, sf_dir))
+    found = runs.ablation_table(runs.mark_stages(candidates, files, _ANY, truth, direct, reached, prefilter.line_lexer("lf")))
+    return found.withColumn("reduction_percent", F.round("reduction_percent", 6))
 
 
 def _routed(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -295,8 +332,31 @@ _SQL_HITS = (
   rel AS (SELECT DISTINCT doc_id FROM documents WHERE regexp_matches(text, '(?i:license|copyright)'))"""
 )
 _SQL_ANY = """'(?i:license|copyright)|[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+|token = "|[0-9]{3}-[0-9]{3}-[0-9]{4}'"""
-_SQL_COVER = f""",
-  cov AS (SELECT *, strpos(snippet, '#') > 0 AND length(regexp_split_to_array(snippet, {_SQL_ANY})[1]) >= strpos(snippet, '#') AS covered FROM hits)"""
+_SQL_LEXER = r""",
+  marks AS (SELECT * FROM (VALUES (0, ''), (1, repeat(chr(39), 3)), (2, repeat('"', 3)), (3, chr(39)), (4, '"')) AS v(s, mark)),
+  masked AS (SELECT doc_id, line, regexp_replace(text, '(?s)\\.', chr(1) || chr(1), 'g') AS t FROM lines),
+  entered AS (SELECT doc_id, line, s, mark, t, CASE WHEN s = 0 THEN t WHEN strpos(t, mark) > 0 THEN substr(t, strpos(t, mark) + length(mark)) END AS rest FROM masked, marks),
+  tokens AS (SELECT *, regexp_extract_all(rest, concat('(?s)', repeat(chr(39), 3), '.*?(?:', repeat(chr(39), 3), '|\z)|', repeat('"', 3), '.*?(?:', repeat('"', 3), '|\z)|', chr(39), '[^', chr(39), ']*(?:', chr(39), '|\z)|"[^"]*(?:"|\z)|#.*'))[-1] AS last FROM entered),
+  opened AS (SELECT tokens.*, coalesce(m.s, 0) AS o, length(m.mark) AS k FROM tokens LEFT JOIN marks m ON m.s = CASE WHEN starts_with(last, repeat(chr(39), 3)) THEN 1 WHEN starts_with(last, repeat('"', 3)) THEN 2 WHEN starts_with(last, chr(39)) THEN 3 WHEN starts_with(last, '"') THEN 4 END),
+  moves AS (SELECT doc_id, line, s, length(t) AS n, CASE WHEN starts_with(last, '#') THEN length(last) END AS c,
+      CASE WHEN rest IS NULL THEN CASE WHEN s < 3 OR ends_with(t, '\') THEN s ELSE 5 END WHEN o = 0 THEN 0
+      WHEN length(last) >= 2 * k AND ends_with(last, CASE o WHEN 1 THEN repeat(chr(39), 3) WHEN 2 THEN repeat('"', 3) WHEN 3 THEN chr(39) ELSE '"' END) THEN 0
+      WHEN o < 3 OR ends_with(last, '\') THEN o ELSE 5 END AS e FROM opened),
+  states AS (SELECT doc_id, 1 AS line, 0 AS s FROM cut UNION ALL SELECT states.doc_id, states.line + 1, e FROM states JOIN moves USING (doc_id, line, s)),
+  whole AS (SELECT states.doc_id FROM states JOIN cut USING (doc_id) WHERE line = len(parts) + 1 AND s = 0),
+  comments AS (SELECT doc_id, line, (n - c)::INT AS c0, n::INT AS c1 FROM states JOIN moves USING (doc_id, line, s) WHERE c IS NOT NULL AND doc_id IN (SELECT doc_id FROM whole))"""
+_SQL_SPANS = f""",
+  p AS (SELECT doc_id, line, regexp_extract_all(snippet, {_SQL_ANY}) AS m, regexp_split_to_array(snippet, {_SQL_ANY}) AS g FROM hits),
+  s AS (SELECT doc_id, line, unnest(list_transform(generate_series(1, len(m)), lambda i: {{'c0': length(array_to_string(g[1:i], '')) + length(array_to_string(m[1:i-1], '')), 'n': length(m[i])}})) AS s FROM p)"""
+_SQL_COVER = f"""{_SQL_LEXER}{_SQL_SPANS},
+  inside AS (SELECT doc_id, line, bool_and(EXISTS (SELECT 1 FROM comments c WHERE c.doc_id = s.doc_id AND c.line = s.line AND c.c0 <= s.s.c0 AND s.s.c0 + s.s.n <= c.c1)) AS covered FROM s GROUP BY doc_id, line),
+  cov AS (SELECT hits.*, coalesce(covered, false) AS covered, doc_id IN (SELECT doc_id FROM rel) AS a, regexp_replace(regexp_replace(snippet, '^\\s+', ''), '\\s+$', '') AS body FROM hits LEFT JOIN inside USING (doc_id, line))"""
+_SQL_DOC_SPANS = """
+  re AS (SELECT * FROM (VALUES (0, '[0-9]+'), (1, '[A-Z][^.!?]*[.!?]'), (2, '[(][^()]*[)]'), (3, '"[^"]*"')) AS v(kind, re)),
+  m AS (SELECT doc_id, kind, regexp_extract_all(text, re) AS m, regexp_split_to_array(text, re) AS g FROM documents, re WHERE text IS NOT NULL),
+  u AS (SELECT doc_id, kind, unnest(m) AS m, unnest(g[1:len(m)]) AS g, unnest(range(1, len(m) + 1)) AS i FROM m),
+  e AS (SELECT DISTINCT doc_id, kind > 0 AS outer_, (sum(length(m) + length(g)) OVER (PARTITION BY doc_id, kind ORDER BY i) - length(m))::BIGINT AS start, (sum(length(m) + length(g)) OVER (PARTITION BY doc_id, kind ORDER BY i))::BIGINT AS "end" FROM u),
+  i AS (SELECT * FROM e WHERE NOT outer_), o AS (SELECT * FROM e WHERE outer_)"""
 _SQL_ROUTE = """,
   routed AS (
     SELECT doc_id, line, lang, d.source, CASE pattern WHEN 'license' THEN 'proposed' WHEN 'email' THEN 'flagged' ELSE CASE WHEN d.source = 'src0' THEN 'flagged' ELSE 'rejected' END END AS bucket
@@ -359,7 +419,16 @@ ALL = [
     ),
     Query(stage_a_keep, f"WITH {_SQL_HITS} SELECT doc_id, line, snippet, pattern FROM hits WHERE doc_id IN (SELECT doc_id FROM rel)"),
     Query(stage_a_drop, f"WITH {_SQL_HITS} SELECT doc_id, line, snippet, pattern FROM hits WHERE doc_id NOT IN (SELECT doc_id FROM rel)"),
-    Query(comment_cover, f"WITH {_SQL_HITS}{_SQL_COVER} SELECT doc_id, line, covered FROM cov"),
+    Query(comment_lexer, f"WITH RECURSIVE {_SQL_LINES}{_SQL_LEXER} SELECT doc_id, line, c0, c1 FROM comments"),
+    Query(comment_cover, f"WITH RECURSIVE {_SQL_HITS}{_SQL_COVER} SELECT doc_id, line, covered FROM cov"),
+    Query(
+        span_containment,
+        f"""WITH {_SQL_DOC_SPANS} SELECT DISTINCT i.doc_id, i.start, i."end", o.start AS cover_start, o."end" AS cover_end FROM i JOIN o ON o.doc_id = i.doc_id AND o.start <= i.start AND i."end" <= o."end" """,
+    ),
+    Query(
+        span_marks,
+        f"""WITH {_SQL_DOC_SPANS}, t AS (SELECT doc_id, EXISTS (SELECT 1 FROM o WHERE o.doc_id = i.doc_id AND o.start <= i.start AND i."end" <= o."end") AS contained FROM i) SELECT doc_id, contained, count(*) AS n FROM t GROUP BY 1, 2""",
+    ),
     Query(
         collapse_duplicates,
         f"""WITH {_SQL_LINES} SELECT doc_id, min(line) AS line, count(*) AS n, string_agg(line::VARCHAR, ',' ORDER BY line) AS lines
@@ -374,15 +443,27 @@ ALL = [
     ),
     Query(
         droplog,
-        f"""WITH {_SQL_HITS}{_SQL_COVER} SELECT 'A' AS stage, 'file_relevance' AS rule, doc_id, line FROM hits WHERE doc_id NOT IN (SELECT doc_id FROM rel)
-        UNION ALL SELECT 'B', 'comment', doc_id, line FROM cov WHERE covered AND doc_id IN (SELECT doc_id FROM rel)""",
+        f"""WITH RECURSIVE {_SQL_HITS}{_SQL_COVER}, kept AS (SELECT *, min(line) OVER (PARTITION BY doc_id, body) AS first FROM cov WHERE a AND NOT covered)
+        SELECT 'A' AS stage, 'file_relevance' AS rule, doc_id, line FROM cov WHERE NOT a UNION ALL SELECT 'B', 'comment', doc_id, line FROM cov WHERE covered AND a
+        UNION ALL SELECT 'C', 'collapsed_duplicate', doc_id, line FROM kept WHERE line <> first""",
     ),
     Query(
         prefilter_stats,
-        f"""WITH {_SQL_HITS}{_SQL_COVER}, k AS (SELECT *, doc_id IN (SELECT doc_id FROM rel) AS a FROM cov),
-        s AS (SELECT count(*) AS start, count(*) FILTER (a) AS after_a, count(*) FILTER (a AND NOT covered) AS after_b FROM k),
-        c AS (SELECT count(*) AS after_c FROM (SELECT DISTINCT doc_id, regexp_replace(regexp_replace(snippet, '^\\s+', ''), '\\s+$', '') AS s FROM k WHERE a AND NOT covered))
-        SELECT start, after_a, after_b, after_c, round((1 - after_c / start::DOUBLE) * 100, 6) AS reduction_percent FROM s, c""",
+        f"""WITH RECURSIVE {_SQL_HITS}{_SQL_COVER},
+        n AS (SELECT count(*) AS start, count(*) FILTER (a) AS after_a, count(*) FILTER (a AND NOT covered) AS after_b, count(DISTINCT (doc_id, body)) FILTER (a AND NOT covered) AS after_c FROM cov)
+        SELECT start, after_a, after_b, after_c, round((1 - after_c / start::DOUBLE) * 100, 6) AS reduction_percent FROM n""",
+    ),
+    Query(
+        ablation,
+        f"""WITH RECURSIVE {_SQL_HITS}{_SQL_COVER}, mm AS (SELECT DISTINCT doc_id, text AS shared FROM lines WHERE length(text) > 20),
+        r AS (SELECT doc_id FROM rel UNION SELECT b.doc_id FROM r JOIN mm a ON a.doc_id = r.doc_id JOIN mm b ON b.shared = a.shared),
+        t AS (SELECT DISTINCT doc_id, line, true AS is_true FROM lines WHERE regexp_matches(text, '@|[0-9]-[0-9]')),
+        x AS (SELECT cov.*, doc_id IN (SELECT doc_id FROM r) AS far, coalesce(is_true, false) AS is_true FROM cov LEFT JOIN t USING (doc_id, line)),
+        c AS (SELECT * FROM (VALUES ('A', false), ('AB', false), ('ABC', false), ('A', true), ('AB', true), ('ABC', true)) AS v(stages, transitive)),
+        k AS (SELECT c.stages, c.transitive, x.* FROM c JOIN x ON CASE WHEN c.transitive THEN far ELSE a END AND (c.stages = 'A' OR NOT covered)),
+        n AS (SELECT stages, transitive, CASE WHEN stages = 'ABC' THEN count(DISTINCT (doc_id, body)) ELSE count(*) END AS final, count(*) FILTER (is_true) AS truth_kept FROM k GROUP BY 1, 2)
+        SELECT c.stages, c.transitive, (SELECT count(*) FROM hits) AS start, coalesce(final, 0) AS final, round((1 - coalesce(final, 0) / (SELECT count(*) FROM hits)::DOUBLE) * 100, 6) AS reduction_percent, coalesce(truth_kept, 0) AS truth_kept
+        FROM c LEFT JOIN n USING (stages, transitive)""",
     ),
     Query(verdict_route, f"WITH {_SQL_HITS}{_SQL_ROUTE} SELECT doc_id, line, bucket FROM routed"),
     Query(score_overall, f"WITH {_SQL_HITS}{_SQL_ROUTE} SELECT {_SQL_SCORES} FROM matched"),
@@ -441,12 +522,7 @@ ALL = [
         f"""WITH {_SQL_LINES}, t AS (SELECT (regexp_matches(text, '[A-Za-z0-9._+-]+@[A-Za-z0-9.-]+'))::INT + (regexp_matches(text, '(?i:license|copyright)'))::INT
         + (regexp_matches(text, '[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}'))::INT + (regexp_matches(text, 'token = "'))::INT AS k FROM lines) SELECT coalesce(sum(k - 1), 0)::BIGINT AS n_repeated FROM t WHERE k > 0""",
     ),
-    Query(
-        match_spans,
-        f"""WITH {_SQL_HITS}, p AS (SELECT doc_id, line, regexp_extract_all(snippet, {_SQL_ANY}) AS m, regexp_split_to_array(snippet, {_SQL_ANY}) AS g FROM hits),
-        s AS (SELECT doc_id, line, unnest(list_transform(generate_series(1, len(m)), lambda i: {{'c0': length(array_to_string(g[1:i], '')) + length(array_to_string(m[1:i-1], '')), 'n': length(m[i])}})) AS s FROM p)
-        SELECT doc_id, line, s.c0 AS c0, s.c0 + s.n AS c1 FROM s""",
-    ),
+    Query(match_spans, f"WITH {_SQL_HITS}{_SQL_SPANS} SELECT doc_id, line, s.s.c0 AS c0, s.s.c0 + s.s.n AS c1 FROM s"),
     Query(path_normalize, "SELECT page_id, regexp_replace(url, '^https?://', '') AS path FROM pages"),
     Query(import_lines, f"WITH {_SQL_LINES} SELECT regexp_matches(lower(text), '^\\s*(from|import)\\s') AS is_import, regexp_matches(text, '^\\s*$') AS is_blank, count(*) AS n FROM lines GROUP BY 1, 2"),
     Query(

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 
 _own: dict[str, str] = {}
 
@@ -30,3 +30,10 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{shared_dir(df.sparkSession)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def stage_counted(df: DataFrame, label: str, metrics: dict[str, Column]) -> tuple[DataFrame, dict[str, int]]:
+    """:func:`stage`, and aggregates of the rows observed while they are written; 0 where there are no rows."""
+    seen = Observation(f"{label}-{uuid.uuid4().hex}")
+    staged = stage(df.observe(seen, *[value.alias(name) for name, value in metrics.items()]), label)
+    return staged, {name: seen.get.get(name) or 0 for name in metrics}
