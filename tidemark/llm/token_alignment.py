@@ -3,9 +3,9 @@
 Both tokenizers cut the same bytes, so their tokens are compared by the bytes
 at which they end.  Where tokens correspond one to one, the two arrays of ends
 agree along a diagonal: entry i of one equals entry i + shift of the other.
-Such a run is skipped by comparing blocks of doubled length, then halving the
-block that differs.  Where a run breaks, the shorter side advances until both
-end together; that irregular group sets the new shift.
+Such a run is skipped by comparing blocks of doubled length; in the block that
+differs, the first difference ends the run.  Where a run breaks, the shorter
+side advances until both end together; that irregular group sets the new shift.
 
 Counts of linked ids are taken over the whole corpus: each document's distinct
 pairs are written once, added up by a shuffle, and looked up again - frequent
@@ -15,6 +15,8 @@ pairs, a bounded number, in memory, all others by a join.
 from __future__ import annotations
 
 import hashlib
+import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -30,6 +32,8 @@ from .tokenizer import CachedEncoder, byte_letters
 #: Text of one step, and pairs in one written block.
 STEP_BYTES = 1 << 21
 BLOCK_PAIRS = 1 << 22
+#: Entries of the first block that is compared.
+PROBE = 32
 #: Pairs whose counts are looked up in memory: at most this many, the most frequent ones.
 IN_MEMORY = 1 << 20
 
@@ -42,24 +46,26 @@ def group_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.n
     The arrays hold the ascending byte ends of tokens of the same bytes, so
     their last entries are equal.
     """
-    a, b = ends_a.astype("<u8"), ends_b.astype("<u8")
-    bytes_a, bytes_b, at_a, at_b = a.tobytes(), b.tobytes(), a.tolist(), b.tolist()
+    wide = "<u4" if ends_a[-1] < 1 << 32 else "<u8"
+    a, b = ends_a.astype(wide), ends_b.astype(wide)
+    size, bytes_a, bytes_b, at_a, at_b = a.itemsize, a.tobytes(), b.tobytes(), a.tolist(), b.tolist()
     starts, lengths, after_a, after_b = [], [], [], []
     i, shift, n = 0, 0, len(at_a)
+    number = int.from_bytes
     while i < n:
-        run, step, start_b = 0, 1, i + shift
-        # probe blocks of doubled length along the diagonal
-        while i + run < n and bytes_a[8 * (i + run) : 8 * (i + run + step)] == bytes_b[8 * (start_b + run) : 8 * (start_b + run + step)]:
-            run, step = run + step, 2 * step
-        run = min(run, n - i)
-        low, high = 0, min(step, n - i - run)
-        while high - low > 1:
-            middle = (low + high) // 2
-            if bytes_a[8 * (i + run) : 8 * (i + run + middle)] == bytes_b[8 * (start_b + run) : 8 * (start_b + run + middle)]:
-                low = middle
-            else:
-                high = middle
-        run += low
+        run, step, start_b = 0, PROBE, i + shift
+        while True:
+            # probe blocks of doubled length along the diagonal, from here to the end at most
+            at, bt, width = size * (i + run), size * (start_b + run), size * min(step, n - i - run)
+            block_a, block_b = bytes_a[at : at + width], bytes_b[bt : bt + width]
+            if block_a != block_b:
+                # the lowest bit that differs lies in the first entry that does
+                differ = number(block_a, "little") ^ number(block_b, "little")
+                run += ((differ & -differ).bit_length() - 1) // (8 * size)
+                break
+            run, step = run + width // size, 2 * step
+            if i + run == n:
+                break
         starts.append((i, start_b))
         lengths.append(run)
         x, y = i + run, start_b + run
@@ -89,6 +95,30 @@ def group_ends(ends_a: np.ndarray, ends_b: np.ndarray) -> tuple[np.ndarray, np.n
     return out_a, out_b
 
 
+#: Texts in which all releases of Unicode agree on what is a letter, a digit and a space.
+STABLE = re.compile("[\\0-ɏ\u2000-\u2064]*\\Z").match
+#: What neither fast path takes: runs without a space, and of spaces, that a quadratic merge would feel.
+LONG = re.compile("[^ ]{400}| {400}").search
+#: Fixed value: how byte-level vocabularies of this family cut a text before merging.
+CUTS = r"'(?:[sdmt]|ll|ve|re)| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def fast_encoder(tokenizer, pieces: list[bytes]):
+    """An encoder with the same merges, if ids ascend with them and texts are cut by :data:`CUTS`; else None."""
+    import tiktoken
+
+    model = json.loads(tokenizer.to_str())
+    cut, merges = model["pre_tokenizer"], model["model"].get("merges", [])
+    if model["normalizer"] or not cut or cut["type"] != "ByteLevel" or not cut.get("use_regex", True) or cut["add_prefix_space"]:
+        return None
+    vocabulary, added = model["model"]["vocab"], {t["content"] for t in model["added_tokens"]}
+    made = [vocabulary["".join(m if isinstance(m, list) else m.split(" "))] for m in merges]
+    if any(x >= y for x, y in zip(made, made[1:])) or model["model"].get("ignore_merges"):
+        return None
+    ranks = {pieces[i]: i for token, i in vocabulary.items() if token not in added}
+    return tiktoken.Encoding("alignment", pat_str=CUTS, mergeable_ranks=ranks, special_tokens={})
+
+
 @dataclass
 class Side:
     """A vocabulary: the bytes of each id, their lengths, and the encoder of texts after a space."""
@@ -98,6 +128,14 @@ class Side:
 
     def __post_init__(self):
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
+        self.flat = np.frombuffer(b"".join(self.pieces), np.uint8)
+        self.begin = np.cumsum(self.lengths) - self.lengths
+
+    def joined(self, ids: np.ndarray) -> bytes:
+        """The bytes of some ids, one after the other."""
+        sizes = self.lengths[ids]
+        shift = self.begin[ids] - (np.cumsum(sizes) - sizes)
+        return self.flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))].tobytes()
 
 
 class Pair:
@@ -112,11 +150,18 @@ class Pair:
         pieces = [b""] * (max(vocabulary.values()) + 1)
         for token, i in vocabulary.items():
             pieces[i] = bytes(byte_of[c] for c in token) if all(c in byte_of for c in token) else token.encode()
-        self.cache = encoder
-        self.a = Side(pieces, lambda text: np.frombuffer(encoder.encode_after_space(text), "<u4").astype(np.int64))
+        fast = fast_encoder(encoder.tokenizer, pieces)
+
+        def encode_a(text: str) -> np.ndarray:
+            if fast and STABLE(text) and not LONG(text):
+                return np.array(fast.encode_ordinary(" " + text), np.int64)
+            return np.frombuffer(encoder.encode_after_space(text), "<u4").astype(np.int64)
+
+        self.a = Side(pieces, encode_a)
         model = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i in range(model.get_piece_size()) for p in [model.id_to_piece(i)]]
         self.b = Side(pieces, lambda text: np.array(model.encode(text, num_threads=1), np.int64))
+        self.cache = encoder
         width = len(self.b.pieces)
         self.width = width
         # the text of every id with each separator that can follow it
@@ -129,8 +174,7 @@ class Pair:
             return none, none
         ids_a, ids_b = self.a.encode(text), self.b.encode(text)
         whole = b" " + text.encode()
-        same = all(b"".join([side.pieces[i] for i in ids.tolist()]) == whole for side, ids in ((self.a, ids_a), (self.b, ids_b)))
-        return (ids_a, ids_b) if same else (none, none)
+        return (ids_a, ids_b) if self.a.joined(ids_a) == self.b.joined(ids_b) == whole else (none, none)
 
     def align(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """:func:`group_ends` of both sides' ids."""
