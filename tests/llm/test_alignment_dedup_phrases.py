@@ -275,9 +275,9 @@ def test_no_documents_have_no_phrases(spark):
 
 
 def test_exact_scores_beyond_64_bits(spark):
-    stripes = phrases.Stripes(
-        spark.createDataFrame([("en", "a", -1, 4 * 10**17, 3 * 10**17, ["b"], [3 * 10**17]), ("en", "b", -1, 3 * 10**17 + 1, 0, [], [])], phrases.MERGED), spark.createDataFrame([("en", 10**18)], "lang string, n long")
-    )
+    rows = spark.createDataFrame([("en", "a", -1, 3 * 10**17, ["b"], [3 * 10**17])], phrases.MERGED)
+    words = spark.createDataFrame([("en", "a", 4 * 10**17), ("en", "b", 3 * 10**17 + 1)], "lang string, word string, n long")
+    stripes = phrases.Stripes(rows, words, spark.createDataFrame([("en", 10**18)], "lang string, n long"))
     row = phrases.score_cuts(stripes).first()
     assert row.score == 2_000_000 * 3 * 10**17 // (7 * 10**17 + 1)
     assert phrases.subsumed(stripes).collect() == []

@@ -1,10 +1,10 @@
 """Phrase collocation mining with stripes (operator 13).
 
-A stripe belongs to a prefix of one to three words and maps each next word to
-how often it follows, and the empty word to how often nothing follows that can
-belong to a frequent phrase.  So the sum of a stripe is the count of its
-prefix, its entries are the counts of the prefix's extensions, and its largest
-entry decides whether an extension subsumes the prefix.
+A stripe belongs to a prefix of up to three words and maps each next word to
+how often it follows; the stripe of the empty prefix counts the words.  One
+entry is the count of an extension, and of the prefix that a longer stripe
+belongs to; the largest entry of a stripe decides whether an extension
+subsumes its prefix.
 
 Tasks build the stripes of a few megabytes of text at a time; Spark brings the
 stripes of a prefix together, sorted, and they are merged entry by entry as
@@ -40,7 +40,7 @@ MAX_BITS = 1 << 26
 
 #: As stripes travel: next words and counts are joined by spaces, which no word has, as arrays would take thrice the room.
 STRIPES = "lang string, prefix string, seg int, next string, counts string"
-MERGED = "lang string, prefix string, seg int, total long, best long, next array<string>, counts array<long>"
+MERGED = "lang string, prefix string, seg int, best long, next array<string>, counts array<long>"
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -159,17 +159,17 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _stripe_rows(lang: str, owner: np.ndarray, following: np.ndarray, prefixes: pa.StringArray, segments: np.ndarray, names: pa.StringArray, name_hashes: np.ndarray) -> pa.RecordBatch:
-    """Stripes from one (prefix, next word) pair per occurrence; code -1 is the empty word."""
-    width = len(names) + 1
-    keys, counts = np.unique(owner * width + following + 1, return_counts=True)
+    """Stripes from one (prefix, next word) pair per occurrence."""
+    width = max(len(names), 1)
+    keys, counts = np.unique(owner * width + following, return_counts=True)
     owner, following = keys // width, keys % width
-    seg = np.where(segments[owner] > 1, np.append(np.uint64(0), name_hashes)[following].astype(np.int64) % np.maximum(segments[owner], 1), -1)
+    seg = np.where(segments[owner] > 1, name_hashes[following].astype(np.int64) % np.maximum(segments[owner], 1), -1)
     if (segments > 1).any():
         order = np.lexsort((following, seg, owner))
         owner, following, counts, seg = owner[order], following[order], counts[order], seg[order]
     first = np.flatnonzero(np.append(True, (owner[1:] != owner[:-1]) | (seg[1:] != seg[:-1])))
     offsets = pa.array(np.append(first, len(owner)).astype(np.int32))
-    words = pa.concat_arrays([pa.array([""]), names]).take(pa.array(following))
+    words = names.take(pa.array(following))
     rows = [
         pa.array([lang] * len(first), pa.string()), prefixes.take(pa.array(owner[first])), pa.array(seg[first].astype(np.int32)),
         pc.binary_join(pa.ListArray.from_arrays(offsets, words), " "), pc.binary_join(pa.ListArray.from_arrays(offsets, pa.array(counts.astype(np.int64)).cast(pa.string())), " "),
@@ -197,11 +197,10 @@ def _pair_stripes(known: Broadcast):
         for lang, words in _steps(batches):
             hashes = _hashes(lang, words.names)
             keep = known.value.words.has(hashes)[words.codes]
-            follows = np.append(words.joined[:-1] & keep[1:], False)
-            following = np.where(follows, np.append(words.codes[1:], -1), -1)
-            if keep.any():
+            at = np.flatnonzero(words.joined[:-1] & keep[1:] & keep[:-1])
+            if len(at):
                 segments = _segments(lang, words.names, known.value.hot_words)
-                yield from _sliced(_stripe_rows(lang, words.codes[keep], following[keep], words.names, segments, words.names, hashes))
+                yield from _sliced(_stripe_rows(lang, words.codes[at], words.codes[at + 1], words.names, segments, words.names, hashes))
 
     return task
 
@@ -214,31 +213,31 @@ def _long_stripes(known: Broadcast):
             codes, width = words.codes, len(words.names) + 1
             hashes = _hashes(lang, words.names)
             keep = known.value.words.has(hashes)[codes]
-            at = np.flatnonzero(np.append(words.joined[:-1] & keep[1:] & keep[:-1], False))  # where such a pair starts
+            at = np.flatnonzero(words.joined[:-1] & keep[1:] & keep[:-1])  # where such a pair starts
             if not len(at):
                 continue
             keys, pair = np.unique(codes[at] * width + codes[at + 1], return_inverse=True)
             pairs = pc.binary_join_element_wise(words.names.take(pa.array(keys // width)), words.names.take(pa.array(keys % width)), " ")
             good = known.value.pairs.has(_hashes(lang, pairs))[pair]
             at, pair = at[good], pair[good]
-            if not len(at):
-                continue
             id_at = np.full(len(codes) + 3, -1)  # the pair that starts at a place
             id_at[at] = pair
-            code_at = np.append(codes, [-1, -1, -1])
             parts = _segments(lang, pairs, known.value.hot_pairs)
-            following = np.where(id_at[at + 1] >= 0, code_at[at + 2], -1)
-            yield from _sliced(_stripe_rows(lang, pair, following, pairs, parts, words.names, hashes))
-            at, pair = at[following >= 0], pair[following >= 0]
+            on = id_at[at + 1] >= 0
+            at, pair = at[on], pair[on]
             if not len(at):
                 continue
-            keys, triple = np.unique(pair * width + code_at[at + 2], return_inverse=True)
+            yield from _sliced(_stripe_rows(lang, pair, codes[at + 2], pairs, parts, words.names, hashes))
+            on = id_at[at + 2] >= 0
+            at, pair = at[on], pair[on]
+            if not len(at):
+                continue
+            keys, triple = np.unique(pair * width + codes[at + 2], return_inverse=True)
             triples = pc.binary_join_element_wise(pairs.take(pa.array(keys // width)), words.names.take(pa.array(keys % width)), " ")
             # a triple is no more frequent than either of its pairs
             first = np.zeros(len(keys), np.int64)
             first[triple] = np.minimum(parts[pair], parts[id_at[at + 1]])
-            following = np.where(id_at[at + 2] >= 0, code_at[at + 3], -1)
-            yield from _sliced(_stripe_rows(lang, triple, following, triples, first, words.names, hashes))
+            yield from _sliced(_stripe_rows(lang, triple, codes[at + 3], triples, first, words.names, hashes))
 
     return task
 
@@ -248,19 +247,15 @@ def _merge(min_count: int):
 
     def keep(lang, prefix, seg, first, words, counts) -> pa.RecordBatch:
         """Rows for whole stripes, whose entries begin at ``first``."""
-        total = np.add.reduceat(counts, first)
-        real = pc.not_equal(words, "").to_numpy(zero_copy_only=False)
-        wanted = real & (counts >= min_count)
-        best = np.maximum.reduceat(np.where(wanted, counts, 0), first)
+        wanted = counts >= min_count
         sizes = np.add.reduceat(wanted.astype(np.int64), first)
-        rows = np.flatnonzero((total >= min_count) | (seg >= 0))
-        kept = wanted & np.repeat((total >= min_count) | (seg >= 0), np.diff(np.append(first, len(counts))))
+        rows = np.flatnonzero(sizes)
+        best = np.maximum.reduceat(counts, first)
         offsets = pa.array(np.append(0, np.cumsum(sizes[rows])).astype(np.int32))
-        at = pa.array(np.flatnonzero(kept))
-        take = pa.array(rows)
-        out = [lang.take(take), prefix.take(take), pa.array(seg[rows].astype(np.int32)), pa.array(total[rows]), pa.array(best[rows]),
-               pa.ListArray.from_arrays(offsets, words.take(at)), pa.ListArray.from_arrays(offsets, pa.array(counts[kept]))]
-        return pa.RecordBatch.from_arrays(out, ["lang", "prefix", "seg", "total", "best", "next", "counts"])
+        take, at = pa.array(rows), pa.array(np.flatnonzero(wanted))
+        out = [lang.take(take), prefix.take(take), pa.array(seg[rows].astype(np.int32)), pa.array(best[rows]),
+               pa.ListArray.from_arrays(offsets, words.take(at)), pa.ListArray.from_arrays(offsets, pa.array(counts[wanted]))]
+        return pa.RecordBatch.from_arrays(out, ["lang", "prefix", "seg", "best", "next", "counts"])
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.RecordBatch | None = None
@@ -320,25 +315,31 @@ def _hot(counted: DataFrame, name: str, count: str, total: int) -> dict[tuple[st
 
 @dataclass(frozen=True)
 class Stripes:
-    """Merged stripes, and the number of words per language.
+    """Merged stripes with their frequent entries, that of the empty prefix, and the number of words per language.
 
-    ``rows`` has lang, prefix, seg, total, best, next and counts.  ``seg`` is -1
-    for a whole stripe; the segments of a hot prefix's stripe have their share
-    of its total, but whole counts of the next words they hold.
+    ``rows`` has lang, prefix, seg, best, next and counts; ``seg`` is -1 for a
+    whole stripe, and numbers the segments of a hot prefix's stripe, which hold
+    different next words.  ``words`` has lang, word and n.
     """
 
     rows: DataFrame
+    words: DataFrame
     sizes: DataFrame
 
-    def totals(self) -> DataFrame:
-        """(lang, prefix, f, best): the count of every prefix, and that of its best extension, 0 if none is frequent."""
-        return self.rows.groupBy("lang", "prefix").agg(F.sum("total").alias("f"), F.max("best").alias("best"))
-
     def phrases(self) -> DataFrame:
         """(lang, words, a): frequent phrases of two to four words."""
         pairs = self.rows.select("lang", "prefix", F.explode(F.arrays_zip("next", "counts")).alias("e"))
         return pairs.select("lang", F.split(F.concat_ws(" ", "prefix", "e.next"), " ", -1).alias("words"), F.col("e.counts").alias("a"))
 
+    def totals(self) -> DataFrame:
+        """(lang, prefix, f): the count of every frequent prefix of one to three words, read from the stripe one word shorter."""
+        longer = self.phrases().where(F.size("words") < 4).select("lang", F.array_join("words", " ").alias("prefix"), F.col("a").alias("f"))
+        return self.words.select("lang", F.col("word").alias("prefix"), F.col("n").alias("f")).unionByName(longer)
+
+    def best(self) -> DataFrame:
+        """(lang, prefix, best): the count of the most frequent extension."""
+        return self.rows.groupBy("lang", "prefix").agg(F.max("best").alias("best"))
+
 
 def mine_stripes(docs: DataFrame, min_count: int = 30) -> Stripes:
     """Stripes of all phrases of up to four words that occur ``min_count`` times or more in their language.
@@ -359,13 +360,13 @@ def mine_stripes(docs: DataFrame, min_count: int = 30) -> Stripes:
     entries = pairs.select("lang", "prefix", F.explode(F.arrays_zip("next", "counts")).alias("e")).select("lang", F.concat_ws(" ", "prefix", "e.next").alias("pair"), F.col("e.counts").alias("n"))
     known = Known(known.words, known.hot_words, Filter.of(entries.select(_hash("pair"))), _hot(entries, "pair", "n", total))
     long = _merged(texts, _long_stripes(spark.sparkContext.broadcast(known)), min_count)
-    return Stripes(pairs.unionByName(long), sizes)
+    return Stripes(pairs.unionByName(long), frequent, sizes)
 
 
 def score_cuts(stripes: Stripes, scale: int = 2_000_000) -> DataFrame:
     """(lang, phrase, a, l, r, score): every frequent phrase under its lowest-scoring cut, ties to the shortest first part.
 
-    The counts of both parts are totals of stripes; products are decimals of 38
+    The counts of both parts are entries of shorter stripes; products are decimals of 38
     digits, so nothing is rounded before the floor.
     """
     phrases = stripes.phrases()
@@ -374,7 +375,7 @@ def score_cuts(stripes: Stripes, scale: int = 2_000_000) -> DataFrame:
     side = lambda name, words: F.struct(F.lit(name).alias("side"), F.array_join(words, " ").alias("part"))
     left, right = F.slice("words", F.lit(1), F.col("k")), F.slice("words", F.col("k") + 1, F.size("words") - F.col("k"))
     parts = cuts.select("lang", "phrase", "a", "k", F.explode(F.array(side("l", left), side("r", right))).alias("p")).select("lang", "phrase", "a", "k", "p.side", "p.part")
-    found = parts.join(stripes.totals().select("lang", F.col("prefix").alias("part"), "f"), ["lang", "part"])
+    found = parts.join(stripes.totals().withColumnRenamed("prefix", "part"), ["lang", "part"])
     # at most six rows a phrase
     of = lambda side: F.max(F.when(F.col("side") == side, F.col("f")))
     both = found.groupBy("lang", "phrase", "a", "k").agg(of("l").alias("l"), of("r").alias("r"))
@@ -393,7 +394,7 @@ def subsumed(stripes: Stripes, percent: int = 80) -> DataFrame:
     """
     phrases = stripes.phrases().withColumn("phrase", F.array_join("words", " "))
     before = phrases.where(F.size("words") > 2).select("lang", F.array_join(F.slice("words", F.lit(2), F.size("words") - 1), " ").alias("phrase"), F.col("a").alias("best"))
-    after = stripes.totals().select("lang", F.col("prefix").alias("phrase"), "best")
+    after = stripes.best().select("lang", F.col("prefix").alias("phrase"), "best")
     most = before.unionByName(after).groupBy("lang", "phrase").agg(F.max("best").alias("best"))
     wide = lambda c: F.col(c).cast("decimal(20,0)")
     return phrases.select("lang", "phrase", "a").join(most, ["lang", "phrase"]).where(wide("best") * 100 >= wide("a") * percent).select("lang", "phrase")
