@@ -45,7 +45,7 @@ def test_audit_and_resume(spark, tree):
     # about a changed line it is, and another judge is asked about all
     (tree / "repo/helper.py").write_text("from app import x\ny = Gadget()\n")
     third = run_audit(*args, RuleJudge({"gadget"}), chunk_size=2, say=lambda x: None)
-    assert sum(written()[f] != t for f, t in first.items()) == 1 and {r.file for r in third.verdicts.collect()} >= {"helper.py"}
+    assert len(written()) == len(first) + 1 and first.items() <= written().items() and {r.file for r in third.verdicts.collect()} >= {"helper.py"}
     other = run_audit(*args, RuleJudge(set()), chunk_size=2, say=lambda x: None)
     assert {r.file: r.bucket for r in other.verdicts.collect()} == {"app.py": "rejected", "helper.py": "rejected", "tests/test_app.py": "flagged"}
 
@@ -63,6 +63,71 @@ class Failing(Judge):
         return Answer(text[:20] if bad else text, {"input_tokens": 100, "output_tokens": 7}, bad and self.kind == "cut", "m1")
 
 
+class Counting(Judge):
+    """Notes every question in a folder, and fails once at one chunk."""
+
+    def __init__(self, folder, fails_at):
+        self.folder, self.fails_at = folder, fails_at
+
+    def identity(self):
+        return "counting"
+
+    def decide(self, candidates, system=""):
+        line = candidates[0]["line"]
+        n = len([f for f in os.listdir(self.folder) if f.startswith(f"{line}-")])
+        open(os.path.join(self.folder, f"{line}-{n}"), "w").close()
+        if line == self.fails_at and n == 0:
+            raise RuntimeError("lost executor")
+        return RuleJudge({"p"}).decide(candidates)
+
+
+def test_a_task_that_fails_asks_nothing_twice(spark, tmp_path, monkeypatch):
+    monkeypatch.setitem(spark.sparkContext.environment, "PYTHONPATH", os.pathsep.join([os.path.dirname(__file__), os.environ["PYTHONPATH"]]))
+    asked = tmp_path / "asked"
+    asked.mkdir()
+    rows = spark.createDataFrame([(i, "a.py", i, f"s{i}", "p") for i in range(6)], "chunk_id int, file string, line int, snippet string, pattern string").coalesce(1)
+    spark.conf.set("spark.sql.shuffle.partitions", "1")
+    try:
+        store, judge = f"file://{tmp_path}/store", Counting(str(asked), 2)
+        with pytest.raises(Exception, match="lost executor"):
+            adjudicate(rows, judge, store=store, calls=f"file://{tmp_path}/calls")
+        published = {r.line for r in read_chunks(spark, store).collect()}
+        assert 2 not in published and not list((tmp_path / "store").glob("*.partial"))
+        got = adjudicate(rows, judge, store=store, calls=f"file://{tmp_path}/calls")
+        assert sorted((r.chunk_id, r.line, r.bucket) for r in got.collect()) == [(i, i, "proposed") for i in range(6)]
+        # all were asked once, the one that failed twice
+        assert sorted(os.listdir(asked)) == sorted([*(f"{i}-0" for i in range(6)), "2-1"])
+        runs_made = [json.loads(f.read_text()) for f in (tmp_path / "store").glob("_run-*")]
+        assert runs_made == [{"chunks": 6, "asked": 6 - len(published)}]
+        # under another number a chunk is the same chunk
+        moved = adjudicate(rows.withColumn("chunk_id", F.col("chunk_id") + 10), judge, store=store)
+        assert sorted(r.chunk_id for r in moved.collect()) == list(range(10, 16)) and len(os.listdir(asked)) == 7
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", "3")
+
+
+@pytest.mark.parametrize(
+    "file,text,says",
+    [
+        ("vocabulary", '[{"name": "a"}]', "regex is missing"), ("vocabulary", "[1]", "not an object"), ("vocabulary", '[{"name": 1, "regex": "x"}]', "name is missing or not text"), ("vocabulary", "{", "not JSON"),
+        ("vocabulary", '{"patterns": 3}', "neither a list"), ("vocabulary", "[]", "empty"), ("facts", "{", "not JSON"), ("facts", "[]", "not an object"), ("facts", '{"package_name": "a b", "facts": []}', "bare package name"),
+    ],
+)
+def test_malformed_files_stop_in_one_line(spark, tree, capsys, file, text, says):
+    command = write_inputs(tree)
+    (tree / f"{file}.json").write_text(text)
+    assert main([*command, "--workdir", str(tree / "work"), "--judge", f"{__name__}:good"], spark) == 1
+    said = capsys.readouterr().err.strip()
+    assert said.startswith("STOPPED") and says in said and "\n" not in said
+
+
+@pytest.mark.parametrize("judge", ["no_such_module:x", f"{__name__}:no_such_name", "json:loads", "builtins:dict"])
+def test_a_judge_that_is_none_stops_in_one_line(spark, tree, capsys, judge):
+    assert main([*write_inputs(tree), "--workdir", str(tree / "work"), "--judge", judge], spark) == 1
+    said = capsys.readouterr().err.strip()
+    assert said.startswith("STOPPED: ") and "\n" not in said
+
+
 def write_inputs(tree):
     (tree / "facts.json").write_text(json.dumps(FACTS))
     (tree / "vocabulary.json").write_text(json.dumps([vars(p) for p in PATTERNS]))

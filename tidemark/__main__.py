@@ -15,7 +15,8 @@ from pyspark.sql import SparkSession
 from tidemark.operators.judge import Judge, JudgeError, ReplayJudge, read_calls
 from tidemark.operators.runs import parse_patterns, usage_text
 from tidemark.operators.usage import COUNTERS, estimate_cost, total_usage
-from tidemark.plans.audit import GuardFailure, run_audit
+from tidemark.plans.audit import GuardFailure, run_audit, shared_store
+from tidemark.sources.chunk_store import Folder
 
 
 def arguments(argv: list[str] | None = None) -> argparse.Namespace:
@@ -27,6 +28,7 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     run.add_argument("--vocabulary", required=True, help="JSON: named regular expressions in order")
     run.add_argument("--package", help="import name of the package, instead of that of the facts")
     run.add_argument("--workdir", help="where results go; by default .tidemark-run/<time>")
+    run.add_argument("--store", help="URI of a folder that all executors share, for candidates, judged chunks and calls; in local mode the work directory")
     run.add_argument("--chunk-size", type=int, default=40)
     run.add_argument("--force", action="store_true", help="go on where a guard fails")
     judge = run.add_mutually_exclusive_group(required=True)
@@ -36,43 +38,57 @@ def arguments(argv: list[str] | None = None) -> argparse.Namespace:
     return parser.parse_args(argv)
 
 
+def _uri(path: str) -> str:
+    return path if "://" in path else "file://" + os.path.abspath(path)
+
+
+def _json(path: str, what: str):
+    with open(path, encoding="utf-8") as f:
+        try:
+            return json.load(f)
+        except ValueError as error:
+            raise ValueError(f"{what} {path} is not JSON: {error}") from error
+
+
 def _judge(spark: SparkSession, args: argparse.Namespace) -> Judge:
     if args.replay:
-        return ReplayJudge.load(read_calls(spark, "file://" + os.path.abspath(args.replay)))
+        return ReplayJudge.load(read_calls(spark, _uri(args.replay)))
     module, _, name = args.judge.partition(":")
-    return getattr(importlib.import_module(module), name)()
+    try:
+        made = getattr(importlib.import_module(module), name)()
+    except (ImportError, AttributeError, TypeError) as error:
+        raise ValueError(f"no judge {args.judge}: {error}") from error
+    if not isinstance(made, Judge):
+        raise ValueError(f"{args.judge} gives no judge but {type(made).__name__}")
+    return made
 
 
 def _usage(spark: SparkSession, calls: str, prices: str | None) -> str:
     """What the calls of a run used, also of one that stopped."""
-    if not os.path.isdir(calls):
+    if not Folder(calls).exists():
         return ""
-    table = {}
-    if prices:
-        with open(prices, encoding="utf-8") as f:
-            table = json.load(f)
+    table = _json(prices, "the price file") if prices else {}
     rows = [(m, *(float(p.get(c, 0)) for c in COUNTERS)) for m, p in table.items()]
     priced = spark.createDataFrame(rows, "model string, " + ", ".join(f"{c}_price double" for c in COUNTERS))
-    return usage_text(estimate_cost(total_usage(read_calls(spark, "file://" + os.path.abspath(calls)), ["model"]), priced))
+    return usage_text(estimate_cost(total_usage(read_calls(spark, calls), ["model"]), priced))
 
 
 def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> int:
     """Run the command; 1 after a stop, whose reason is printed without a trace."""
     args = arguments(argv)
-    workdir = args.workdir or os.path.join(".tidemark-run", datetime.datetime.now().strftime("%Y-%m-%dT%H-%M-%S"))
+    workdir = args.workdir or os.path.join(".tidemark-run", f"{datetime.datetime.now():%j-%y.%H%M%S}")
     spark = spark or SparkSession.builder.appName("tidemark").getOrCreate()
     try:
-        with open(args.facts, encoding="utf-8") as f:
-            facts = json.load(f)
-        if args.package:
+        facts = _json(args.facts, "the fact file")
+        if args.package and isinstance(facts, dict):
             facts["package_name"] = args.package
         with open(args.vocabulary, encoding="utf-8") as f:
             patterns = parse_patterns(f.read())
-        done = run_audit(spark, args.repo, args.guide, workdir, facts, patterns, _judge(spark, args), args.chunk_size, args.force)
+        done = run_audit(spark, args.repo, args.guide, workdir, facts, patterns, _judge(spark, args), args.chunk_size, args.force, store=args.store)
         print(f"report: {done.report_path}")
         return 0
     except GuardFailure as error:
-        print(f"STOPPED: {error}\nRun again with --force to go on anyway.", file=sys.stderr)
+        print(f"STOPPED: {error}\n--force continues past a failed guard.", file=sys.stderr)
     except (JudgeError, ValueError, OSError) as error:
         print(f"STOPPED: {error}", file=sys.stderr)
     except PySparkException as error:
@@ -80,8 +96,11 @@ def main(argv: list[str] | None = None, spark: SparkSession | None = None) -> in
         lines = [x.strip() for x in str(error).splitlines() if "tidemark.operators" in x and ": " in x] or str(error).splitlines()
         print(f"STOPPED: {lines[-1]}", file=sys.stderr)
     finally:
-        if text := _usage(spark, os.path.join(workdir, "calls"), args.prices):
-            print(text)
+        try:
+            if text := _usage(spark, shared_store(spark, workdir, args.store) + "/calls", args.prices):
+                print(text)
+        except (ValueError, OSError) as error:
+            print(f"no usage: {error}", file=sys.stderr)
     return 1
 
 

@@ -1,4 +1,4 @@
-"""Adjudicating chunks of candidates with a judge, resumably: every valid chunk is written before the next is asked."""
+"""Adjudicating chunks of candidates with a judge, resumably."""
 
 from __future__ import annotations
 
@@ -8,13 +8,13 @@ from abc import ABC, abstractmethod
 from dataclasses import dataclass, field
 
 import pandas as pd
-import pyarrow.fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import request_key
 from tidemark.operators.usage import COUNTERS
 from tidemark.operators.verdicts import BUCKETS, VERDICTS, VerdictError, violations
+from tidemark.sources.chunk_store import Work, write_chunks
 
 CHUNKS = "chunk_id int, input_hash string"
 CALLS = "key string, stage string, system_excerpt string, user_excerpt string, response string, model string, " + ", ".join(f"{c} long" for c in COUNTERS)
@@ -114,15 +114,6 @@ def chunk_hash(candidates: list[dict], system: str = "", identity: str = "") ->
     return hashlib.sha256("\0".join([body, system, identity]).encode("utf-8", "surrogatepass")).hexdigest()[:24]
 
 
-def _put(folder: str, name: str, rows: list[dict]) -> None:
-    """Write JSON lines beside their place, then move them over it."""
-    fs, root = pyarrow.fs.FileSystem.from_uri(folder)
-    fs.create_dir(root, recursive=True)
-    with fs.open_output_stream(f"{root}/_{name}.partial") as out:
-        out.write("".join(json.dumps(r, ensure_ascii=False) + "\n" for r in rows).encode("utf-8", "surrogatepass"))
-    fs.move(f"{root}/_{name}.partial", f"{root}/{name}.json")
-
-
 def _rows_of(answer: Answer, rows: list[dict]) -> list[tuple]:
     if answer.truncated:
         raise AnswerTruncated("the answer was cut off")
@@ -142,29 +133,36 @@ def _rows_of(answer: Answer, rows: list[dict]) -> list[tuple]:
 def adjudicate(chunks: DataFrame, judge: Judge, done: DataFrame | None = None, facts: str = "", template: str = TEMPLATE, store: str | None = None, calls: str | None = None) -> DataFrame:
     """Verdicts per chunk: chunk_id, input_hash and the verdict columns.
 
-    ``chunks`` has chunk_id, file, line, snippet, pattern.  A chunk whose hash
-    is in ``done`` (an earlier result) keeps its old verdicts.  An answer that
+    ``chunks`` has chunk_id, file, line, snippet, pattern.  An answer that
     breaks the contract, or does not cover its chunk exactly, fails the run.
 
-    Each valid chunk is written to the folder ``store`` at once, a file of its
-    own, so a run that fails keeps what was judged before; each call is written
-    to ``calls`` before its answer is read, so it counts even if that is bad.
+    With ``store``, the URI of a folder that all executors share, chunks are
+    judged at once.  Each is published there as soon as it is valid, under the
+    hash of all that its answer depends on, and a chunk that is there is not
+    asked again, be it from an earlier run or from an earlier attempt of the
+    same task.  Each call is published to ``calls`` before its answer is read,
+    so it counts even if that is bad.
+
+    Without ``store``, nothing is kept but the result, and a chunk whose hash is
+    in ``done`` (an earlier result) keeps its old verdicts.
     """
     system, identity = template.replace("{FACTS}", facts), judge.identity()
 
+    def decide(chunk: int, rows: list[dict], log) -> list[dict]:
+        key, answer = call_key(rows, system), judge.decide(rows, system)
+        used = {c: int(answer.usage.get(c, 0)) for c in COUNTERS}
+        log(key, [{"key": key, "stage": f"chunk {chunk}", "system_excerpt": system[:200], "user_excerpt": user_text(rows)[:200], "response": answer.text, "model": answer.model, **used}])
+        head = {"chunk_id": chunk, "input_hash": chunk_hash(rows, system, identity)}
+        return [head | dict(zip(("bucket", "file", "line", "pattern", "snippet", "reason"), r)) for r in _rows_of(answer, rows)]
+
+    if store is not None:
+        sites = F.collect_list(F.struct("file", "line", "snippet", "pattern")).alias("sites")
+        write_chunks(chunks.groupBy("chunk_id").agg(sites), store, Work(lambda rows: chunk_hash(rows, system, identity), decide), calls)
+        return read_chunks(chunks.sparkSession, store).drop("chunk_id").join(chunk_hashes(chunks, judge, facts, template), "input_hash").select(*_names(f"{CHUNKS}, {VERDICTS}"))
+
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         rows = pdf.sort_values(["file", "line"]).to_dict("records")
-        chunk, key = int(pdf["chunk_id"].iat[0]), call_key(rows, system)
-        answer = judge.decide(rows, system)
-        if calls:
-            used = {c: int(answer.usage.get(c, 0)) for c in COUNTERS}
-            _put(calls, f"call-{key}", [{"key": key, "stage": f"chunk {chunk}", "system_excerpt": system[:200], "user_excerpt": user_text(rows)[:200], "response": answer.text, "model": answer.model, **used}])
-        frame = pd.DataFrame(_rows_of(answer, rows), columns=["bucket", "file", "line", "pattern", "snippet", "reason"])
-        frame.insert(0, "input_hash", chunk_hash(rows, system, identity))
-        frame.insert(0, "chunk_id", chunk)
-        if store:
-            _put(store, f"chunk-{chunk:09d}", frame.to_dict("records"))
-        return frame
+        return pd.DataFrame(decide(int(pdf["chunk_id"].iat[0]), rows, lambda key, calls: None))
 
     schema = f"{CHUNKS}, {VERDICTS}"
     if done is None:
@@ -174,6 +172,10 @@ def adjudicate(chunks: DataFrame, judge: Judge, done: DataFrame | None = None, f
     return known.unionByName(pending.groupBy("chunk_id").applyInPandas(run, schema))
 
 
+def _names(schema: str) -> list[str]:
+    return [field.split()[0] for field in schema.split(", ")]
+
+
 def chunk_hashes(chunks: DataFrame, judge: Judge, facts: str = "", template: str = TEMPLATE) -> DataFrame:
     """(chunk_id, input_hash) of what would be asked now."""
     system, identity = template.replace("{FACTS}", facts), judge.identity()

@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import is_import_line, strip
-from tidemark.operators.patterns import Pattern, all_matches, check_vocabulary
+from tidemark.operators.patterns import Pattern, VocabularyError, all_matches, check_vocabulary
 from tidemark.operators.prefilter import lexical_verdicts, python_lexer
 from tidemark.operators.relevance import relevant_files
 from tidemark.operators.usage import COUNTERS
@@ -18,9 +18,23 @@ from tidemark.sources.tables import stage
 
 
 def parse_patterns(text: str) -> list[Pattern]:
-    """A vocabulary from JSON: [{name, regex}], or that under ``patterns``; checked, never executed."""
-    data = json.loads(text)
-    rows = data["patterns"] if isinstance(data, dict) else data
+    """A vocabulary from JSON: [{name, regex}], or that under ``patterns``; checked, never executed.
+
+    Whatever else the text holds raises :class:`VocabularyError`.
+    """
+    try:
+        data = json.loads(text)
+    except ValueError as error:
+        raise VocabularyError(f"the vocabulary is not JSON: {error}") from error
+    rows = data.get("patterns") if isinstance(data, dict) else data
+    if not isinstance(rows, list):
+        raise VocabularyError("the vocabulary is neither a list nor an object with patterns")
+    for i, r in enumerate(rows):
+        if not isinstance(r, dict):
+            raise VocabularyError(f"pattern {i}: not an object")
+        for name in ("name", "regex"):
+            if not isinstance(r.get(name), str):
+                raise VocabularyError(f"pattern {i}: {name} is missing or not text")
     patterns = [Pattern(r["name"], r["regex"]) for r in rows]
     check_vocabulary(patterns)
     return patterns

@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.operators import guards, prefilter, verdicts
-from tidemark.operators.judge import Judge, adjudicate, read_chunks
+from tidemark.operators.judge import Judge, adjudicate
 from tidemark.operators.patterns import Pattern, check_vocabulary, relevance_regex
 from tidemark.operators.runs import patterns_table
 from tidemark.operators.scan import candidates_of
@@ -35,8 +35,24 @@ class Audit:
     report_path: str
 
 
-def run_audit(spark: SparkSession, repo: str, guide: str, workdir: str, factblock: dict, patterns: Sequence[Pattern], judge: Judge, chunk_size: int = 40, force: bool = False, strict_failsafe: bool = False, say: Callable[[str], None] = print) -> Audit:
-    """Audit the tree ``repo``; writes under ``workdir`` only.
+def shared_store(spark: SparkSession, workdir: str, store: str | None) -> str:
+    """The URI of the folder for what executors write: ``store``, or in local mode the work directory."""
+    if store is not None or "://" in workdir:
+        return (store or workdir).rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise ValueError("give a store: the URI of a folder that all executors share")
+    return "file://" + os.path.abspath(workdir)
+
+
+def run_audit(
+    spark: SparkSession, repo: str, guide: str, workdir: str, factblock: dict, patterns: Sequence[Pattern], judge: Judge, chunk_size: int = 40, force: bool = False,
+    strict_failsafe: bool = False, say: Callable[[str], None] = print, store: str | None = None,
+) -> Audit:
+    """Audit the tree ``repo``; writes under ``workdir`` and ``store`` only.
+
+    The driver writes its small artifacts to ``workdir``.  Executors write
+    candidates, the drop log, judged chunks and calls to ``store``, the URI of a
+    folder that all of them share; only in local mode is that the work directory.
 
     ``force`` lets guards fail without stopping; validation always stops.
     Chunks judged before are kept where nothing changed that their answers
@@ -47,7 +63,8 @@ def run_audit(spark: SparkSession, repo: str, guide: str, workdir: str, factbloc
     check_factblock(factblock)
     check_vocabulary(patterns)
     at = lambda name: os.path.join(workdir, name)
-    uri = lambda name: "file://" + os.path.abspath(at(name))
+    shared = shared_store(spark, workdir, store)
+    uri = lambda name: f"{shared}/{name}"
     with open(guide, encoding="utf-8") as f:
         guide_text = f.read()
 
@@ -78,8 +95,7 @@ def run_audit(spark: SparkSession, repo: str, guide: str, workdir: str, factbloc
 
     chunks = verdicts.assign_chunks(kept.select("file", "line", "snippet", "pattern"), chunk_size)
     chunks = stage(chunks, "chunks")
-    earlier = stage(read_chunks(spark, uri("chunks")), "earlier") if os.path.isdir(at("chunks")) else None
-    judged = stage(adjudicate(chunks, judge, earlier, render_facts(factblock), store=uri("chunks"), calls=uri("calls")), "judged")
+    judged = stage(adjudicate(chunks, judge, facts=render_facts(factblock), store=uri("chunks"), calls=uri("calls")), "judged")
     verdicts.require_cover(kept, judged)
 
     faked = verdicts.stand_ins(files).withColumn("_faked", F.lit(True))
