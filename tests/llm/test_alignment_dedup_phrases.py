@@ -119,7 +119,7 @@ def test_pairs_in_several_blocks(spark, monkeypatch):
     texts = [t for t in ODD if t] + ["one two three four five"] * 2
     rows = [[i, i, 0, 0, 0, 0, "", None] for i in range(len(texts))]
     pair = token_alignment.Pair(A, B)
-    tokens = [pair.encode(t) for t in texts]
+    tokens = pair.encode(texts)
     a, b = (np.concatenate([t[k] for t in tokens]) for k in (0, 1))
     # every document is one group here, so all its ids are linked
     group_a, group_b = (np.repeat(np.arange(len(texts)), [len(t[k]) for t in tokens]) for k in (0, 1))

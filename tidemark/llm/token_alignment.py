@@ -19,6 +19,7 @@ import json
 import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -33,7 +34,7 @@ from .tokenizer import CachedEncoder, byte_letters
 STEP_BYTES = 1 << 21
 BLOCK_PAIRS = 1 << 22
 #: Entries of the first block that is compared.
-PROBE = 32
+PROBE = 8
 #: Pairs whose counts are looked up in memory: at most this many, the most frequent ones.
 IN_MEMORY = 1 << 20
 
@@ -119,6 +120,54 @@ def fast_encoder(tokenizer, pieces: list[bytes]):
     return tiktoken.Encoding("alignment", pat_str=CUTS, mergeable_ranks=ranks, special_tokens={})
 
 
+class Strings:
+    """A table of byte strings, and any sequence of its entries joined by one gather per block."""
+
+    def __init__(self, entries: list[bytes]):
+        self.sizes = np.array([len(e) for e in entries], np.int32)
+        self.flat = np.frombuffer(b"".join(entries), np.uint8)
+        self.begin = np.cumsum(self.sizes, dtype=np.int32) - self.sizes
+
+    def joined(self, which: np.ndarray, block: int = 1 << 16) -> bytes:
+        out = []
+        for at in range(0, len(which), block):
+            some = which[at : at + block]
+            sizes = self.sizes[some]
+            ends = np.cumsum(sizes, dtype=np.int32)
+            out.append(self.flat[np.repeat(self.begin[some] - ends + sizes, sizes) + np.arange(ends[-1], dtype=np.int32)].tobytes())
+        return b"".join(out)
+
+
+class WordCache(dict):
+    """Ids of a piece model for texts whose words are parted by single spaces, with a bounded cache of words.
+
+    No piece of such a model goes on after a space, which is checked, so words
+    are encoded on their own, those of many texts at once.  Other texts go to
+    the model whole.
+    """
+
+    def __init__(self, model, max_entries: int = 300_000):
+        self.model, self.max_entries = model, max_entries
+        pieces = [model.id_to_piece(i) for i in range(model.get_piece_size())]
+        alone = all("▁" not in p[1:] or not p.strip("▁") for p in pieces) and len(pieces) < 1 << 16
+        self.simple = re.compile("[!-~À-ÖØ-öø-ɏ\\n]+(?: [!-~À-ÖØ-öø-ɏ\\n]+)*\\Z").match if alone else lambda text: None
+
+    def encode(self, texts: list[str]) -> list[np.ndarray]:
+        split = [t.split(" ") if self.simple(t) else None for t in texts]
+        new = list(set(chain.from_iterable(filter(None, split))).difference(self))
+        if len(self) + len(new) > self.max_entries:
+            self.clear()
+            new = list(set(chain.from_iterable(filter(None, split))))
+        found = self.model.encode(new, num_threads=1)
+        packed = np.fromiter(chain.from_iterable(found), "<u2").tobytes()
+        at = 0
+        for word, ids in zip(new, found):
+            self[word] = packed[at : at + 2 * len(ids)]
+            at += 2 * len(ids)
+        look_up = self.__getitem__
+        return [np.frombuffer(b"".join(map(look_up, words)), "<u2").astype(np.int64) if words else np.array(self.model.encode(t, num_threads=1), np.int64) for words, t in zip(split, texts)]
+
+
 @dataclass
 class Side:
     """A vocabulary: the bytes of each id, their lengths, and the encoder of texts after a space."""
@@ -128,14 +177,11 @@ class Side:
 
     def __post_init__(self):
         self.lengths = np.array([len(p) for p in self.pieces], np.int64)
-        self.flat = np.frombuffer(b"".join(self.pieces), np.uint8)
-        self.begin = np.cumsum(self.lengths) - self.lengths
+        self.bytes = Strings(self.pieces)
 
     def joined(self, ids: np.ndarray) -> bytes:
         """The bytes of some ids, one after the other."""
-        sizes = self.lengths[ids]
-        shift = self.begin[ids] - (np.cumsum(sizes) - sizes)
-        return self.flat[np.repeat(shift, sizes) + np.arange(int(sizes.sum()))].tobytes()
+        return self.bytes.joined(ids)
 
 
 class Pair:
@@ -157,24 +203,27 @@ class Pair:
                 return np.array(fast.encode_ordinary(" " + text), np.int64)
             return np.frombuffer(encoder.encode_after_space(text), "<u4").astype(np.int64)
 
-        self.a = Side(pieces, encode_a)
+        self.a = Side(pieces, lambda texts: [encode_a(t) for t in texts])
         model = sentencepiece.SentencePieceProcessor(model_file=path_b)
         pieces = [bytes([int(p[3:5], 16)]) if model.is_byte(i) else p.replace("▁", " ").encode() for i in range(model.get_piece_size()) for p in [model.id_to_piece(i)]]
-        self.b = Side(pieces, lambda text: np.array(model.encode(text, num_threads=1), np.int64))
-        self.cache = encoder
+        words = WordCache(model)
+        self.b = Side(pieces, words.encode)
+        self.caches = (encoder, words)
         width = len(self.b.pieces)
         self.width = width
         # the text of every id with each separator that can follow it
-        self.written = [f"{i}{c}" for side, marks in ((self.a, ",|"), (self.b, ",;")) for c in marks for i in range(len(side.pieces))]
+        self.written = Strings([b"%d%c" % (i, c) for side, marks in ((self.a, b",|"), (self.b, b",;")) for c in marks for i in range(len(side.pieces))])
 
-    def encode(self, text: str | None) -> tuple[np.ndarray, np.ndarray]:
-        """Ids of both sides; none where the text is empty or either side loses bytes."""
+    def encode(self, texts: list[str | None]) -> list[tuple[np.ndarray, np.ndarray]]:
+        """Ids of both sides per text; none where it is empty or either side loses bytes."""
         none = np.empty(0, np.int64)
-        if not text:
-            return none, none
-        ids_a, ids_b = self.a.encode(text), self.b.encode(text)
-        whole = b" " + text.encode()
-        return (ids_a, ids_b) if self.a.joined(ids_a) == self.b.joined(ids_b) == whole else (none, none)
+        real = [t for t in texts if t]
+        found = iter(zip(real, self.a.encode(real), self.b.encode(real)))
+
+        def checked(text: str, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+            return (ids_a, ids_b) if self.a.joined(ids_a) == self.b.joined(ids_b) == b" " + text.encode() else (none, none)
+
+        return [checked(*next(found)) if t else (none, none) for t in texts]
 
     def align(self, ids_a: np.ndarray, ids_b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """:func:`group_ends` of both sides' ids."""
@@ -199,8 +248,8 @@ class Pair:
             order = np.empty(len(a) + len(b), np.int64)
             order[np.arange(len(a)) + np.repeat(last_b + 1 - count_b, count_a)] = code_a
             order[np.arange(len(b)) + np.repeat(last_a + 1, count_b)] = code_b
-            text = "".join(map(self.written.__getitem__, order.tolist()))
-            sha.update((text if at + (1 << 18) < len(groups_a) else text[:-1]).encode())
+            text = self.written.joined(order)
+            sha.update(text if at + (1 << 18) < len(groups_a) else text[:-1])
         return sha.hexdigest()
 
 
@@ -269,8 +318,7 @@ def _align_task(path_a: str, path_b: str):
         for step in _numbered(batches):
             rows, ids, groups, n_groups = [], ([], []), ([], []), 0
             doc_of_group = []
-            for k, (row, doc_id, text) in enumerate(step):
-                a, b = both.encode(text)
+            for k, ((row, doc_id, _), (a, b)) in enumerate(zip(step, both.encode([text for _, _, text in step]))):
                 ends_a, ends_b = both.align(a, b)
                 count_a, count_b = np.diff(ends_a, prepend=0), np.diff(ends_b, prepend=0)
                 rows.append([row, doc_id, len(a), len(b), len(ends_a), int((count_a * count_b).sum()), both.digest(a, b, ends_a, ends_b), None])
@@ -286,7 +334,8 @@ def _align_task(path_a: str, path_b: str):
                     columns = list(zip(*part))
                     kinds = [*[pa.int64()] * 6, pa.string(), pa.binary()]
                     yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds)], [f.split()[0] for f in ALIGNED.split(", ")])
-        both.cache.clear()
+        for cache in both.caches:
+            cache.clear()
 
     return task
 
@@ -369,8 +418,7 @@ def align_documents(docs: DataFrame, path_a: str, path_b: str) -> DataFrame:
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         both = pair_of(path_a, path_b)
         for batch in batches:
-            for doc_id, text in zip(batch["doc_id"].to_pylist(), batch["text"].to_pylist()):
-                a, b = both.encode(text)
+            for doc_id, (a, b) in zip(batch["doc_id"].to_pylist(), both.encode(batch["text"].to_pylist())):
                 columns = [pa.array([x.astype(np.int32)], pa.list_(pa.int32())) for x in (a, b, *both.align(a, b))]
                 yield pa.RecordBatch.from_arrays([pa.array([doc_id], pa.int64()), *columns], ["doc_id", "ids_a", "ids_b", "ends_a", "ends_b"])
 
