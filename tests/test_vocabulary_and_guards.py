@@ -27,7 +27,6 @@ def test_text_functions(spark):
     assert one(spark, T.code_spans(F.col("a")), "`x` and ` y ` and `x` and `no\nspan`") == ["x", "y"]
     spans = one(spark, T.identifier_spans(F.col("a")), "`TS.GET` gives `[(k, v)]`, was `None`, see `old_name`")
     assert [(s.span, s.tokens) for s in spans] == [("TS.GET", ["ts", "get"]), ("old_name", ["old_name"])]
-    assert one(spark, T.covers(F.col("a"), F.col("b")), "trackinginfo", "client_tracking_info")
     assert one(spark, T.is_import_line(F.col("a")), "  from x import y") and not one(spark, T.is_import_line(F.col("a")), "x = 1")
 
 

@@ -78,12 +78,6 @@ def identifier_spans(fact: Column) -> Column:
     return F.transform(named, lambda s: F.struct(s.alias("span"), identifier_tokens(s).alias("tokens")))
 
 
-def covers(token: Column, word: Column) -> Column:
-    """Either contains the other once underscores are gone."""
-    a, b = F.translate(token, "_", ""), F.translate(word, "_", "")
-    return F.contains(a, b) | F.contains(b, a)
-
-
 def is_non_breaking(fact: Column) -> Column:
     """Whether a fact says of itself that nothing breaks."""
     low = F.lower(fact)

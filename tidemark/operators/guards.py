@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tidemark.functions.text import code_spans, covers, identifier_spans, identifier_tokens, is_non_breaking
+from tidemark.functions.text import code_spans, identifier_spans, identifier_tokens, is_non_breaking
 from tidemark.operators.patterns import Pattern
 from tidemark.operators.scan import count_per_pattern
 
@@ -71,27 +71,47 @@ def _plain(name: str) -> Column:
     return F.translate(name, "_", "")
 
 
-def _pieces(text: Column) -> Column:
-    """The distinct pieces of up to three characters, among them the empty one."""
-    of = lambda n: F.transform(F.sequence(F.lit(1), F.char_length(text)), lambda i: F.substring(text, i, F.lit(n)))
-    some = F.array_distinct(F.concat(of(1), of(2), of(3), F.array(F.lit(""))))
-    return F.when(F.char_length(text) > 0, some).otherwise(F.array(F.lit("")))
+def _pieces(text: Column, sizes: tuple[int, ...]) -> Column:
+    """The distinct pieces of these sizes, without the shorter ones at the end."""
+    of = lambda n: F.when(F.char_length(text) >= n, F.transform(F.sequence(F.lit(1), F.char_length(text) - n + 1), lambda i: F.substring(text, i, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+    return F.array_distinct(F.concat(*[of(n) for n in sizes]))
+
+
+def containing_pairs(inner: DataFrame, outer: DataFrame, gram: int = 3) -> DataFrame:
+    """Distinct (inner, outer) of which the second contains the first; both tables have one column ``text`` of distinct strings.
+
+    What contains a text has all of its grams, so a pair meets on the gram of
+    the inner text that the fewest outer texts have, and is compared whole
+    there.  A gram that many outer texts have is a key only for inner texts
+    without any rarer one; a text with a gram that no outer text has meets
+    nothing.  Texts shorter than a gram meet what has them as a piece.
+    """
+    size = F.char_length("text")
+    pieces = outer.select(F.col("text").alias("outer"), F.explode(_pieces(F.col("text"), (gram,))).alias("gram"))
+    counts = pieces.groupBy("gram").agg(F.count("*").alias("n"))
+    grams = inner.where(size >= gram).select(F.col("text").alias("inner"), F.explode(_pieces(F.col("text"), (gram,))).alias("gram"))
+    ranked = grams.join(counts, "gram", "left").groupBy("inner").agg(F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("rarest"))
+    chosen = ranked.where("rarest.n > 0").select("inner", F.col("rarest.gram").alias("gram"))
+    long = chosen.join(pieces, "gram").where(F.contains("outer", F.col("inner"))).select("inner", "outer")
+    short = inner.where((size > 0) & (size < gram)).select(F.col("text").alias("inner"))
+    parts = outer.select(F.col("text").alias("outer"), F.explode(_pieces(F.col("text"), tuple(range(1, gram)))).alias("inner"))
+    empty = inner.where(size == 0).select(F.col("text").alias("inner"))  # one row at most, in everything
+    return long.unionByName(parts.join(short, "inner").select("inner", "outer")).unionByName(F.broadcast(empty).crossJoin(outer.select(F.col("text").alias("outer"))))
 
 
 def covering_pairs(tokens: DataFrame, words: DataFrame) -> DataFrame:
     """Distinct (token, word) of which either contains the other, underscores aside.
 
-    ``tokens`` has token and ``words`` word.  What contains a text also holds its
-    first three characters, so pairs meet in an equi-join on those and are then
-    compared whole; neither side is broadcast unless Spark knows it to be small.
-    Nulls cover nothing; without rows on either side there are no pairs.
+    ``tokens`` has token and ``words`` word; nulls cover nothing, and without
+    rows on either side there are no pairs.
     """
-    t = tokens.select("token").where(F.col("token").isNotNull()).distinct()
-    w = words.select("word").where(F.col("word").isNotNull()).distinct()
-    head = lambda c: F.substring(_plain(c), 1, 3).alias("piece")
-    inside = w.select("word", head("word")).join(t.select("token", F.explode(_pieces(_plain("token"))).alias("piece")), "piece")
-    around = t.select("token", head("token")).join(w.select("word", F.explode(_pieces(_plain("word"))).alias("piece")), "piece")
-    return inside.unionByName(around).where(covers(F.col("token"), F.col("word"))).select("token", "word").distinct()
+    t = tokens.select("token", _plain("token").alias("text")).where(F.col("token").isNotNull()).distinct()
+    w = words.select("word", _plain("word").alias("text")).where(F.col("word").isNotNull()).distinct()
+    a, b = t.select("text").distinct(), w.select("text").distinct()
+    there = containing_pairs(b, a).select(F.col("outer").alias("a"), F.col("inner").alias("b"))
+    back = containing_pairs(a, b).select(F.col("inner").alias("a"), F.col("outer").alias("b"))
+    both = there.unionByName(back).distinct()
+    return both.join(t.withColumnRenamed("text", "a"), "a").join(w.withColumnRenamed("text", "b"), "b").select("token", "word")
 
 
 def vocabulary_coverage(facts: DataFrame, patterns: DataFrame) -> DataFrame:

@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import json
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -83,6 +81,77 @@ def violations(raw: dict) -> list[str]:
     return found
 
 
+def _kind(value: Column) -> Column:
+    """The type of a variant value by name; null for a missing one."""
+    return F.schema_of_variant(value)
+
+
+def _field(row: Column, name: str, kind: str = "variant") -> Column:
+    return F.try_variant_get(row, f"$.{name}", kind)
+
+
+def _is_blank_text(value: Column) -> Column:
+    """Whether a variant is no text, or a blank one."""
+    text = value.cast("string")
+    return F.coalesce(_kind(value) != "STRING", F.lit(True)) | F.coalesce(text.rlike(r"(?U)^[\s\x1c-\x1f]*$"), F.lit(True))
+
+
+def _is_whole(value: Column) -> Column:
+    return F.coalesce((_kind(value) == "BIGINT") | _kind(value).rlike(r"^DECIMAL\(\d+,0\)$"), F.lit(False))
+
+
+def _exploded(documents: DataFrame) -> DataFrame:
+    """(path, doc, bucket, k, i, row): the entries of all buckets; row is null where a bucket is missing or no list."""
+    parts = []
+    for k, bucket in enumerate(BUCKETS):
+        rows = documents.select("path", "doc", F.lit(bucket).alias("bucket"), F.lit(k).alias("k"), _field(F.col("doc"), bucket, "array<variant>").alias("rows"))
+        # an empty list has no entry; a missing one has an entry without a place
+        marked = F.when(F.col("rows").isNull(), F.array(F.struct(F.lit(None).cast("int").alias("i"), F.lit(None).cast("variant").alias("row"))))
+        entries = marked.otherwise(F.transform("rows", lambda r, i: F.struct(i.alias("i"), r.alias("row"))))
+        parts.append(rows.select("path", "doc", "bucket", "k", F.explode(entries).alias("e")).select("path", "doc", "bucket", "k", "e.i", "e.row"))
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+def parsed(raw: DataFrame) -> DataFrame:
+    """(path, value) with ``doc``, the text as a variant; null where it is no JSON."""
+    return raw.withColumn("doc", F.try_parse_json("value"))
+
+
+def document_violations(raw: DataFrame, run_files: bool = False) -> DataFrame:
+    """(path, place, violation): what is wrong with verdict documents (path, value), as :func:`violations` says it.
+
+    Types are read from the parsed variant before any cast, which would turn a
+    text into a number and a missing key into a null.  Nothing leaves the JVM.
+    """
+    docs = parsed(raw)
+    say = lambda rows, place, text: rows.select("path", place.cast("long").alias("place"), text.alias("violation"))
+    whole = F.coalesce(_kind(F.col("doc")).startswith("OBJECT"), F.lit(False))
+    found = say(docs.where(F.col("doc").isNull()), F.lit(-1), F.lit("not JSON")).unionByName(say(docs.where(F.col("doc").isNotNull() & ~whole), F.lit(-1), F.lit("not an object")))
+    entries = _exploded(docs.where(whole))
+    at = F.concat("bucket", F.lit("["), F.col("i").cast("string"), F.lit("]: "))
+    place = F.col("k") * (1 << 40) + F.coalesce("i", F.lit(0)) * 8
+    row = F.col("row")
+    is_object = F.coalesce(_kind(row).startswith("OBJECT"), F.lit(False))
+    checks = [(F.col("i").isNull(), F.concat("bucket", F.lit(": missing or not a list"))), (F.col("i").isNotNull() & ~is_object, F.concat(at, F.lit("not an object"))), (is_object & ~_is_whole(_field(row, "line")), F.concat(at, F.lit("line is not an integer")))]
+    checks += [(is_object & _is_blank_text(_field(row, name)) & (F.lit(name in ("file", "reason")) | (F.col("k") == 0)), F.concat(at, F.lit(f"blank {name}"))) for name in ("file", "reason", "pattern", "snippet")]
+    messages = F.array_compact(F.array(*[F.when(test, F.struct(F.lit(n).alias("n"), text.alias("violation"))) for n, (test, text) in enumerate(checks)]))
+    found = found.unionByName(entries.select("path", place.alias("place"), F.explode(messages).alias("m")).select("path", (F.col("place") + F.col("m.n")).alias("place"), "m.violation"))
+    if run_files:
+        about = [(_is_blank_text(_field(F.col("doc"), name)), F.lit(f"blank {name}")) for name in ("target", "repo")] + [(~_is_whole(_field(F.col("doc"), "run")), F.lit("run is not an integer"))]
+        for n, (test, text) in enumerate(about):
+            found = found.unionByName(say(docs.where(whole & test), F.lit((1 << 50) + n), text))
+    return found
+
+
+def document_rows(raw: DataFrame) -> DataFrame:
+    """(path, target, repo, run, and the verdict columns) of valid documents (path, value)."""
+    rows = _exploded(parsed(raw)).where("i IS NOT NULL")
+    named = F.create_map(*[F.lit(x) for pair in BUCKETS.items() for x in pair])
+    about = [_field(F.col("doc"), name, kind).alias(name) for name, kind in (("target", "string"), ("repo", "string"), ("run", "int"))]
+    text = lambda name: _field(F.col("row"), name, "string").alias(name)
+    return rows.select("path", *about, named[F.col("bucket")].alias("bucket"), text("file"), _field(F.col("row"), "line", "int").alias("line"), text("pattern"), text("snippet"), text("reason"))
+
+
 def read_verdicts(spark: SparkSession, paths: str | list[str], run_files: bool = False) -> DataFrame:
     """Verdict documents (JSON files) as one long table; any violation in any of them is an error.
 
@@ -94,35 +163,10 @@ def read_verdicts(spark: SparkSession, paths: str | list[str], run_files: bool =
     if not listed or read < listed:
         raise VerdictError(f"{listed} verdict files, {listed - read} of them empty")
     files = raw.select("path", F.decode("content", "UTF-8").alias("value"))
-
-    def parse(batches):
-        import pandas as pd
-
-        for pdf in batches:
-            rows = []
-            for path, value in zip(pdf["path"], pdf["value"]):
-                try:
-                    raw = json.loads(value)
-                    bad = violations(raw)
-                    if run_files and not bad:
-                        bad = [f"blank {k}" for k in ("target", "repo") if not isinstance(raw.get(k), str) or not raw[k].strip()]
-                        bad += [] if type(raw.get("run")) is int else ["run is not an integer"]
-                except ValueError as error:
-                    raw, bad = {}, [f"not JSON: {error}"]
-                about = (path, raw.get("target"), raw.get("repo"), raw.get("run")) if isinstance(raw, dict) and not bad else (path, None, None, None)
-                rows += [(*about, b, None, None, None, None, None) for b in bad]
-                if not bad:
-                    rows += [(*about, None, name, r["file"], r["line"], r.get("pattern"), r.get("snippet"), r["reason"]) for key, name in BUCKETS.items() for r in raw[key]]
-            names = ["path", "target", "repo", "run", "violation", "bucket", "file", "line", "pattern", "snippet", "reason"]
-            rows = [r if len(r) == 11 else (*r, None) for r in rows]
-            yield pd.DataFrame(rows, columns=names, dtype=object)
-
-    schema = "path string, target string, repo string, run int, violation string, " + VERDICTS
-    found = files.mapInPandas(parse, schema)
-    bad = found.where("violation IS NOT NULL").select("path", "violation").limit(20).collect()
+    bad = document_violations(files, run_files).orderBy("path", "place").limit(20).collect()
     if bad:
         raise VerdictError("; ".join(f"{r.path}: {r.violation}" for r in bad))
-    return found.drop("violation")
+    return document_rows(files)
 
 
 def blank_fields(rows: DataFrame, columns: list[str]) -> DataFrame:

@@ -6,6 +6,7 @@ a line that two documents share for an import between them.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,10 +15,10 @@ from pyspark.sql import functions as F
 
 from tidemark.functions import text as T
 from tidemark.functions.line_lexer import comment_spans_of
-from tidemark.operators import fixes, guards, intervals, prefilter, relevance, runs, scan, scoring, usage, verdicts
+from tidemark.operators import fingerprints, fixes, gram_index, guards, intervals, prefilter, relevance, runs, scan, scoring, usage, verdicts
 from tidemark.operators.patterns import Pattern, matches_any
 from tidemark.operators.patterns import match_spans as spans_of
-from tidemark.sources.tables import table
+from tidemark.sources.tables import shared_dir, table
 
 PATTERNS = (
     Pattern("license", "(?i:license|copyright)"),
@@ -235,6 +236,48 @@ def determinism(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scoring.symmetric_difference(one, two)
 
 
+def _patched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines after a fix: license lines rewritten, and every line with a phone number twice."""
+    lines = _lines(spark, sf_dir)
+    text = F.when(F.col("text").rlike(_LICENSE), "SPDX").otherwise(F.col("text"))
+    copies = F.when(F.col("text").rlike(PATTERNS[3].regex), F.array(F.lit(1), F.lit(2))).otherwise(F.array(F.lit(1)))
+    return lines.select("doc_id", "line", text.alias("text"), F.explode(copies).alias("copy")).drop("copy")
+
+
+def snapshot_diff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.differences(_lines(spark, sf_dir), _patched(spark, sf_dir))
+
+
+#: The vocabulary of a second scan; every match holds a gram.
+LATER = (Pattern("rights", "(?i:copyright|all rights)"), Pattern("secret", 'token = "[0-9a-f]+'), Pattern("mail", "[a-z]+@example[.]"))
+
+
+def _index(spark: SparkSession, sf_dir: str) -> gram_index.GramIndex:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return gram_index.build_index(docs, f"{shared_dir(spark)}/grams-{uuid.uuid4().hex}", "doc_id")
+
+
+def indexed_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gram_index.indexed_candidates(table(spark, sf_dir, "documents").select("doc_id", "text"), _index(spark, sf_dir), LATER, "lf", unicode=False)
+
+
+def index_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return gram_index.possible_files(_index(spark, sf_dir), LATER, unicode=False).select("doc_id", "n_bytes")
+
+
+def verdict_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict document per text with candidates, some of them broken, and what is wrong with each."""
+    rows = _candidates(spark, sf_dir)
+    line = F.when(F.col("doc_id") % 3 == 0, F.to_json(F.struct(F.col("line").cast("string").alias("line")))).otherwise(F.to_json(F.struct("line")))
+    fields = F.to_json(F.struct(F.col("doc_id").cast("string").alias("file"), "pattern", "snippet", F.when(F.col("pattern") == "phone", " ").otherwise("r").alias("reason")))
+    entry = F.concat(F.regexp_replace(fields, "[}]$", ","), F.substring(line, 2, 1 << 20))
+    listed = rows.select("doc_id", entry.alias("entry")).groupBy("doc_id").agg(F.array_join(F.array_sort(F.collect_list("entry")), ",").alias("entries"))
+    rest = F.when(F.col("doc_id") % 5 == 0, '"flag_uncertain": {}').when(F.col("doc_id") % 7 == 0, '"flag_uncertain": [3]').otherwise('"flag_uncertain": []')
+    value = F.concat(F.lit('{"proposed_sites": ['), "entries", F.lit("], "), rest, F.lit(', "considered_and_rejected": []'), F.when(F.col("doc_id") % 11 == 0, "").otherwise("}"))
+    found = verdicts.document_violations(listed.select(F.col("doc_id").cast("string").alias("path"), value.alias("value")))
+    return found.groupBy(F.col("path").cast("long").alias("doc_id"), F.regexp_replace("violation", r"\[\d+\]", "").alias("violation")).agg(F.count("*").alias("n"))
+
+
 def run_ranges(spark: SparkSession, sf_dir: str) -> DataFrame:
     turns = table(spark, sf_dir, "conversations").select("role", F.char_length("text").cast("long").alias("n_chars"), "turn")
     return scoring.ranges(turns, ["role"], ["n_chars", "turn"])
@@ -480,6 +523,30 @@ ALL = [
         UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)""",
     ),
     Query(determinism, "SELECT 0::BIGINT AS n_different FROM (SELECT count(*) FROM documents)"),
+    Query(
+        snapshot_diff,
+        f"""WITH {_SQL_LINES}, p AS (SELECT doc_id, line, CASE WHEN regexp_matches(text, '(?i:license|copyright)') THEN 'SPDX' ELSE text END AS text, unnest(CASE WHEN regexp_matches(text, '[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}') THEN [1, 2] ELSE [1] END) AS copy FROM lines),
+        d AS (SELECT 'first' AS side, * FROM (SELECT doc_id, line, text FROM lines EXCEPT ALL SELECT doc_id, line, text FROM p) UNION ALL SELECT 'second', * FROM (SELECT doc_id, line, text FROM p EXCEPT ALL SELECT doc_id, line, text FROM lines))
+        SELECT side, doc_id, line, text, count(*) AS n FROM d GROUP BY ALL""",
+    ),
+    Query(
+        indexed_scan,
+        f"""WITH {_SQL_LINES}, t AS (SELECT doc_id, line, text AS snippet, CASE WHEN regexp_matches(text, '(?i:copyright|all rights)') THEN 'rights' WHEN regexp_matches(text, 'token = "[0-9a-f]+') THEN 'secret'
+        WHEN regexp_matches(text, '[a-z]+@example[.]') THEN 'mail' END AS pattern FROM lines) SELECT * FROM t WHERE pattern IS NOT NULL""",
+    ),
+    Query(
+        index_files,
+        """SELECT doc_id, strlen(text) AS n_bytes FROM (SELECT *, translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS t FROM documents)
+        WHERE len(list_filter(['cop', 'opy', 'pyr', 'yri', 'rig', 'igh', 'ght'], lambda g: contains(t, g))) = 7 OR len(list_filter(['all', 'll ', 'l r', ' ri', 'rig', 'igh', 'ght', 'hts'], lambda g: contains(t, g))) = 8
+        OR len(list_filter(['tok', 'oke', 'ken', 'en ', 'n =', ' = ', '= "'], lambda g: contains(t, g))) = 7 OR len(list_filter(['@ex', 'exa', 'xam', 'amp', 'mpl', 'ple', 'le.'], lambda g: contains(t, g))) = 7""",
+    ),
+    Query(
+        verdict_documents,
+        f"""WITH {_SQL_HITS}, d AS (SELECT DISTINCT doc_id FROM hits), v AS (
+        SELECT doc_id, 'not JSON' AS violation FROM d WHERE doc_id % 11 = 0 UNION ALL SELECT doc_id, 'proposed_sites: line is not an integer' FROM hits WHERE doc_id % 11 <> 0 AND doc_id % 3 = 0
+        UNION ALL SELECT doc_id, 'proposed_sites: blank reason' FROM hits WHERE doc_id % 11 <> 0 AND pattern = 'phone' UNION ALL SELECT doc_id, 'flag_uncertain: missing or not a list' FROM d WHERE doc_id % 11 <> 0 AND doc_id % 5 = 0
+        UNION ALL SELECT doc_id, 'flag_uncertain: not an object' FROM d WHERE doc_id % 11 <> 0 AND doc_id % 5 <> 0 AND doc_id % 7 = 0) SELECT doc_id, violation, count(*) AS n FROM v GROUP BY ALL""",
+    ),
     Query(run_ranges, "SELECT role, min(length(text)) AS min_n_chars, max(length(text)) AS max_n_chars, min(turn) AS min_turn, max(turn) AS max_turn FROM conversations GROUP BY role"),
     Query(
         span_extract,
