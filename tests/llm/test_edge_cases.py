@@ -1,10 +1,13 @@
 """Every operator on nulls, empty and long texts, ties, repeated rows, empty tables and clashing columns."""
 
+import random
+import time
+
 import pytest
 from public_tokenizers import path
 from pyspark.sql import functions as F
 
-from tidemark.llm import context_mixing, decontamination, language_id, packing, pii, quality_classifier, quality_rules, simhash, token_planes, zip_warc
+from tidemark.llm import context_mixing, decontamination, exact_dedup, language_id, packing, pii, quality_classifier, quality_rules, simhash, token_alignment, token_planes, zip_warc
 from tidemark.llm.common import fresh_dir
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, `DOC` string, n_words string, kept string, h string, fp string, score string, word string, uid string, grp string, _w string"
@@ -30,6 +33,8 @@ OPERATORS = {
     "mixing": lambda s, d: context_mixing.score_documents(d),
     "planes": lambda s, d: token_planes.read_planes(token_planes.write_planes(d, fresh_dir(s, "t"), path("word_bpe_49k.json"))),
     "simhash": lambda s, d: simhash.near_duplicates(d),
+    "alignment": lambda s, d: token_alignment.link_report(d, path("byte_bpe_50k.json"), path("piece_bpe_32k.model")),
+    "exact": lambda s, d: exact_dedup.find_duplicates(d),
     "packing": lambda s, d: packing.pack_documents(d, path("byte_bpe_50k.json")).select("doc_id", "start").where("start = 0"),
 }
 
@@ -90,3 +95,35 @@ def test_packages_edges(spark):
         key=str,
     )
     assert zip_warc.archive_pages(spark.createDataFrame([], schema), fresh_dir(spark, "t")).collect() == []
+
+
+def test_long_texts_of_numbers_come_in_parts(spark):
+    """A column of numbers of two megabytes: linear time, parts of bounded size, and the same spans as a short text."""
+    rng = random.Random(2)
+    numbers = " ".join(str(rng.randrange(10**9, 10**10)) for _ in range(180_000))
+    known = "call +1 555 201 4000 now, " * 3
+    rows = [(1, known + "call 5552014000 now " + numbers + " bob@example.org end 10.0.0.1"), (2, known), (3, " ".join(["12"] * 3000))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    began = time.time()
+    parts = pii.scan(docs, block=1 << 12).groupBy("doc_id").agg(F.count("*").alias("parts"), F.max(F.size("occ")).alias("most"), F.sum(F.size("occ")).alias("n"), F.sum(F.size("base")).alias("base")).collect()
+    assert time.time() - began < 60
+    got = {r.doc_id: r for r in parts}
+    assert max(r.most for r in parts) <= 1 << 12 and got[1].parts > 40 and got[2].parts == 1
+    assert got[1].n >= 180_000 and (got[1].base, got[2].base, got[3].base) == (5, 3, 0)
+    report = {r.doc_id: r for r in pii.span_report(docs).collect()}
+    assert (report[1].n_phone, report[1].n_email, report[1].n_ip, report[2].n_phone) == (3, 1, 1, 3)
+    spans = [s.split(":") for s in report[1].spans.split(",")]
+    assert all(rows[0][1][int(a) : int(b)].strip() for _, a, b in spans)
+    # of one run, every start has the sub-runs of up to 19 digits
+    assert got[3].n == sum(min(9, 3000 - i) for i in range(3000)) + 1
+
+
+@pytest.mark.parametrize("n", [0, 1, 50])
+def test_chosen_spans_do_not_overlap(n):
+    rng = random.Random(n)
+    marked = [(rng.choice([0.8, 0.9, 1.0]), rng.randrange(4), a, a + rng.randrange(1, 9)) for a in (rng.randrange(100) for _ in range(n))]
+    kept = pii.chosen(marked, [(a, b) for *_, a, b in marked])
+    assert all(x[2] <= y[1] for x, y in zip(kept, kept[1:]))
+    if marked:
+        best = min(marked, key=lambda m: (-m[0], m[2] - m[3], m[2], m[1]))
+        assert best[1:] in kept

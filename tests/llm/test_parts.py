@@ -74,7 +74,11 @@ def test_candidates_lie_outside_base_spans():
     text = "a 12 34 bob@x.org,56 7 8 9 10 11 12 13 k:14"
     found = [text[a:b] for a, b, kind, *_ in pii.occurrences(text, pii.base_spans(text)) if kind < 0]
     assert {"12", "34", "12 34", "56", "7 8", "8 9 10 11 12 13", "56 7 8 9 10 11 12 13", "14"} <= set(found)
-    assert not any("@" in f for f in found) and "56 7 8 9 10 11 12" not in found
+    assert not any("@" in f for f in found) and "56 7 8 9 10 11 12" in found
+    # no more than 19 digits, but for the whole run
+    run = " ".join(f"{i}0" for i in range(10, 18))
+    found = {run[a:b] for a, b, *_ in pii.occurrences(run, [])}
+    assert found == {" ".join(run.split()[i:j]) for i in range(8) for j in range(i + 1, 9) if j - i <= 6 or j - i == 8}
 
 
 def test_mixed_languages_are_split_into_spans(spark):

@@ -12,8 +12,12 @@ from __future__ import annotations
 
 import hashlib
 import re
+from array import array
 from bisect import bisect_left, bisect_right
+from collections.abc import Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
@@ -31,7 +35,11 @@ _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
 
+#: Fixed value: no base kind has more digits.
+MAX_DIGITS = 19
+
 _DIGIT = re.compile("[0-9]").search
+_NO_DIGITS = re.compile("[^0-9]+").sub
 _TOKEN = re.compile(r"\S+")
 _LETTER = re.compile(r"[^\W\d_]").search
 _EDGES = ".,;:!?()[]{}<>\"'"
@@ -105,133 +113,199 @@ def _pieces(tokens: list[tuple[int, int]], taken: list[tuple[int, int]]):
             yield at, b
 
 
-def _candidates(text: str, tokens: list[tuple[int, int]], taken: list[tuple[int, int]], most: int) -> list[tuple[int, int]]:
-    """Identifier-like parts of a text outside its base spans, see ``occurrences``."""
-    found: list[tuple[int, int]] = []
-    run: list[tuple[int, int]] = []
+def _candidates(text: str, tokens: list[tuple[int, int]], taken: list[tuple[int, int]]) -> Iterator[tuple[int, list[int]]]:
+    """(start, ends) of identifier-like parts of a text outside its base spans, in order, see ``occurrences``."""
+    run: list[tuple[int, int, int]] = []
 
-    def trimmed(a: int, b: int) -> None:
+    def trimmed(a: int, b: int) -> tuple[int, int]:
         while a < b and text[a] in _EDGES and text[a] != "(":
             a += 1
         while b > a and text[b - 1] in _EDGES:
             b -= 1
-        if "@" in text[a + 1 : b - 1] or _DIGIT(text, a, b):
-            found.append((a, b))
-
-    def close() -> None:
-        for i, (a, _) in enumerate(run):
-            for _, b in run[i : i + most]:
-                trimmed(a, b)
-        if len(run) > most:
-            trimmed(run[0][0], run[-1][1])
+        return a, b
+
+    def readings() -> Iterator[tuple[int, list[int]]]:
+        for i, (a, _, digits) in enumerate(run):
+            ends, held, j = [run[i][1]], digits, i + 1
+            while j < len(run) and held + run[j][2] <= MAX_DIGITS:
+                held += run[j][2]
+                ends.append(run[j][1])
+                j += 1
+            if i == 0 and j < len(run):
+                ends.append(run[-1][1])
+            yield a, ends
         run.clear()
 
+    last = 0
     for a, b in _pieces(tokens, taken):
-        if run and not text[run[-1][1] : a].isspace():
-            close()
-        piece = text[a:b]
-        if _DIGIT(piece) and not _LETTER(piece) and "@" not in piece:
-            run.append((a, b))
+        if run and not text[last:a].isspace():
+            yield from readings()
+        piece, last = text[a:b], b
+        digits = len(_NO_DIGITS("", piece)) if _DIGIT(piece) and not _LETTER(piece) and "@" not in piece else 0
+        if digits:
+            run.append((*trimmed(a, b), digits))
             continue
-        close()
+        yield from readings()
         key = _KEY.match(piece)
-        trimmed(a + key.end() if key else a, b)
-    close()
-    return sorted(set(found))
-
+        x, y = trimmed(a + key.end() if key else a, b)
+        if "@" in text[x + 1 : y - 1] or _DIGIT(text, x, y):
+            yield x, [y]
+    yield from readings()
 
-def occurrences(text: str, spans: list[tuple[int, int, int]], most: int = 6) -> list[tuple[int, int, int, int, int, list[int]]]:
-    """(start, end, seed kind or -1, instance, site, patterns) of base spans and identifier-like parts of the rest.
 
-    Identifier-like is what has an @ inside or a digit: single tokens (without
-    a key such as ``phone:`` before them), and of a run of tokens without
-    letters every sub-run of up to ``most`` tokens and the whole.  Base spans
-    are cut out first.  A pattern is the two words before, or the words on
-    either side, with the coarse shape; a key at the token's start counts as a
-    word.  ``site`` is the longest candidate from the same start: candidates
-    of one site are readings of one place, and the first pattern counts them once.
-    """
+def each_occurrence(text: str, spans: list[tuple[int, int, int]]) -> Iterator[tuple[int, int, int, int, int, list[int]]]:
+    """:func:`occurrences` one by one; beside the text only its tokens are held."""
     if "@" not in text and not _DIGIT(text):
-        return []
+        return
     tokens = [m.span() for m in _TOKEN.finditer(text)]
-    starts = [a for a, _ in tokens]
-    found = [(a, b, kind) for kind, a, b in spans]
-    found += [(a, b, -1) for a, b in _candidates(text, tokens, sorted((a, b) for _, a, b in spans), most)]
-    longest: dict[int, int] = {}
-    for a, b, kind in found:
-        if kind < 0:
-            longest[a] = max(b, longest.get(a, 0))
-    word = lambda w: re.sub("[0-9]+", "0", w.lower().strip(".,;()[]\"'"))
-    out = []
-    for a, b, kind in found:
-        body = text[a:b]
-        shape = "@" if "@" in body else "#"
+    starts = array("q", [a for a, _ in tokens])
+
+    @lru_cache(4096)
+    def word(at: int, to: int) -> str:
+        return re.sub("[0-9]+", "0", text[at:to].lower().strip(".,;()[]\"'"))
+
+    def left_of(a: int) -> tuple[str, str]:
         k = bisect_right(starts, a) - 1
         inside = text[starts[k] : a] if k >= 0 else ""
-        before = [text[x:y] for x, y in tokens[max(0, k - 2) : k]] + ([inside] if inside.strip("(") else [])
+        before = [word(*t) for t in tokens[max(0, k - 2) : k]] + ([word(starts[k], a)] if inside.strip("(") else [])
+        return tuple(["^", "^", *before][-2:])
+
+    def right_of(b: int) -> str:
         after = bisect_left(starts, b)
-        left = [word(w) for w in ["^", "^", *before][-2:]]
-        right = word(text[slice(*tokens[after])]) if after < len(tokens) else "$"
-        patterns = [_hash(f"L {left[0]} {left[1]} {shape}"), _hash(f"B {left[1]} {right} {shape}")]
+        return word(*tokens[after]) if after < len(tokens) else "$"
+
+    for kind, a, b in spans:
+        body, left = text[a:b], left_of(a)
+        shape = "@" if "@" in body else "#"
         instance = _hash(f"{shape} {body.lower()}")
-        whole = text[a : longest[a]].lower() if kind < 0 and longest[a] > b else None
-        out.append((a, b, kind, instance, instance if whole is None else _hash(f"{shape} {whole}"), patterns))
-    return out
+        yield a, b, kind, instance, instance, [_hash(f"L {left[0]} {left[1]} {shape}"), _hash(f"B {left[1]} {right_of(b)} {shape}")]
+    for a, ends in _candidates(text, tokens, sorted((a, b) for _, a, b in spans)):
+        left, whole = left_of(a), text[a : ends[-1]].lower()
+        shape = "@" if "@" in whole else "#"
+        site, first, head = _hash(f"{shape} {whole}"), _hash(f"L {left[0]} {left[1]} {shape}"), f"B {left[1]} "
+        for b in ends[:-1]:
+            yield a, b, -1, _hash(f"{shape} {whole[: b - a]}"), site, [first, _hash(f"{head}{right_of(b)} {shape}")]
+        b = ends[-1]
+        yield a, b, -1, site, site, [first, _hash(f"{head}{right_of(b)} {shape}")]
+
+
+def occurrences(text: str, spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int, int, int, list[int]]]:
+    """(start, end, seed kind or -1, instance, site, patterns) of base spans and identifier-like parts of the rest.
 
+    Identifier-like is what has an @ inside or a digit: single tokens (without
+    a key such as ``phone:`` before them), and of a run of tokens without
+    letters every sub-run of at most ``MAX_DIGITS`` digits, as no base kind has
+    more, and the whole run.  Base spans are cut out first.  A pattern is the
+    two words before, or the words on either side, with the coarse shape; a key
+    at the token's start counts as a word.  ``site`` is the longest candidate
+    from the same start: candidates of one site are readings of one place, and
+    the first pattern counts them once.
+    """
+    return list(each_occurrence(text, spans))
 
-def chosen(marked: list[tuple[float, int, int, int]], readings: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
-    """(kind, start, end) of the marked candidates (score, kind, start, end) that stay: best score first, then the longest.
 
-    None overlap.  What a marked candidate holds besides a better one inside
-    it stays as the longest of the other ``readings`` (start, end) there.
-    """
-    starts: list[int] = []
+def choose_spans(score: np.ndarray, kind: np.ndarray, start: np.ndarray, end: np.ndarray, readings: tuple[np.ndarray, np.ndarray]) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the marked candidates that stay, see :func:`chosen`; one byte per character tells what is taken."""
+    if not len(start):
+        return []
+    origin = int(start.min())
+    taken = bytearray(int(end.max()) - origin)
     kept: list[tuple[int, int, int]] = []
 
-    def add(kind: int, start: int, end: int) -> bool:
-        k = bisect_left(starts, end)
-        if k and kept[k - 1][2] > start:
+    def add(k: int, a: int, b: int) -> bool:
+        if taken.find(1, a - origin, b - origin) >= 0:
             return False
-        starts.insert(k, start)
-        kept.insert(k, (kind, start, end))
+        taken[a - origin : b - origin] = b"\1" * (b - a)
+        kept.append((k, a, b))
         return True
 
-    order = sorted(marked, key=lambda m: (-m[0], m[2] - m[3], m[2], m[1]))
-    rest = [m[1:] for m in order if not add(*m[1:])]
+    order = np.lexsort((kind, start, start - end, -score))
+    rest = []
+    for at in range(0, len(order), 1 << 16):
+        some = order[at : at + (1 << 16)]
+        rest += [m for m in zip(kind[some].tolist(), start[some].tolist(), end[some].tolist()) if not add(*m)]
     if rest:
-        readings, end_of = sorted(readings), 0
-        for kind, start, end in sorted(rest, key=lambda m: (m[1], -m[2])):
-            if end <= end_of:  # inside an earlier one
+        by_start = np.lexsort((readings[1], readings[0]))
+        firsts, lasts, end_of = readings[0][by_start], readings[1][by_start], 0
+        for k, a, b in sorted(rest, key=lambda m: (m[1], -m[2])):
+            if b <= end_of:  # inside an earlier one
                 continue
-            end_of = end
-            inside = [r for r in readings[bisect_left(readings, (start, 0)) : bisect_left(readings, (end, 0))] if r[1] <= end]
-            for a, b in sorted(inside, key=lambda r: (r[0] - r[1], r[0])):
-                add(kind, a, b)
-    return kept
+            end_of = b
+            low, high = np.searchsorted(firsts, (a, b))
+            inside = [(x, y) for x, y in zip(firsts[low:high].tolist(), lasts[low:high].tolist()) if y <= b]
+            for x, y in sorted(inside, key=lambda r: (r[0] - r[1], r[0])):
+                add(k, x, y)
+    return sorted(kept, key=lambda m: m[1])
+
 
+def chosen(marked: list[tuple[float, int, int, int]], readings: list[tuple[int, int]]) -> list[tuple[int, int, int]]:
+    """(kind, start, end) of the marked candidates (score, kind, start, end) that stay: best score first, then the longest.
 
-_OCCURRENCE = ("start", "end", "seed", "instance", "site", "patterns")
-SCANNED = "uid long, doc_id long, base array<struct<kind:int,start:int,end:int>>, occ array<struct<start:int,end:int,seed:int,instance:long,site:long,patterns:array<long>>>"
+    None overlap.  What a marked candidate holds besides a better one inside
+    it stays as the longest of the other ``readings`` (start, end) there.
+    """
+    score, kind, start, end = (np.array(x, t) for x, t in zip(zip(*marked) if marked else ((), (), (), ()), (float, np.int64, np.int64, np.int64)))
+    return choose_spans(score, kind, start, end, tuple(np.array([r[k] for r in readings], np.int64) for k in (0, 1)))
 
 
-def scan(docs: DataFrame, uid: str | None = None) -> DataFrame:
-    """One row per row of ``docs``: base spans and occurrences, written once.
+SCANNED = "uid long, doc_id long, part int, base array<struct<kind:int,start:int,end:int>>, occ array<struct<start:int,end:int,seed:int,instance:long,site:long,patterns:array<long>>>"
+_SPAN = pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])
 
-    ``uid`` names a column that tells the rows apart; without it one is made.
+
+class _Rows:
+    """Rows of ``SCANNED`` by column, so that an occurrence is six numbers and no object."""
+
+    def __init__(self):
+        self.heads: list[tuple] = []
+        self.offsets = [0]
+        self.numbers = [array("q") for _ in range(5)]
+        self.patterns = array("q")
+
+    def add(self, occurrence: tuple) -> None:
+        for column, value in zip(self.numbers, occurrence):
+            column.append(value)
+        self.patterns.extend(occurrence[5])
+
+    def close(self, uid: int, doc_id: int | None, part: int, base: list[tuple[int, int, int]]) -> None:
+        self.heads.append((uid, doc_id, part, base))
+        self.offsets.append(len(self.numbers[0]))
+
+    def batch(self) -> pa.RecordBatch:
+        n = len(self.numbers[0])
+        kinds = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64()]
+        numbers = [pa.array(np.frombuffer(c, np.int64) if n else [], pa.int64()).cast(t) for c, t in zip(self.numbers, kinds)]
+        patterns = pa.ListArray.from_arrays(pa.array(np.arange(n + 1, dtype=np.int32) * 2), pa.array(np.frombuffer(self.patterns, np.int64) if n else [], pa.int64()))
+        occ = pa.ListArray.from_arrays(pa.array(self.offsets, pa.int32()), pa.StructArray.from_arrays([*numbers, patterns], ["start", "end", "seed", "instance", "site", "patterns"]))
+        uid, doc_id, part, base = zip(*self.heads)
+        spans = pa.array([[dict(zip(("kind", "start", "end"), x)) for x in b] for b in base], pa.list_(_SPAN))
+        return pa.RecordBatch.from_arrays([pa.array(uid, pa.int64()), pa.array(doc_id, pa.int64()), pa.array(part, pa.int32()), spans, occ], ["uid", "doc_id", "part", "base", "occ"])
+
+
+def scan(docs: DataFrame, uid: str | None = None, block: int = 1 << 14) -> DataFrame:
+    """Base spans and occurrences of the rows of ``docs``, written once.
+
+    A row of ``docs`` has a row of part 0 with its base spans, and further
+    parts where it has more than ``block`` occurrences, so neither a task nor a
+    row ever holds all occurrences of a long text.  ``uid`` names a column that
+    tells the rows apart; without it one is made.
     """
-    arrow = [
-        pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())])),
-        pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("seed", pa.int32()), ("instance", pa.int64()), ("site", pa.int64()), ("patterns", pa.list_(pa.int64()))])),
-    ]
 
     def run(batches):
+        rows = _Rows()
         for batch in batches:
-            base, occ = [], []
-            for text in batch.column(2).to_pylist():
-                spans = base_spans(text or "")
-                base.append([dict(zip(("kind", "start", "end"), s)) for s in spans])
-                occ.append([dict(zip(_OCCURRENCE, o)) for o in occurrences(text or "", spans)])
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(base, arrow[0]), pa.array(occ, arrow[1])], names=["uid", "doc_id", "base", "occ"])
+            for number, doc_id, text in zip(*(batch.column(k).to_pylist() for k in range(3))):
+                spans, part = base_spans(text or ""), 0
+                for found in each_occurrence(text or "", spans):
+                    rows.add(found)
+                    if len(rows.numbers[0]) >= block:
+                        rows.close(number, doc_id, part, spans if part == 0 else [])
+                        yield rows.batch()
+                        rows, part = _Rows(), part + 1
+                if part == 0 or len(rows.numbers[0]):
+                    rows.close(number, doc_id, part, spans if part == 0 else [])
+            if rows.heads:
+                yield rows.batch()
+                rows = _Rows()
 
     number = F.col(uid) if uid else F.monotonically_increasing_id()
     rows = docs.select(number.alias("uid"), F.col("doc_id").cast("long"), "text")
@@ -291,20 +365,25 @@ def find_personal_data(docs: DataFrame, rounds: int = 3, uid: str | None = None)
     by_pattern = by_pattern.groupBy("uid", "start", "end", "kind").agg((1 - F.exp(F.sum(F.log(1 - F.col("conf"))))).alias("score"))
     by_seed = join_checked(loose, loose_seeds(scanned), "instance", "inner").select("uid", "start", "end", "kind", F.lit(1.0).alias("score"))
     marked = stage(by_pattern.unionByName(by_seed).groupBy("uid").agg(F.collect_list(F.struct("score", "kind", "start", "end")).alias("marked")), "pii-marked")
-    arrow = pa.list_(pa.struct([("kind", pa.int32()), ("start", pa.int32()), ("end", pa.int32())]))
 
     def choose(batches):
         for batch in batches:
             spans = []
-            for base, readings, ms in zip(*(batch.column(k).to_pylist() for k in (2, 3, 4))):
-                found = chosen([(m["score"], m["kind"], m["start"], m["end"]) for m in ms or []], [(r["start"], r["end"]) for r in readings or []])
+            for i, base in enumerate(batch.column(2).to_pylist()):
+                marks, readings = batch.column(4)[i].values, batch.column(3)[i].values
+                found = []
+                if marks is not None and len(marks):
+                    one = lambda values, name: values.field(name).to_numpy(zero_copy_only=False)
+                    pairs = [np.empty(0, np.int64)] * 2 if readings is None else [one(readings, n) for n in ("start", "end")]
+                    found = choose_spans(*(one(marks, n) for n in ("score", "kind", "start", "end")), tuple(pairs))
                 spans.append([dict(zip(("kind", "start", "end"), x)) for x in sorted([(x["kind"], x["start"], x["end"]) for x in base] + found)])
-            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, arrow)], names=["uid", "doc_id", "base", "spans"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:3], pa.array(spans, pa.list_(_SPAN))], names=["uid", "doc_id", "base", "spans"])
 
     # only rows with a mark need their readings
-    readings = F.when(F.col("marked").isNotNull(), F.transform(F.filter("occ", lambda o: o["seed"] < 0), lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end"))))
+    loose_parts = F.transform(F.filter("occ", lambda o: o["seed"] < 0), lambda o: F.struct(o["start"].alias("start"), o["end"].alias("end")))
+    readings = scanned.join(marked.select("uid"), "uid", "left_semi").groupBy("uid").agg(F.flatten(F.collect_list(loose_parts)).alias("readings"))
     kind = "array<struct<kind:int,start:int,end:int>>"
-    joined = scanned.join(marked, "uid", "left").select("uid", "doc_id", "base", readings.alias("readings"), "marked")
+    joined = scanned.where("part = 0").join(marked.join(readings, "uid"), "uid", "left").select("uid", "doc_id", "base", "readings", "marked")
     return joined.mapInArrow(giving_back(choose), f"uid long, doc_id long, base {kind}, spans {kind}")
 
 
@@ -362,17 +441,20 @@ def mask_documents(docs: DataFrame, rounds: int = 3, max_broadcast: int = 500_00
             texts = []
             for text in batch.column(at).to_pylist():
                 spans = base_spans(text or "")
-                marked, readings = [], []
-                for start, end, seed, instance, _, pats in occurrences(text or "", spans):
+                marked, readings = [], (array("q"), array("q"))
+                for start, end, seed, instance, _, pats in each_occurrence(text or "", spans):
                     if seed >= 0:
                         continue
-                    readings.append((start, end))
+                    readings[0].append(start)
+                    readings[1].append(end)
                     doubt: dict[int, float] = {}
                     for kind, conf in [x for p in pats for x in of_pattern.get(p, ())]:
                         doubt[kind] = doubt.get(kind, 1.0) * (1 - conf)
                     marked += [(1 - d, kind, start, end) for kind, d in doubt.items()]
                     marked += [(1.0, kind, start, end) for kind in of_seed.get(instance, ())]
-                texts.append(mask(text, spans + chosen(marked, readings)))
+                columns_of = zip(zip(*marked), (float, np.int64, np.int64, np.int64)) if marked else ()
+                found = choose_spans(*(np.array(c, t) for c, t in columns_of), tuple(np.array(r, np.int64) for r in readings)) if marked else []
+                texts.append(mask(text, spans + found))
             columns = list(batch.columns)
             columns[at] = pa.array(texts, pa.string())
             yield pa.RecordBatch.from_arrays(columns, names=batch.schema.names)
