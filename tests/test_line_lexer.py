@@ -1,7 +1,9 @@
 """Comments from composed line states against Python's tokenizer."""
 
 import glob
+import io
 import os
+import tokenize
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -9,7 +11,7 @@ from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tidemark.functions.columns import running
-from tidemark.functions.line_lexer import comment_spans_of
+from tidemark.functions.line_lexer import comment_spans_of, lexical_spans_of
 from tidemark.functions.source_code import comment_spans
 from tidemark.operators import prefilter
 
@@ -43,6 +45,31 @@ def test_comments_are_those_of_the_tokenizer(spark):
         assert got == sorted(comment_spans(text)), text[:200]
 
 
+def plain_strings(text):
+    """(line, c0, c1) of the parts of STRING tokens, without their letters; None where there is an f-string."""
+    lines, out = text.splitlines(), []
+    for t in tokenize.generate_tokens(io.StringIO(text).readline):
+        if t.type in (tokenize.FSTRING_START, tokenize.FSTRING_END):
+            return None
+        if t.type == tokenize.STRING:
+            (a, x), (b, y) = t.start, t.end
+            x += min(t.string.index("'") if "'" in t.string else 9, t.string.index('"') if '"' in t.string else 9)
+            out += [(k, x if k == a else 0, y if k == b else len(lines[k - 1])) for k in range(a, b + 1)]
+    return [s for s in out if s[2] > s[1]]
+
+
+def test_strings_are_those_of_the_tokenizer(spark):
+    here = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    files = [open(p, encoding="utf-8").read() for d in ("tests", "tests/llm", "tidemark/llm", "tidemark/plans") for p in sorted(glob.glob(f"{here}/{d}/*.py"))]
+    texts = [t for t in [*SOURCES.values(), *files] if not any(ord(c) in (0x0B, 0x0C, 0x1C, 0x1D, 0x1E, 0x85, 0x2028, 0x2029) for c in t)]
+    pairs = [(t, want) for t in texts if (want := plain_strings(t)) is not None]
+    rows = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(pairs)], "i int, t string").select("i", lexical_spans_of(F.col("t")).alias("s")).collect()
+    got = {r.i: sorted((x.line, x.c0, x.c1) for x in r.s if x.kind == "string") for r in rows}
+    assert len(pairs) > 12
+    for i, (t, want) in enumerate(pairs):
+        assert got[i] == want, t[:300]
+
+
 def test_what_does_not_end_has_no_comments(spark):
     assert found(spark, [*BROKEN.values(), None, "", "\n\n"]) == [[]] * 6
 

@@ -4,7 +4,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from tidemark.operators import fixes, judge, scoring, usage, verdicts
+from tidemark.operators import fixes, judge, relevance, scoring, usage, verdicts
 
 SITE = {"file": "a.py", "line": 1, "reason": "r"}
 GOOD = {"proposed_sites": [{**SITE, "pattern": "p", "snippet": "s"}], "flag_uncertain": [], "considered_and_rejected": [{**SITE, "line": 2}]}
@@ -109,3 +109,28 @@ def test_cost(spark):
     calls = spark.createDataFrame([("m", 1_000_000, 0, 0, 0), ("m", 0, 500_000, 0, 0), ("new", 1, 1, 1, 1)], ["model", *usage.COUNTERS])
     prices = spark.createDataFrame([("m", 3.0, 10.0, 0.0, 0.0)], ["model", *[f"{c}_price" for c in usage.COUNTERS]])
     assert {r.model: r.cost for r in usage.estimate_cost(usage.total_usage(calls, ["model"]), prices).collect()} == {"m": 8.0, "new": None}
+
+
+def test_fix_runs_that_are_missing_or_broken_stop(spark, tmp_path):
+    fix = {"id": "a", "file": "a.py", "line": 3, "original_line": "x", "verdict": "FIX", "proposed_line": "y", "spec_facts": [1], "reason": "r"}
+    path = lambda name: f"file://{tmp_path}/{name}.json"
+    (tmp_path / "run1.json").write_text(json.dumps([fix, {**fix, "verdict": "SKIP", "proposed_line": None}], indent=1))
+    (tmp_path / "run2.json").write_text("[]")
+    got = fixes.read_fixes(spark, [path("run1"), path("run2")]).collect()
+    assert [(r.seq, r.id, r.line, r.verdict, r.proposed_line) for r in sorted(got)] == [(0, "a", 3, "FIX", "y"), (1, "a", 3, "SKIP", None)]
+    key = spark.createDataFrame([("a", "y", False, True), ("b", "z", False, True)], "id string, required_line string, hedge_ok boolean, has_single_line_fix boolean")
+    assert {r.id: r["class"] for r in fixes.score_fixes(fixes.read_fixes(spark, [path("run1")]), key).collect()} == {"a": "wrong-skip", "b": "missing"}
+    with pytest.raises(fixes.FixRunError, match="run3"):
+        fixes.read_fixes(spark, [path("run1"), path("run3")])
+    for text in ("{}", "", "nothing", '[{"id": "a"}]', json.dumps([{**fix, "line": "3"}]), json.dumps([{**fix, "verdict": "maybe"}])):
+        (tmp_path / "run4.json").write_text(text)
+        with pytest.raises(fixes.FixRunError):
+            fixes.read_fixes(spark, [path("run1"), path("run4")])
+    with pytest.raises(fixes.FixRunError):
+        fixes.read_fixes(spark, [])
+
+
+def test_closure_through_groups_of_any_text(spark):
+    rows = [(1, "a" * 5000), (2, "a" * 5000), (2, "b"), (3, "b"), (3, "b"), (4, "alone"), (5, None), (6, None), (None, "b"), (7, "c"), (8, "c")]
+    found = relevance.closure_through(spark.createDataFrame([(1,)], "m long"), spark.createDataFrame(rows, "m long, g string"), "m", "g")
+    assert {r.m: r["round"] for r in found.collect()} == {1: 0, 2: 1, 3: 2}

@@ -2,12 +2,49 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidemark.functions.source_code import imports_of, parse_error
 from tidemark.functions.text import normalize_line, strip
 
+#: What a fix can say.
+FIX_VERDICTS = ("FIX", "FLAG-FOR-HUMAN", "SKIP")
+
+
+class FixRunError(ValueError):
+    """Fix runs that cannot be scored: a file that is missing, or one that breaks its contract."""
+
+
+def read_fixes(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
+    """(path, seq, id, file, line, original_line, verdict, proposed_line, reason) of JSON lists of fixes.
+
+    Every path is an expected run: a run that is missing, or no list of fixes,
+    stops the scoring, which would count it as a run of wrong answers.
+    ``seq`` is the place in the list.
+    """
+    hadoop = spark.sparkContext._jsc.hadoopConfiguration()
+    of = [spark.sparkContext._jvm.org.apache.hadoop.fs.Path(p) for p in paths]
+    missing = [p for p, at in zip(paths, of) if not at.getFileSystem(hadoop).exists(at)]
+    if missing or not paths:
+        raise FixRunError("no fix runs" if not paths else f"missing fix runs: {', '.join(missing)}")
+    # wholetext, as the binary source gives no row for an empty file
+    raw = spark.read.text(list(paths), wholetext=True).select(F.input_file_name().alias("path"), F.try_parse_json("value").alias("doc"))
+    if raw.count() < len(paths):
+        raise FixRunError(f"{len(paths)} fix runs, {len(paths) - raw.count()} of them empty")
+    listed = raw.select("path", F.try_variant_get("doc", "$", "array<variant>").alias("rows"))
+    whole = F.when(F.col("rows").isNull(), F.array(F.lit(None).cast("variant"))).otherwise(F.col("rows"))
+    rows = listed.select("path", F.posexplode(whole).alias("seq", "row"))
+    get = lambda name, kind: F.try_variant_get("row", f"$.{name}", kind)
+    kind = lambda name: F.coalesce(F.schema_of_variant(get(name, "variant")), F.lit("none"))
+    bad = F.col("row").isNull() | (kind("id") != "STRING") | (kind("line") != "BIGINT") | ~F.coalesce(get("verdict", "string").isin(*FIX_VERDICTS), F.lit(False))
+    if found := rows.where(bad).select("path", "seq").limit(5).collect():
+        raise FixRunError("no fixes: " + ", ".join(f"{r.path}[{r.seq}]" for r in found))
+    text = lambda name: get(name, "string").alias(name)
+    return rows.select("path", "seq", text("id"), text("file"), get("line", "int").alias("line"), *map(text, ("original_line", "verdict", "proposed_line", "reason")))
+
 
 def classify_line(proposed: Column, required: Column) -> Column:
     """exact (but for trailing space), semantic (equal once normalised) or wrong."""

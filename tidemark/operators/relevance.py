@@ -78,8 +78,13 @@ def closure_through(seeds: DataFrame, membership: DataFrame, member: str, group:
 
     ``membership`` holds (member, group).  A round goes from new members to
     their groups, and from groups not seen before to all of their members.
+    Groups, which may be long texts, are numbered once; groups of one member
+    link nobody and are left out.  Rounds move numbers only.
     """
-    links = stage(membership.select(member, group).distinct(), "membership")
+    given = stage(membership.select(F.col(member).alias("_member"), F.col(group).alias("_group")).where(F.col(member).isNotNull() & F.col(group).isNotNull()), "membership")
+    shared = given.groupBy("_group").agg((F.min("_member") != F.max("_member")).alias("_many")).where("_many").select("_group", F.monotonically_increasing_id().alias("_number"))
+    links = stage(given.join(stage(shared, "closure-numbers"), "_group").select(F.col("_member").alias(member), "_number").distinct(), "closure-links")
+    group = "_number"
     reached = frontier = stage(seeds.select(member).distinct().withColumn("round", F.lit(0)), "closure")
     seen = None
     n = 0

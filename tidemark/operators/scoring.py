@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tidemark.functions.text import ratio
+from tidemark.operators.fingerprints import differences
 
 
 def match_truth(verdicts: DataFrame, truth: DataFrame, on: list[str]) -> DataFrame:
@@ -84,8 +85,8 @@ def ranges(rows: DataFrame, by: list[str], columns: list[str]) -> DataFrame:
 
 
 def symmetric_difference(a: DataFrame, b: DataFrame) -> DataFrame:
-    """One row: how many rows only one of the two has, copies counted."""
-    return a.exceptAll(b).unionByName(b.exceptAll(a)).agg(F.count("*").alias("n_different"))
+    """One row: how many rows only one of the two has, copies counted; only parts whose fingerprints differ are compared."""
+    return differences(a, b).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n_different"))
 
 
 #: Calls that look names up at run time.

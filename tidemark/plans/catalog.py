@@ -522,7 +522,11 @@ ALL = [
         SELECT 'both' AS op, count(*) AS n FROM (SELECT * FROM a INTERSECT SELECT * FROM b) UNION ALL SELECT 'first_only', count(*) FROM (SELECT * FROM a EXCEPT SELECT * FROM b)
         UNION ALL SELECT 'either', count(*) FROM (SELECT * FROM a UNION SELECT * FROM b)""",
     ),
-    Query(determinism, "SELECT 0::BIGINT AS n_different FROM (SELECT count(*) FROM documents)"),
+    Query(
+        determinism,
+        f"""WITH {_SQL_HITS}, a AS (SELECT doc_id, line FROM hits), b AS (SELECT doc_id, line FROM lines WHERE regexp_matches(text, {_SQL_ANY}))
+        SELECT (SELECT count(*) FROM (SELECT * FROM a EXCEPT ALL SELECT * FROM b)) + (SELECT count(*) FROM (SELECT * FROM b EXCEPT ALL SELECT * FROM a)) AS n_different""",
+    ),
     Query(
         snapshot_diff,
         f"""WITH {_SQL_LINES}, p AS (SELECT doc_id, line, CASE WHEN regexp_matches(text, '(?i:license|copyright)') THEN 'SPDX' ELSE text END AS text, unnest(CASE WHEN regexp_matches(text, '[0-9]{{3}}-[0-9]{{3}}-[0-9]{{4}}') THEN [1, 2] ELSE [1] END) AS copy FROM lines),
