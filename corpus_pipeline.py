@@ -1,4 +1,10 @@
-"""The corpus pipeline: from raw documents to packed sequences, in five written stages."""
+"""The corpus pipeline: from raw documents to packed sequences, in five written stages.
+
+Every stage reads the five columns of ``documents`` and no other, so further
+columns of any name are harmless and end with the first stage.  Any value may
+be null, rows and ids may repeat, texts may be of any length, and an empty
+table gives an empty table; what a stage does with such rows is in its text.
+"""
 
 from __future__ import annotations
 
@@ -27,7 +33,9 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     The model is learned from the stage's own labelled rows, all but the
     held-out quarter that the operator's query keeps out as well.  Without any
-    labelled row nothing speaks against a text that has a letter.
+    labelled row nothing speaks against a text that has a letter.  A null or
+    empty text has no letter and goes; null labels teach nothing and are kept as
+    they are; repeated rows are judged alike and all kept.
     """
     base = docs.select(*COLUMNS)
     model = language_id.learn(base.where(language_id.fold(F.col("doc_id"), 4) != 2))
@@ -38,13 +46,22 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keep one row of every SimHash component: the one with the smallest id, of several the first."""
+    """Keep one row of every SimHash component: the one with the smallest id, of several the first.
+
+    A null id is larger than any other.  Texts without a word, null or empty,
+    have the same fingerprint, so one of them stays.  Rows are removed by a
+    number of their own, so a repeated id takes no other row along.
+    """
     rows = _numbered(docs)
     return _without(rows, simhash.repeated_rows(rows, "row"), "pipeline-duplicates")
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Drop the rows that hold at least 0.8 of the shingles of a ``benchmark`` item."""
+    """Drop the rows that hold at least 0.8 of the shingles of a ``benchmark`` item.
+
+    A text without a word holds nothing and stays, and an item without a word
+    drops nothing.  Repeated rows are dropped alike; without items all rows stay.
+    """
     items = spark.read.parquet(f"{sf_dir}/benchmark.parquet")
     rows = _numbered(docs)
     found = decontamination.find_contaminated(rows.select(F.col("row").alias("doc_id"), "text"), items).select("doc_id").distinct()
@@ -52,14 +69,21 @@ def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Mask personal data in the texts; n_chars counts the new text."""
+    """Mask personal data in the texts; n_chars counts the new text.
+
+    A null text stays null with its n_chars.  No row is dropped or merged.
+    """
     masked = pii.mask_documents(docs.select(*COLUMNS))
     kind = docs.schema["n_chars"].dataType
     return masked.withColumn("n_chars", F.when(F.col("text").isNull(), F.col("n_chars")).otherwise(F.char_length("text")).cast(kind))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pack the texts into sequences of at most 2048 token ids."""
+    """Pack the texts into sequences of at most 2048 token ids.
+
+    A null or empty text is its end token alone; repeated rows are packed each;
+    a text longer than a sequence is cut.
+    """
     return packing.pack_documents(docs, public_tokenizers.path("byte_bpe_50k.json"))
 
 
