@@ -61,3 +61,46 @@ def test_clean_mixed_texts_stay(spark, sf_dir):
     assert ids(P.language(spark, frame(rows + odd), sf_dir)) == {r[0] for r in rows} | set(mixed)
     # without labels there is nothing to reject a text with letters for
     assert ids(P.language(spark, frame([(i, t, None) for i, t, _ in rows + odd]), sf_dir)) == {r[0] for r in rows} | set(mixed) | {1014}
+
+
+def odd_documents(spark, rows):
+    """Documents with columns beside the usual ones, of names that the stages use inside."""
+    schema = "doc_id long, text string, lang string, source string, n_chars long, row string, uid string, `_w` string, h string, support string, gone string, spans string"
+    return spark.createDataFrame([(*r, *["clash"] * 7) for r in rows], schema)
+
+
+def test_stages_on_empty_tables(spark, sf_dir):
+    for name, function in P.STAGES:
+        got = function(spark, odd_documents(spark, []), sf_dir)
+        assert got.collect() == [], name
+        if name != "packing":
+            assert got.columns == P.COLUMNS, name
+
+
+def test_stages_on_odd_rows(spark, sf_dir, tmp_path):
+    en = "the house and the garden with some water for the people of the town "
+    long = " ".join(f"{'abcdefghij'[i % 10]}{i % 977} word" for i in range(60_000))
+    rows = [(1, en * 3, "en", "s", 9), (1, en * 3, "en", "s", 9), (2, None, None, None, None), (3, "", "en", None, 0), (4, " \t\n", None, "s", 3), (5, long, "en", "s", None), (None, en + "and mail bob@example.org today", "en", "s", 5), (6, "x" * 70_000, "en", "s", 1)]
+    docs = odd_documents(spark, rows)
+    spark.createDataFrame([(1, None), (2, ""), (None, "no such words in any of the texts")], "item_id long, text string").write.parquet(f"file://{tmp_path}/benchmark.parquet")
+    ids = lambda d: sorted((r.doc_id for r in d.collect()), key=str)
+    usual = docs.select(*P.COLUMNS)
+    kept = P.language(spark, docs, sf_dir)
+    assert kept.columns == P.COLUMNS and ids(kept).count(1) == 2 and not {2, 3, 4} & set(ids(kept))
+    # the three texts without a word are one component, of which the smallest id stays; so are the two equal rows
+    once = P.near_duplicates(spark, docs, sf_dir)
+    assert once.columns == P.COLUMNS and ids(once) == [1, 2, 5, 6, None]
+    clean = P.decontaminate(spark, docs, f"file://{tmp_path}")
+    assert clean.columns == P.COLUMNS and ids(clean) == ids(usual)
+    masked = P.personal_data(spark, docs, sf_dir)
+    by_id = {r.doc_id: r for r in masked.collect()}
+    assert masked.columns == P.COLUMNS and masked.count() == len(rows)
+    assert by_id[None].text == en + "and mail <EMAIL> today" and by_id[None].n_chars == len(by_id[None].text)
+    assert by_id[2].text is None and by_id[2].n_chars is None and by_id[3].n_chars == 0
+    packed = P.pack(spark, docs, sf_dir).collect()
+    tokens = {}
+    for r in packed:
+        tokens.setdefault(r.doc_id, []).append((r.start, r.length, r.doc_tokens))
+    assert set(tokens) == {r[0] for r in rows}
+    assert sorted(tokens[2]) == sorted(tokens[3]) == [(0, 1, 1)] and sum(n for _, n, _ in tokens[5]) == tokens[5][0][2] > 2048
+    assert sum(n for _, n, _ in tokens[1]) == 2 * tokens[1][0][2]
