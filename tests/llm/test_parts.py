@@ -287,3 +287,32 @@ def test_all_personal_spans_are_those_of_plain_python(spark):
     got = {r.doc_id: sorted((s.kind, s.start, s.end) for s in r.spans) for r in pii.find_personal_data(docs).collect()}
     assert got == want
     assert sum(map(len, want.values())) > sum(len(pii.base_spans(t)) for t in rows.values()) + 10  # some are added
+
+
+@pytest.mark.parametrize("name", ENCODERS)
+def test_texts_encoded_together_have_their_own_ids(name):
+    plain = ENCODERS[name][1]
+    texts = ["one Two three.", "", "two\nThree. one", "odd  spacing", "one <|endoftext|> two", "tab\tbed two", "\n", "two, three.\ntwo", "Ünïted two's 12 x", "three,\n"]
+    cached, plain_calls = CachedEncoder(path(name), max_entries=4), []
+    tokenize = cached.model_tokens
+    cached.model_tokens = lambda piece: plain_calls.append(piece) or tokenize(piece)
+    for most in (1, 20, 1 << 18):
+        assert [np.frombuffer(ids, "<u4").tolist() for ids in cached.encode_all(texts, most)] == [plain.encode(t, add_special_tokens=False).ids for t in texts]
+    # what several texts need is asked for once
+    cached = CachedEncoder(path(name))
+    cached.model_tokens = lambda piece: plain_calls.append(piece) or tokenize(piece)
+    plain_calls.clear()
+    assert len(set(cached.encode_all(["zebra one", "zebra one"]))) == 1 and len(plain_calls) == 2
+
+
+def test_a_worker_keeps_its_chunks_for_the_tasks_of_a_stage(monkeypatch):
+    from tidemark.llm import tokenizer
+
+    stage = [1]
+    task = type("Task", (), {"stageId": lambda self: stage[0]})
+    monkeypatch.setattr(tokenizer.TaskContext, "get", lambda: task())
+    found = tokenizer.encoder(path("byte_bpe_50k.json"), 10)
+    list(found.encode_all(["a few words"]))
+    assert tokenizer.encoder(path("byte_bpe_50k.json"), 20) is found and len(found) == 3 and found.max_entries == 20
+    stage[0] = 2
+    assert tokenizer.encoder(path("byte_bpe_50k.json"), 20) is found and not found

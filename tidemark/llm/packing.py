@@ -65,27 +65,26 @@ def pack_lengths(lengths: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int) -> DataFrame:
+def cut_documents(docs: DataFrame, tokenizer_path: str, end_id: int, capacity: int, cached_words: int) -> DataFrame:
     """Tokenize whole texts, add ``end_id`` and cut each document at multiples of ``capacity``."""
 
     def cut(batches):
-        cached, end = encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
-        encode = cached.encode
+        cached, end = encoder(tokenizer_path, cached_words), int(end_id).to_bytes(4, "little")
         for batch in batches:
             rows = [[], [], [], [], []]
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode(text or "") + end
+            texts = (text or "" for text in batch.column(1).to_pylist())
+            for doc_id, ids in zip(batch.column(0).to_pylist(), cached.encode_all(texts)):
+                ids += end
                 for at in range(0, len(ids), 4 * capacity):
                     piece = ids[at : at + 4 * capacity]
                     for column, value in zip(rows, (doc_id, at // 4, len(piece) // 4, zlib.crc32(piece), len(ids) // 4)):
                         column.append(value)
             yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in rows], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens"])
-        cached.clear()
 
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(giving_back(cut), PIECES)
 
 
-def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, window_pieces: int = 16384) -> DataFrame:
+def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 1, window_pieces: int = 16384, cached_words: int = 200_000) -> DataFrame:
     """Pack the token ids of all documents into sequences of at most ``capacity`` ids.
 
     A document gives full pieces of ``capacity`` ids, each a sequence by
@@ -98,8 +97,11 @@ def pack_documents(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, e
     A null or empty text is the end id alone.  A null doc_id stays null.  Equal
     rows and equal ids are packed as documents of their own.  An empty table
     gives no rows.
+
+    A worker keeps the ids of at most twice ``cached_words`` words, about 170
+    bytes each, from task to task.
     """
-    pieces = stage(cut_documents(docs, tokenizer_path, end_id, capacity).withColumn("uid", F.monotonically_increasing_id()), "pieces")
+    pieces = stage(cut_documents(docs, tokenizer_path, end_id, capacity, cached_words).withColumn("uid", F.monotonically_increasing_id()), "pieces")
     full = pieces.where(F.col("length") == capacity).withColumn("sequence_id", 2 * F.col("uid") + 1).withColumn("offset", F.lit(0).cast("long"))
     rests = pieces.where(F.col("length") < capacity)
     # uid is a partition number and a row number within it; the latter deals rows evenly

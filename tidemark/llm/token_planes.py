@@ -135,7 +135,7 @@ def filesystem(uri: str):
     return pyarrow.fs.FileSystem.from_uri(uri)
 
 
-def write_planes(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = 2, block: int = 65536, planes: str = "byte", level: int = 1, file_chars: int = 1 << 24) -> DataFrame:
+def write_planes(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int = 2, block: int = 65536, planes: str = "byte", level: int = 1, file_chars: int = 1 << 24, cached_words: int = 200_000) -> DataFrame:
     """Encode whole texts and write them in ascending doc_id order; returns the manifest, one row per file.
 
     Files are ranges of doc_id and a hash of the text, of about ``file_chars``
@@ -144,12 +144,16 @@ def write_planes(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
     and only the files of finished tasks are in the manifest, so a repeated
     task does no harm.  Null texts are empty, null ids come first, equal ids
     are ordered by the hash, then by text.
+
+    A worker keeps the ids of at most twice ``cached_words`` words, about 170
+    bytes each, from task to task.
     """
 
     def write(batches):
-        cached, end, target, writer, out = encoder(tokenizer_path), int(end_id).to_bytes(4, "little"), None, None, None
+        cached, end, target, writer, out = encoder(tokenizer_path, cached_words), int(end_id).to_bytes(4, "little"), None, None, None
         for batch in batches:
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            texts = (text or "" for text in batch.column(1).to_pylist())
+            for doc_id, ids in zip(batch.column(0).to_pylist(), cached.encode_all(texts)):
                 if writer is None:
                     fs, root = filesystem(out_dir)
                     fs.create_dir(root, recursive=True)
@@ -157,8 +161,7 @@ def write_planes(docs: DataFrame, out_dir: str, tokenizer_path: str, end_id: int
                     target = f"ids-{part:06d}-{uuid.uuid4().hex}.planes"
                     out = fs.open_output_stream(f"{root}/{target}")
                     writer = PlaneWriter(out, block, planes, level)
-                writer.add(doc_id, cached.encode(text or "") + end)
-        cached.clear()
+                writer.add(doc_id, ids + end)
         if writer is not None:
             writer.close()
             out.close()
